@@ -1,17 +1,18 @@
 """Media columns: payloads as PNG in binary columns, read back through their chunks, and cosine-transform hashes of them.
 
-Writing: bytes become 8-bit grey samples, ``WIDTH`` a row; rows are filtered (none, sub or up, by the least sum of absolute
+Writing: bytes become 8-bit grey samples of a near-square image; rows are filtered (none, sub or up, by the least sum of absolute
 differences), deflated with zlib and framed as IHDR, IDAT and IEND chunks with checksums. Reading walks the chunks, tests every
 checksum, inflates with a size bound taken from the header, and undoes the filters with numpy: all five types, whole runs of rows
 at once for none, sub and up. The feature is the sign pattern of the low-frequency coefficients of a 2-D cosine transform.
 
-Nulls: a null text is an empty payload, which is one row of padding. Equal payloads give equal bytes and hashes everywhere. Very
+Nulls: a null text is an empty payload, which is one square of padding. Equal payloads give equal bytes and hashes everywhere. Very
 long texts give taller images; an image lives in one task, one at a time. Repeated rows stay repeated; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuscle.llm.tables import load, map_texts, small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-WIDTH = 576
+#: Payloads are multiples of UNIT bytes: of squares of SIDE x SIDE samples.
+UNIT, SIDE = 576, 24
 PAD = 255
 #: Side of the grey image that is transformed, and of the block of low frequencies kept.
-GRID, LOW = 32, 8
+GRID, LOW = 24, 8
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 
@@ -43,18 +45,25 @@ def _cost(rows: np.ndarray) -> np.ndarray:
     return np.abs(rows.view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
 
 
+def width_for(payload_bytes: int) -> int:
+    """Width of the squarest image of whole SIDE x SIDE squares."""
+    units = payload_bytes // UNIT
+    return SIDE * next(k for k in range(math.isqrt(units), 0, -1) if units % k == 0)
+
+
 def encode_png(payload: bytes, level: int = 1) -> bytes:
-    """``payload``, a positive multiple of ``WIDTH`` bytes, as an 8-bit grey PNG."""
-    raw = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    """``payload``, a positive multiple of ``UNIT`` bytes, as an 8-bit grey PNG."""
+    width = width_for(len(payload))
+    raw = np.frombuffer(payload, np.uint8).reshape(-1, width)
     sub, up = raw.copy(), raw.copy()
     sub[:, 1:] -= raw[:, :-1]
     up[1:] -= raw[:-1]
     tried = np.stack([raw, sub, up])
     best = np.argmin([_cost(x) for x in tried], axis=0)
-    out = np.empty((len(raw), WIDTH + 1), np.uint8)
+    out = np.empty((len(raw), width + 1), np.uint8)
     out[:, 0] = best
     out[:, 1:] = tried[best, np.arange(len(raw))]
-    header = struct.pack(">IIBBBBB", WIDTH, len(raw), 8, 0, 0, 0, 0)
+    header = struct.pack(">IIBBBBB", width, len(raw), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(out.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
@@ -148,9 +157,9 @@ def cosine_hash(image: np.ndarray) -> bytes:
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
-    """Length of the UTF-8 bytes, and those bytes padded to a positive multiple of WIDTH."""
+    """Length of the UTF-8 bytes, and those bytes padded to a positive multiple of UNIT."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    return len(data), data + bytes([PAD]) * ((-len(data)) % WIDTH if data else WIDTH)
+    return len(data), data + bytes([PAD]) * ((-len(data)) % UNIT if data else UNIT)
 
 
 def to_media(docs: DataFrame) -> DataFrame:
