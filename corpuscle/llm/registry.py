@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, fingerprint, license_scan, media, simhash
+from corpuscle.llm import bpe, fingerprint, license_scan, media, mixing, simhash
 
 QUERIES = [
     media.op3_media,
     fingerprint.op4_fingerprint,
+    mixing.op5_mixing,
     bpe.op8_bpe,
     license_scan.op9_licenses,
     simhash.op10_simhash,
