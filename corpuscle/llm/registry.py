@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, fingerprint, license_scan, media, mixing, simhash
+from corpuscle.llm import bpe, fingerprint, license_scan, media, mixing, simhash, warc
 
 QUERIES = [
     media.op3_media,
     fingerprint.op4_fingerprint,
     mixing.op5_mixing,
+    warc.op6_warc,
     bpe.op8_bpe,
     license_scan.op9_licenses,
     simhash.op10_simhash,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.OP6_SQL}
