@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, simhash, warc
+from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, simhash, toxicity, warc
 
 QUERIES = [
     language_id.op1_language_id,
+    toxicity.op2_toxicity,
     media.op3_media,
     fingerprint.op4_fingerprint,
     mixing.op5_mixing,
