@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, simhash, toxicity, warc
+from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = [
     language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = [
     fingerprint.op4_fingerprint,
     mixing.op5_mixing,
     warc.op6_warc,
+    suffix_dedup.op7_suffix_dedup,
     bpe.op8_bpe,
     license_scan.op9_licenses,
     simhash.op10_simhash,
