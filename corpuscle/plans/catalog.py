@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.operators import relational
+from corpuscle.operators import relational, search
 
 FLAGSHIP = "sch_hybrid"
-MODULES = (relational,)
+MODULES = (relational, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
