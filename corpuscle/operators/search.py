@@ -176,8 +176,8 @@ def dup_exact(spark, sf_dir):
 
 
 @query()
-def dup_semantic(spark, sf_dir, threshold: float = 0.8, every: int = 10):
-    """Near copies of new files (every tenth here) in their tenant: TF-IDF cosine of their first characters to other files' chunks.
+def dup_semantic(spark, sf_dir, threshold: float = 0.8, every: int = 1):
+    """Near copies of new files in their tenant: TF-IDF cosine of their first characters to other files' chunks.
 
     Terms that over a fifth of a tenant's chunks hold weigh little and are not joined on; scores are then of the remaining terms. SQL would
     repeat the index for every file: tests hold the result against a direct computation.

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.operators import relational, search
+from corpuscle.operators import graph, relational, search, vectors
 
 FLAGSHIP = "sch_hybrid"
-MODULES = (relational, search)
+MODULES = (relational, search, graph, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
