@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.operators import graph, relational, search, vectors
+from corpuscle.operators import graph, relational, search, service, vectors
+from corpuscle.streaming import streams
 
 FLAGSHIP = "sch_hybrid"
-MODULES = (relational, search, graph, vectors)
+MODULES = (relational, search, graph, vectors, service, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
