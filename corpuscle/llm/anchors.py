@@ -15,7 +15,7 @@ _PLACE = 31
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, at least ``n`` of each."""
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
@@ -28,7 +28,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from every place on."""
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]

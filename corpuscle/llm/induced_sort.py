@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from corpuscle.llm.anchors import power_tables
+
 BUDGET = 1 << 22
 _FAR = np.int32(1 << 30)
 #: Alphabets up to this size recurse by induction; larger ones are ranked by doubling.
@@ -123,29 +125,27 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 
 
 class _Prefixes:
-    """Common prefixes of suffixes of one text, by hashes of doubling width."""
+    """Common prefixes of suffixes of one text, by hashes of any width from running sums: two words a symbol, whatever the width."""
 
     def __init__(self, text: np.ndarray, cap: int):
-        self.cap, self.levels = cap, []
-        h = (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        width = 1
-        while width <= cap and len(h):
-            self.levels.append((width, h))
-            if len(h) <= width:
-                break
-            h = h[:-width] * np.uint64(0xBF58476D1CE4E5B9) + h[width:]
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            width *= 2
+        self.widths = [1 << k for k in range(cap.bit_length() - 1, -1, -1)]
+        up, self.down = power_tables(len(text) + 1)
+        mixed = (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= up[: len(text)]
+        self.sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(mixed, out=self.sums[1:])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes at ``a`` and ``b`` share, counted to about twice ``cap``."""
+        """Symbols that the suffixes at ``a`` and ``b`` share, counted to about twice the cap."""
         out = np.zeros(len(a), np.int64)
-        for width, h in reversed(self.levels):
+        last = len(self.sums) - 1
+        for width in self.widths:
             i, j = a + out, b + out
-            inside = np.maximum(i, j) < len(h)
-            same = np.zeros(len(a), bool)
-            same[inside] = h[i[inside]] == h[j[inside]]
-            out += width * same
+            inside = np.flatnonzero(np.maximum(i, j) + width <= last)
+            i, j = i[inside], j[inside]
+            same = (self.sums[i + width] - self.sums[i]) * self.down[i] == (self.sums[j + width] - self.sums[j]) * self.down[j]
+            out[inside[same]] += width
         return out
 
 
@@ -185,7 +185,8 @@ def suffixes(text: np.ndarray, depth: int, budget: int = BUDGET) -> Iterator[tup
         ends = np.append(least[1:], n - 1)
         strings = [coded[4 * a : 4 * b + 4] for a, b in zip(least.tolist(), ends.tolist(), strict=True)]
         number = {s: i for i, s in enumerate(sorted(set(strings)))}
-        names = np.array([number[s] for s in strings], np.int64)
+        names = np.fromiter((number[s] for s in strings), np.int64, len(strings))
+        del strings, coded
         if len(number) == len(names):
             order = np.argsort(names)
         elif len(number) <= FEW_SYMBOLS:

@@ -34,7 +34,7 @@ from corpuscle.llm.tables import keep, load, small_batches
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 
 ANCHORS = "doc_id long, text_hash long, place int, first int, last int, anchor long, span long"
 _ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int64()), ("span", pa.int64())])
@@ -135,19 +135,19 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end: bytes of ``docs`` that repeated windows cover; spans may overlap and recur."""
     table = keep(anchor_table(docs), "anchors")
-    where = F.struct("doc_id", "text_hash", "first", "last")
-    classes = table.groupBy("anchor", "class").agg(F.count("*").alias("n"), F.min(where).alias("at"))
+    place = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "last")]  # of one row, whichever comes first: any will do
+    classes = table.groupBy("anchor", "class").agg(F.count("*").alias("n"), *place)
     groups = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     contested = (F.col("kinds") > 1) & (F.col("least") == 1)
-    known = keep(classes.join(groups, "anchor").where((F.col("n") > 1) | contested).select("anchor", "class", "n", "at", contested.alias("contested")), "classes")
+    known = keep(classes.join(groups, "anchor").where((F.col("n") > 1) | contested).select("anchor", "class", "n", "doc_id", "text_hash", "first", "last", contested.alias("contested")), "classes")
 
-    wanted = known.where("contested").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("anchor", "class", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("wanted"))
+    wanted = known.where("contested").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "class", "first", "last")).alias("wanted"))
     texts = keyed(docs).select("_id", "_hash", "text")
     held = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_hash"] == wanted["text_hash"])).select("text", "wanted")
     strings = held.mapInArrow(_spans_of, "anchor long, class long, bytes binary").repartition("anchor").sortWithinPartitions("anchor", "class")
     windows = strings.mapInArrow(_sorted_shards, "class long, from int, to int")
 
-    single = known.where("n = 1").join(windows, "class").select("at.doc_id", "at.text_hash", (F.col("at.first") + F.col("from")).alias("start"), (F.col("at.first") + F.col("to") + LENGTH - 1).alias("end"))
+    single = known.where("n = 1").join(windows, "class").select("doc_id", "text_hash", (F.col("first") + F.col("from")).alias("start"), (F.col("first") + F.col("to") + LENGTH - 1).alias("end"))
     twice = table.join(known.where("n > 1").select("anchor", "class"), ["anchor", "class"], "left_semi").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
     return twice.unionByName(single)
 
