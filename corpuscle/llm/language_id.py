@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -34,7 +35,9 @@ SEED = 11
 SMOOTH, UNKNOWN = 0.01, 1e-6
 #: Words whose evidence counts at most: beyond, a text's score grows no surer.
 EVIDENCE = 20
-SHORT, GROUP, CACHE = 32, 4096, 150_000
+SHORT, GROUP, CACHE = 32, 4096, 200_000
+#: More than any piece has letters.
+LONGEST = 64
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -56,9 +59,9 @@ class Lattice:
         marked = [START + w for w in words]
         lengths = np.array([len(w) for w in marked])
         offsets = np.concatenate(([0], np.cumsum(lengths + 1)))
-        found = np.array([(e, n, i) for e, (n, i) in automaton.iter("\n".join(marked))], np.int64).reshape(-1, 3)
+        found = np.fromiter(chain.from_iterable(automaton.iter("\n".join(marked))), np.int64).reshape(-1, 2)
         word = np.searchsorted(offsets, found[:, 0], side="right") - 1
-        rows = np.stack([word, found[:, 0] - offsets[word] + 1, found[:, 1], found[:, 2]], axis=1)
+        rows = np.stack([word, found[:, 0] - offsets[word] + 1, found[:, 1] % LONGEST, found[:, 1] // LONGEST], axis=1)
         # Letters that are no piece stand for themselves.
         width = int(lengths.max(initial=0))
         single = np.zeros((len(words), width + 1), bool)
@@ -70,7 +73,7 @@ class Lattice:
         rows = np.concatenate([rows, np.stack([bare[:, 0], bare[:, 1], np.ones(len(bare), np.int64), np.full(len(bare), unknown)], axis=1)])
         self.rows = rows[np.lexsort((rows[:, 2], rows[:, 1]))]
         self.lengths, self.width = lengths, width
-        key = self.rows[:, 1] * 64 + self.rows[:, 2]
+        key = self.rows[:, 1] * LONGEST + self.rows[:, 2]
         self.groups = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else np.array([0])
 
     def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +138,14 @@ class LanguageModel:
     def _start(self) -> None:
         self.automaton = ahocorasick.Automaton()
         for i, piece in enumerate(self.pieces):
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, i * LONGEST + len(piece))
         self.automaton.make_automaton()
-        self.cache: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache: a word's row in ``logs``."""
+        self.cache: dict[str, int] = {}
+        self.logs = np.empty((0, len(self.languages)))
 
     def __getstate__(self) -> dict:
         return {"pieces": self.pieces, "languages": self.languages, "p": self.p}
@@ -154,7 +162,9 @@ class LanguageModel:
         start[-1] = UNKNOWN
         model = cls(pieces, languages, start)
         words = sorted({w for c in counts.values() for w in c if len(w) < SHORT})
-        seen = np.array([[counts[x][w] for x in languages] for w in words], float).reshape(-1, len(languages))
+        if not words:
+            return model
+        seen = np.array([[counts[x][w] for x in languages] for w in words], float)
         order = np.argsort([len(w) for w in words], kind="stable")
         groups = [order[i : i + GROUP] for i in range(0, len(order), GROUP)]
         lattices = [(Lattice([words[i] for i in g], model.automaton, len(pieces)), seen[g]) for g in groups]
@@ -170,14 +180,19 @@ class LanguageModel:
         words.sort(key=len)
         short = [w for w in words if len(w) < SHORT]
         groups = [short[i : i + GROUP] for i in range(0, len(short), GROUP)] + [[w] for w in words[len(short) :]]
+        if len(self.cache) + len(words) > len(self.logs):
+            grown = np.empty((2 * (len(self.cache) + len(words)), len(self.languages)))
+            grown[: len(self.cache)] = self.logs[: len(self.cache)]
+            self.logs = grown
         for group in groups:
-            _, logs = Lattice(group, self.automaton, len(self.pieces)).forward(self.p)
-            self.cache.update(zip(group, logs, strict=True))
+            at = len(self.cache)
+            _, self.logs[at : at + len(group)] = Lattice(group, self.automaton, len(self.pieces)).forward(self.p)
+            self.cache.update(zip(group, range(at, at + len(group)), strict=True))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self._forget()
         counted = [Counter(WORD.findall((t or "").lower())) for t in texts]
         new = {w for c in counted for w in c if w not in self.cache}
         if self.languages:
@@ -188,7 +203,8 @@ class LanguageModel:
                 out.append((UND, 0.0))
                 continue
             n = np.fromiter(c.values(), float, len(c))
-            logs = n @ np.array([self.cache[w] for w in c]) * min(1, EVIDENCE / n.sum())
+            rows = np.fromiter(map(self.cache.__getitem__, c), np.int64, len(c))
+            logs = n @ self.logs[rows] * min(1, EVIDENCE / n.sum())
             shares = np.exp(logs - logs.max())
             best = int(np.argmax(logs))
             out.append((self.languages[best], float(shares[best] / shares.sum())))
