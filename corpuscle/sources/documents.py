@@ -114,7 +114,10 @@ def vault_text(filename):
 
 
 def ingest(spark: SparkSession, path: str, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
-    """Every file below ``path``: name, route, text, status, hash. Contents are read by the binary source, one task a group of files."""
+    """Every file below ``path``: name, route, text, status, hash. Contents are read by the binary source, one task a group of files.
+
+    The scan itself leaves out files of no bytes; blank ones are there, as empty.
+    """
 
     @F.pandas_udf(StringType())
     def read(ext: pd.Series, content: pd.Series) -> pd.Series:
