@@ -93,7 +93,7 @@ def grf_neighbourhood_edges(spark, sf_dir):
 
 @query(f"""with {TAGS_SQL}, small as (select * from tags where file_id % 20 = 0), rare as (select * from small where tag in (select tag from small group by tag having count(*) <= 100)),
 pairs as (select a.file_id as source, b.file_id as target, count(*) as shared from rare a join rare b on a.tag = b.tag and a.file_id < b.file_id group by 1, 2 having count(*) >= 2)
-select p.source, p.target, p.shared, round(least(0.9, 0.4 + 0.1 * p.shared), 4) as confidence from pairs p where not exists (select 1 from orders o where o.o_orderkey = p.source and o.o_custkey = p.target)""")
+select p.source, p.target, p.shared, round(least(0.9, 0.4 + 0.1 * p.shared), 4)::double as confidence from pairs p where not exists (select 1 from orders o where o.o_orderkey = p.source and o.o_custkey = p.target)""")
 def grf_suggestions(spark, sf_dir):
     """Relations suggested by shared tags, without those that exist; tags of over a hundred of these files suggest none."""
     t = tags(spark, sf_dir).where("file_id % 20 = 0")

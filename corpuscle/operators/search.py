@@ -154,7 +154,7 @@ def sch_hybrid(spark, sf_dir):
 
 @query(f"""with {FILES_SQL}, s as (select file_id, case when contains(lower(filename), 'en') then 0.5 else 0 end + case when summarised and contains(lower(left(extracted_text, 200)), 'en') then 0.4 else 0 end
  + case when not (summarised and contains(lower(left(extracted_text, 200)), 'en')) and contains(lower(extracted_text), 'en') then 0.3 else 0 end + case when contains(user_id, 'en') then 0.2 else 0 end as score from files)
-select file_id, round(least(score, 1.0), 3) as relevance from s where score > 0 order by relevance desc, file_id limit 200""")
+select file_id, round(least(score, 1.0), 3)::double as relevance from s where score > 0 order by relevance desc, file_id limit 200""")
 def sch_fallback(spark, sf_dir, asked: str = "en"):
     """Search without an index: points for the name, the summary, the body (if no snippet came before) and the tags."""
     f = files(spark, sf_dir)

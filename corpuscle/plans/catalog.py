@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.operators import graph, records, relational, search, service, vectors
+from corpuscle.operators import enrich, graph, records, relational, search, service, vectors
 from corpuscle.streaming import streams
 
 FLAGSHIP = "sch_hybrid"
-MODULES = (relational, search, graph, vectors, service, records, streams)
+MODULES = (relational, search, graph, vectors, service, records, enrich, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
