@@ -31,7 +31,7 @@ from corpuscle.llm.tables import load, map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 #: White space in the sense of the file's patterns.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
 SPACE = re.compile(f"[{_BLANK}\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

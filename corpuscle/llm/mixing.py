@@ -25,11 +25,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpuscle.llm.tables import keep, load
+from corpuscle.llm.tables import keep, load, map_slices
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -166,22 +166,26 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     import re
 
     word = re.compile(WORD)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def passes(text: pd.Series, start: pd.Series, times: pd.Series) -> pd.Series:
-        out = []
-        for t, at, counts in zip(text, start, times, strict=True):
-            spans = [m.span() for m in word.finditer(t or "")]
-            owner = (np.arange(len(spans)) + at) // BLOCK - at // BLOCK
-            often = np.asarray(counts, np.int64)[owner] if len(spans) else np.empty(0, np.int64)
-            rows = []
-            for k in range(1, int(often.max(initial=0)) + 1):
-                runs = np.flatnonzero(np.diff(np.concatenate(([0], often >= k, [0])).astype(np.int8))).reshape(-1, 2)
-                rows.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in runs.tolist()))
-            out.append(rows)
-        return pd.Series(out)
+    def passes(t: str, at: int, counts: list[int]) -> list[str]:
+        spans = [m.span() for m in word.finditer(t)]
+        owner = (np.arange(len(spans)) + at) // BLOCK - at // BLOCK
+        often = np.asarray(counts, np.int64)[owner] if len(spans) else np.empty(0, np.int64)
+        rows = []
+        for k in range(1, int(often.max(initial=0)) + 1):
+            runs = np.flatnonzero(np.diff(np.concatenate(([0], often >= k, [0])).astype(np.int8))).reshape(-1, 2)
+            rows.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in runs.tolist()))
+        return rows
+
+    names, n = docs.columns, len(docs.columns)
 
+    def gone_through(rows: pa.RecordBatch) -> dict:
+        texts, starts, times = (rows.column(i).to_pylist() for i in (names.index("text"), n, n + 1))
+        made = [passes(t or "", s, c) for t, s, c in zip(texts, starts, times, strict=True)]
+        again = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+        return {c: [t for m in made for t in m] if c == "text" else rows.column(i).take(again) for i, c in enumerate(names)}
+
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     taken = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "start", "times")
     # Repeated ids: the n-th row of an id and size meets the n-th selection of the same.
     from pyspark.sql.window import Window
@@ -190,7 +194,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     left = nth(numbered.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")), ["doc_id", "_size"], ["_row"])
     right = nth(taken, ["_id", "_size"], ["start"]).withColumnRenamed("_size", "_sized").withColumnRenamed("_n", "_nth")
     both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_size"] == right["_sized"]) & (left["_n"] == right["_nth"]))
-    return both.select(*[F.explode(passes("text", "start", "times")).alias("text") if c == "text" else left[c] for c in docs.columns])
+    return map_slices(both.select(*[left[c] for c in names], right["start"], right["times"]), docs.schema, gone_through)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

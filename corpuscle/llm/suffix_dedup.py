@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import induced_sort
 from corpuscle.llm.anchors import anchors
-from corpuscle.llm.tables import keep, load, small_batches
+from corpuscle.llm.tables import keep, load, map_slices, small_batches
 
 LENGTH = 400
 GRAM = 64
@@ -182,13 +182,15 @@ def cut_text(text: str | None, spans: list[dict] | None) -> str | None:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with their texts cut to what doesn't repeat, in whole characters; other columns and all rows stay."""
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
+    spanned = with_spans(docs)
+    names = docs.columns
+    text, spans = names.index("text"), len(names)
 
-        return pd.Series([cut_text(t, None if s is None else list(s)) for t, s in zip(text, spans, strict=True)])
+    def cut(rows: pa.RecordBatch) -> dict:
+        new = [cut_text(t, s) for t, s in zip(rows.column(text).to_pylist(), rows.column(spans).to_pylist(), strict=True)]
+        return {name: new if i == text else rows.column(i) for i, name in enumerate(names)}
 
-    return with_spans(docs).withColumn("text", cut("text", "_spans")).drop("_spans")
+    return map_slices(spanned, docs.schema, cut)
 
 
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

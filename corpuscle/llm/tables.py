@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch that a text function sees at once; a batch is also cut by bytes.
 TEXT_ROWS = 512
@@ -64,3 +65,24 @@ def map_texts(df: DataFrame, schema: str, rows: Callable[[list, list], dict[str,
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in target], schema=target)
 
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def map_slices(df: DataFrame, schema: StructType, made: Callable[[pa.RecordBatch], dict[str, pa.Array | list] | pa.RecordBatch]) -> DataFrame:
+    """Apply ``made`` to slices of ``df``'s rows, TEXT_ROWS at a time, wherever they lie.
+
+    ``made`` returns columns by name, in the order of ``schema``, or a record batch of the same columns as its slice.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                if part.num_rows:
+                    found = made(part)
+                    if isinstance(found, dict):
+                        found = pa.RecordBatch.from_arrays([c if isinstance(c := found[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
+                    yield found
+
+    return df.mapInArrow(run, schema)
