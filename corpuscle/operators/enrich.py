@@ -66,11 +66,11 @@ def hashed_embedding(docs: DataFrame, dims: int = 16) -> DataFrame:
     return counts.select("file_id", "dim", F.round(F.col("n") / norm, 6).alias("weight"))
 
 
-@query(r"""with t as (select doc_id as file_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{0E00}-\x{0E7F}]+')) as term from documents where doc_id % 5 = 0),
+@query(r"""with t as (select doc_id as file_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{0E00}-\x{0E7F}]+')) as term from documents),
 c as (select file_id, (('0x' || md5(term)[1:6])::bigint % 16)::int as dim, count(*) as n from t group by all) select file_id, dim, round(n / sqrt(sum(n * n) over (partition by file_id)), 6) as weight from c""")
 def emb_hashed(spark, sf_dir):
     """The default embedder: hashed token counts."""
-    return hashed_embedding(files(spark, sf_dir).where("file_id % 5 = 0"))
+    return hashed_embedding(files(spark, sf_dir))
 
 
 @query("""select o_custkey as pack_id, count(*) as n from orders group by 1 having bool_or(o_orderkey % 500 = 1)""")
@@ -122,13 +122,13 @@ def dt_billing_start(spark, sf_dir):
     start = F.when(F.col("subscription_status").startswith("starter") & F.col("current_period_end").isNotNull(), F.col("current_period_end") - F.expr("interval 30 days")).otherwise(F.date_trunc("month", as_of()))
     admins = u.agg(F.count_if(F.col("is_admin") & F.col("is_active")).alias("admins"))
     own = F.when(F.col("is_admin") & F.col("is_active"), 1).otherwise(0)
-    return u.crossJoin(admins).select("user_id", F.unix_timestamp(start).alias("counts_from"), ((F.col("subscription_status") == "starter_canceled") & (F.col("current_period_end") <= as_of())).alias("expired"), (F.col("admins") - own).alias("other_admins"))
+    return u.withColumn("admins", admins.scalar()).select("user_id", F.unix_timestamp(start).alias("counts_from"), ((F.col("subscription_status") == "starter_canceled") & (F.col("current_period_end") <= as_of())).alias("expired"), (F.col("admins") - own).alias("other_admins"))
 
 
-@query(f"""with {TAGS_SQL}, t as (select file_id, list_sort(list(tag)) as ts from tags where file_id <= 400 group by 1) select a.file_id as source, b.file_id as target, len(list_intersect(a.ts, b.ts)) as shared, len(list_filter(a.ts, lambda x: not list_contains(b.ts, x))) as only_source from t a join t b on b.file_id = a.file_id + 1""")
+@query(f"""with {TAGS_SQL}, t as (select file_id, list_sort(list(tag)) as ts from tags group by 1) select a.file_id as source, b.file_id as target, len(list_intersect(a.ts, b.ts)) as shared, len(list_filter(a.ts, lambda x: not list_contains(b.ts, x))) as only_source from t a join t b on b.file_id = a.file_id + 1""")
 def set_tag_overlap(spark, sf_dir):
     """Tag sets of neighbouring files: what they share and what only the first has."""
-    t = tags(spark, sf_dir).where("file_id <= 400").groupBy("file_id").agg(F.collect_set("tag").alias("ts"))
+    t = tags(spark, sf_dir).groupBy("file_id").agg(F.collect_set("tag").alias("ts"))
     a, b = t.alias("a"), t.alias("b")
     return a.join(b, F.col("b.file_id") == F.col("a.file_id") + 1).select(F.col("a.file_id").alias("source"), F.col("b.file_id").alias("target"), F.size(F.array_intersect("a.ts", "b.ts")).cast("long").alias("shared"), F.size(F.array_except("a.ts", "b.ts")).cast("long").alias("only_source"))
 

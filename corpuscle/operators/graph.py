@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.operators.relational import EDGES_SQL, TAGS_SQL
+from corpuscle.operators.relational import EDGES_SQL, TAG_PAIRS_SQL, TAGS_SQL, tag_pair_classes
 from corpuscle.sources.tables import cluster_map, edges, files, table, tags
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 def build_nodes(files_: DataFrame, clusters: DataFrame, tags_: DataFrame, total: DataFrame) -> DataFrame:
     """object_type, object_id, label, importance: files, clusters and tags of two files or more."""
     node = lambda df, kind, key, label, weight: df.select(F.lit(kind).alias("object_type"), F.col(key).cast("string").alias("object_id"), label.alias("label"), weight.alias("importance"))
-    used = tags_.groupBy("tag").agg(F.countDistinct("file_id").alias("n")).where("n >= 2").crossJoin(total)
+    used = tags_.groupBy("tag").agg(F.countDistinct("file_id").alias("n")).where("n >= 2").withColumn("total", total.scalar())
     return (
         node(files_, "source_file", "file_id", F.col("filename"), F.lit(0.5))
         .unionByName(node(clusters, "cluster", "cluster_id", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")), F.lit(0.7)))
@@ -49,13 +49,13 @@ def grf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select vec_id::varchar as source, label::varchar as target, 'contains' as edge_type, round(abs(embedding[1]), 6) as weight, 1.0::double as confidence from embeddings
 union all select o_custkey::varchar, o_orderkey::varchar, 'derived_from', 0.9, 1.0 from orders
-union all select l_orderkey::varchar, p_brand || ' ' || p_type, 'has_tag', 0.6, 0.9 from (select distinct l_orderkey, p_brand, p_type from lineitem join part on l_partkey = p_partkey where l_orderkey % 10 = 0)""")
+union all select l_orderkey::varchar, p_brand || ' ' || p_type, 'has_tag', 0.6, 0.9 from (select distinct l_orderkey, p_brand, p_type from lineitem join part on l_partkey = p_partkey)""")
 def grf_edges(spark, sf_dir):
     """Edges from clusters, packs and tags; repeated topics give one edge."""
     edge = lambda df, source, target, kind, weight, sure: df.select(F.col(source).cast("string").alias("source"), F.col(target).cast("string").alias("target"), F.lit(kind).alias("edge_type"), weight.alias("weight"), F.lit(sure).alias("confidence"))
     contains = edge(cluster_map(spark, sf_dir), "file_id", "cluster_id", "contains", F.col("relevance").cast("double"), 1.0)
     derived = edge(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "derived_from", F.lit(0.9), 1.0)
-    tagged = edge(tags(spark, sf_dir).where("file_id % 10 = 0"), "file_id", "tag", "has_tag", F.lit(0.6), 0.9)
+    tagged = edge(tags(spark, sf_dir), "file_id", "tag", "has_tag", F.lit(0.6), 0.9)
     return contains.unionByName(derived).unionByName(tagged)
 
 
@@ -91,17 +91,21 @@ def grf_neighbourhood_edges(spark, sf_dir):
     return touched.groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {TAGS_SQL}, small as (select * from tags where file_id % 20 = 0), rare as (select * from small where tag in (select tag from small group by tag having count(*) <= 100)),
-pairs as (select a.file_id as source, b.file_id as target, count(*) as shared from rare a join rare b on a.tag = b.tag and a.file_id < b.file_id group by 1, 2 having count(*) >= 2)
-select p.source, p.target, p.shared, round(least(0.9, 0.4 + 0.1 * p.shared), 4)::double as confidence from pairs p where not exists (select 1 from orders o where o.o_orderkey = p.source and o.o_custkey = p.target)""")
+@query(f"""with {TAG_PAIRS_SQL}, c as (select tag_a, tag_b, min(file_id) as source from pairs group by 1, 2), links as (select distinct source, file_id as target from pairs join c using (tag_a, tag_b) where file_id <> source),
+shared as (select source, target, count(*) as shared from links l join tags a on a.file_id = l.source join tags b on b.file_id = l.target and a.tag = b.tag group by 1, 2),
+known as (select o_orderkey as x, o_custkey as y from orders union select o_custkey, o_orderkey from orders)
+select source, target, shared, round(least(0.9, 0.4 + 0.1 * shared), 4)::double as confidence from shared where not exists (select 1 from known where x = source and y = target)""")
 def grf_suggestions(spark, sf_dir):
-    """Relations suggested by shared tags, without those that exist; tags of over a hundred of these files suggest none."""
-    t = tags(spark, sf_dir).where("file_id % 20 = 0")
-    kept = t.join(t.groupBy("tag").count().where("count <= 100"), "tag", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col("a.tag") == F.col("b.tag")) & (F.col("a.file_id") < F.col("b.file_id"))).groupBy(F.col("a.file_id").alias("source"), F.col("b.file_id").alias("target")).agg(F.count("*").alias("shared")).where("shared >= 2")
-    known = table(spark, sf_dir, "orders")
-    new = pairs.join(known, (pairs["source"] == known["o_orderkey"]) & (pairs["target"] == known["o_custkey"]), "left_anti")
+    """Relations suggested by two shared tags or more, without those that exist either way: each file with the first file of each of its
+    tag pairs, instead of all pairs."""
+    t = tags(spark, sf_dir)
+    links = tag_pair_classes(t).where("file_id <> first_id").select(F.col("first_id").alias("source"), F.col("file_id").alias("target")).distinct()
+    sets = t.groupBy("file_id").agg(F.collect_set("tag").alias("ts"))
+    a, b = sets.select(F.col("file_id").alias("source"), F.col("ts").alias("a_ts")), sets.select(F.col("file_id").alias("target"), F.col("ts").alias("b_ts"))
+    pairs = links.join(a, "source").join(b, "target").select("source", "target", F.size(F.array_intersect("a_ts", "b_ts")).cast("long").alias("shared"))
+    o = table(spark, sf_dir, "orders")
+    known = o.select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target")).unionByName(o.select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target")))
+    new = pairs.join(known, ["source", "target"], "left_anti")
     return new.select("source", "target", "shared", F.round(F.least(F.lit(0.9), 0.4 + 0.1 * F.col("shared")), 4).alias("confidence"))
 
 

@@ -81,21 +81,21 @@ def mth_profile_valid(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", core.alias("core"), wing.alias("wing"), wing_valid(core, wing).alias("valid"))
 
 
-@query("""select o_custkey as pack_id, count(*) + count(distinct o_orderstatus) as source_count, count(*) >= 3 as shareable, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as ids from orders where o_custkey % 20 = 0 group by 1""")
+@query("""select o_custkey as pack_id, count(*) + count(distinct o_orderstatus) as source_count, count(*) >= 3 as shareable, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as ids from orders group by 1""")
 def arr_pack_sources(spark, sf_dir):
     """Sources of packs: files and clusters counted together."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 20 = 0")
+    o = table(spark, sf_dir, "orders")
     ids = F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",")
     return o.groupBy(F.col("o_custkey").alias("pack_id")).agg((F.count("*") + F.countDistinct("o_orderstatus")).alias("source_count"), (F.count("*") >= 3).alias("shareable"), ids.alias("ids"))
 
 
-@query(f"""with {FILES_SQL} select user_id as pack_id, '### ' || user_id || chr(10) || string_agg(case when summarised then left(extracted_text, 60) else left(extracted_text, 30) end, chr(10) order by file_id) as block from files where file_id % 10 = 0 group by 1""")
+@query(f"""with {FILES_SQL} select user_id || '-' || file_id // 10 as pack_id, '### ' || user_id || '-' || file_id // 10 || chr(10) || string_agg(case when summarised then left(extracted_text, 60) else left(extracted_text, 30) end, chr(10) order by file_id) as block from files group by user_id, file_id // 10""")
 def ret_pack_text(spark, sf_dir):
-    """The text of a pack: its sources' summaries, or the beginnings of their texts."""
-    f = files(spark, sf_dir).where("file_id % 10 = 0")
+    """The text of a pack of ten files: its sources' summaries, or the beginnings of their texts."""
+    f = files(spark, sf_dir).withColumn("pack_id", F.concat_ws("-", "user_id", F.floor(F.col("file_id") / 10).cast("string")))
     part = F.when(F.col("summarised"), F.left("extracted_text", F.lit(60))).otherwise(F.left("extracted_text", F.lit(30)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("file_id", part.alias("t")))), lambda x: x["t"])
-    return f.groupBy(F.col("user_id").alias("pack_id")).agg(F.concat(F.lit("### "), F.first("user_id"), F.lit("\n"), F.array_join(parts, "\n")).alias("block"))
+    return f.groupBy("pack_id").agg(F.concat(F.lit("### "), F.first("pack_id"), F.lit("\n"), F.array_join(parts, "\n")).alias("block"))
 
 
 @query(f"with {MEMORIES_SQL} select memory_id, case when turn = 1 then 'new title' else title end as title, case when turn % 2 = 0 then left(content, 10) else content end as content, is_pinned or turn = 2 as is_pinned from memories")
@@ -114,7 +114,7 @@ def snk_delete_cascade(spark, sf_dir):
     kept = e.join(nodes, e["source"] == nodes["node"], "left_anti").join(nodes, F.col("target") == nodes["node"], "left_anti")
     lines = table(spark, sf_dir, "lineitem")
     refs = lines.join(gone, lines["l_orderkey"] == gone["id"], "left_anti")
-    return kept.agg(F.count("*").alias("edges_left")).crossJoin(refs.agg(F.count("*").alias("refs_left")))
+    return kept.agg(F.count("*").alias("edges_left")).withColumn("refs_left", refs.agg(F.count("*")).scalar())
 
 
 @query(f"""with {EVENTS_SQL} select user_id, count(*) filter (where action = 'view') as views, count(*) filter (where action = 'click') as clones, max(event_id) filter (where action = 'click') as last_clone from ev group by 1 order by views desc, user_id limit 50""")
@@ -124,10 +124,10 @@ def snk_share_counters(spark, sf_dir):
     return e.orderBy(F.desc("views"), "user_id").limit(50)
 
 
-@query("""select e.event_id, coalesce(c.c_name, '?') as actor, e.event_type from events e left join customer c on c.c_custkey = e.user_id and c.c_custkey % 4 <> 0 where e.event_id % 20 = 0""")
+@query("""select e.event_id, coalesce(c.c_name, '?') as actor, e.event_type from events e left join customer c on c.c_custkey = e.user_id and c.c_custkey % 4 <> 0""")
 def jn_audit_actor(spark, sf_dir):
     """Audit rows with their actor's name, where there is one."""
-    e, c = table(spark, sf_dir, "events").where("event_id % 20 = 0"), table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0")
+    e, c = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0")
     return e.join(c, e["user_id"] == c["c_custkey"], "left").select("event_id", F.coalesce("c_name", F.lit("?")).alias("actor"), "event_type")
 
 
@@ -144,7 +144,7 @@ def agg_unprocessed(spark, sf_dir):
     """How many files wait, and whether a list of fifty would be cut."""
     d, s = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     waiting = d.join(s, "doc_id", "left_anti").agg(F.count("*").alias("waiting"))
-    return d.agg(F.count("*").alias("total")).crossJoin(waiting).select("total", "waiting", (F.col("total") - F.col("waiting")).alias("done"), (F.col("waiting") > 50).alias("truncated"))
+    return d.agg(F.count("*").alias("total")).withColumn("waiting", waiting.scalar()).select("total", "waiting", (F.col("total") - F.col("waiting")).alias("done"), (F.col("waiting") > 50).alias("truncated"))
 
 
 @query("""with e as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) select user_id, event_id, n from e where n <= 3""")
@@ -177,7 +177,7 @@ def grf_orphans(spark, sf_dir):
     c, f = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "labels").select("doc_id")
     ghosts = c.join(f, c["vec_id"] == f["doc_id"], "left_anti").agg(F.count("*").alias("ghost_nodes"))
     alive = c.join(f, c["vec_id"] == f["doc_id"], "left_semi").select("label").distinct()
-    return ghosts.crossJoin(c.select("label").distinct().join(alive, "label", "left_anti").agg(F.count("*").alias("empty_clusters")))
+    return ghosts.withColumn("empty_clusters", c.select("label").distinct().join(alive, "label", "left_anti").agg(F.count("*")).scalar())
 
 
 @query()

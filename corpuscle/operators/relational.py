@@ -144,32 +144,40 @@ def jn_file_clusters(spark, sf_dir):
     return joined.groupBy(F.col("vec_id").alias("file_id")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("titles"), F.count("*").alias("n_clusters"))
 
 
-@query("select a.vec_id as source, b.vec_id as target, a.label as cluster_id from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 100 and b.vec_id < 100")
+@query("select vec_id as file_id, e.label as cluster_id, first_id, n_links from embeddings e join (select label, min(vec_id) as first_id, count(*) - 1 as n_links from embeddings group by 1 having count(*) > 1) using (label)")
 def jn_comember_pairs(spark, sf_dir):
-    """Pairs of files of one cluster. Pairs grow with the square of a cluster: the query takes the clusters' first hundred files."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", "label")
-    a, b = e.alias("a"), e.alias("b")
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("source"), F.col("b.vec_id").alias("target"), F.col("a.label").alias("cluster_id"))
+    """Links of files of one cluster: each file with its cluster's first one and the number of its links; all of a cluster are linked."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    classes = e.groupBy("label").agg(F.min("vec_id").alias("first_id"), (F.count("*") - 1).alias("n_links")).where("n_links > 0")
+    return e.join(classes, "label").select(F.col("vec_id").alias("file_id"), F.col("label").alias("cluster_id"), "first_id", "n_links")
 
 
-@query(f"""with {TAGS_SQL}, rare as (select * from tags where tag in (select tag from tags group by tag having count(*) <= 200))
-select a.file_id as source, b.file_id as target, count(*) as shared from rare a join rare b on a.tag = b.tag and a.file_id < b.file_id group by 1, 2 having count(*) >= 2""")
+#: Files by pairs of their tags.
+TAG_PAIRS_SQL = f"{TAGS_SQL}, pairs as (select a.file_id, a.tag as tag_a, b.tag as tag_b from tags a join tags b on a.file_id = b.file_id and a.tag < b.tag)"
+
+
+def tag_pair_classes(tags_: DataFrame) -> DataFrame:
+    """tag_a, tag_b, file_id, first_id, members: two files share two tags or more where they share a pair of tags, so such links are
+    the classes of files by tag pair. A file of k tags is in k (k - 1) / 2 classes; classes of one file are left out."""
+    of_file = tags_.groupBy("file_id").agg(F.array_sort(F.collect_set("tag")).alias("ts"))
+    first = of_file.select("file_id", "ts", F.posexplode("ts").alias("i", "tag_a"))
+    pairs = first.select("file_id", "tag_a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("tag_b"))
+    classes = pairs.groupBy("tag_a", "tag_b").agg(F.min("file_id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
+    return pairs.join(classes, ["tag_a", "tag_b"])
+
+
+@query(f"with {TAG_PAIRS_SQL}, c as (select tag_a, tag_b, min(file_id) as first_id, count(*) as members from pairs group by 1, 2 having count(*) > 1) select tag_a, tag_b, file_id, first_id, members from pairs join c using (tag_a, tag_b)")
 def jn_shared_tag_pairs(spark, sf_dir):
-    """Files that share two tags or more. Tags of over 200 files relate nothing: the cap is part of the operator."""
-    t = tags(spark, sf_dir)
-    rare = t.groupBy("tag").count().where("count <= 200").select("tag")
-    kept = t.join(rare, "tag", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col("a.tag") == F.col("b.tag")) & (F.col("a.file_id") < F.col("b.file_id")))
-    return pairs.groupBy(F.col("a.file_id").alias("source"), F.col("b.file_id").alias("target")).agg(F.count("*").alias("shared")).where("shared >= 2")
+    """Files that share two tags or more, as classes by tag pair with their first file."""
+    return tag_pair_classes(tags(spark, sf_dir)).select("tag_a", "tag_b", "file_id", "first_id", "members")
 
 
-@query("""select a.p_partkey as source, b.p_partkey as target from part a join part b on lower(a.p_name) = lower(b.p_name) and a.p_partkey < b.p_partkey""")
+@query("""select p_partkey as entity, first_id, n_links from part join (select lower(p_name) as label, min(p_partkey) as first_id, count(*) - 1 as n_links from part group by 1 having count(*) > 1) on lower(p_name) = label""")
 def jn_same_label_pairs(spark, sf_dir):
-    """Entities whose labels are equal but for case."""
+    """Entities whose labels are equal but for case: each with the first of them and the number of its links."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("label"))
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("source"), F.col("b.p_partkey").alias("target"))
+    classes = p.groupBy("label").agg(F.min("p_partkey").alias("first_id"), (F.count("*") - 1).alias("n_links")).where("n_links > 0")
+    return p.join(classes, "label").select(F.col("p_partkey").alias("entity"), "first_id", "n_links")
 
 
 @query(f"with {EDGES_SQL} select target as node, count(*) as backlinks, round(sum(weight), 4) as weight from edges where edge_type = 'contains' group by 1")
@@ -247,7 +255,7 @@ def agg_tag_files(spark, sf_dir):
     """Files of each tag, and the tag's importance; tags of one file say nothing."""
     t = tags(spark, sf_dir)
     total = t.agg(F.countDistinct("file_id").alias("total"))
-    return t.groupBy("tag").agg(F.countDistinct("file_id").alias("n_files")).where("n_files >= 2").crossJoin(total).select("tag", "n_files", F.round(F.least(F.lit(0.9), 0.3 + 0.6 * F.col("n_files") / F.col("total")), 6).alias("importance"))
+    return t.groupBy("tag").agg(F.countDistinct("file_id").alias("n_files")).where("n_files >= 2").withColumn("total", total.scalar()).select("tag", "n_files", F.round(F.least(F.lit(0.9), 0.3 + 0.6 * F.col("n_files") / F.col("total")), 6).alias("importance"))
 
 
 @query(f"with {USERS_SQL} select plan, count(*) as n_users, count(*) filter (where is_active) as n_active, round(sum(balance), 2) as balance from planned group by 1")
@@ -278,18 +286,19 @@ def agg_cluster_members(spark, sf_dir):
 
 @query("select (select count(*) from documents) as files, (select count(*) from embeddings) as vectors, (select count(*) from pages) as pages, (select count(*) from conversations) as turns, (select count(*) from events where event_type = 'error') as errors")
 def agg_overview(spark, sf_dir):
-    """Counts of several tables as one row: one-row frames joined."""
-    n = lambda name, alias, where="true": table(spark, sf_dir, name).where(where).agg(F.count("*").alias(alias))
-    return n("documents", "files").crossJoin(n("embeddings", "vectors")).crossJoin(n("pages", "pages")).crossJoin(n("conversations", "turns")).crossJoin(n("events", "errors", "event_type = 'error'"))
+    """Counts of several tables as one row: scalar subqueries."""
+    n = lambda name, alias, where="true": table(spark, sf_dir, name).where(where).agg(F.count("*")).scalar().alias(alias)
+    return spark.range(1).select(n("documents", "files"), n("embeddings", "vectors"), n("pages", "pages"), n("conversations", "turns"), n("events", "errors", "event_type = 'error'"))
 
 
-@query("select coalesce(p_type, 'other') as family, count(*) as n, string_agg(p_name, '|' order by p_partkey) filter (where p_partkey <= 40) as items from part group by 1")
+@query("select coalesce(p_type, 'other') as family, count(*) as n, string_agg(p_name, '|' order by p_partkey) filter (where nth <= 20) as items from (select *, row_number() over (partition by coalesce(p_type, 'other') order by p_partkey) as nth from part) group by 1")
 def agg_family_lists(spark, sf_dir):
-    """Nodes by family, with the list of the first ones."""
-    p = table(spark, sf_dir, "part")
-    items = F.sort_array(F.collect_list(F.when(F.col("p_partkey") <= 40, F.struct("p_partkey", "p_name"))))
-    joined = F.array_join(F.transform(items, lambda x: x["p_name"]), "|")
-    return p.groupBy(F.coalesce("p_type", F.lit("other")).alias("family")).agg(F.count("*").alias("n"), F.when(F.size(items) > 0, joined).alias("items"))
+    """Nodes by family: how many, and the first twenty."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.coalesce("p_type", F.lit("other")).alias("family"))
+    first = p.withColumn("nth", F.row_number().over(Window.partitionBy("family").orderBy("p_partkey"))).where("nth <= 20")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
+    lists = first.groupBy("family").agg(F.array_join(items, "|").alias("items"))
+    return p.groupBy("family").agg(F.count("*").alias("n")).join(lists, "family")
 
 
 @query(f"with {EVENTS_SQL} select action, count(*) as n, round(avg(value), 4) as mean, min(k) as low, max(k) as high, count(distinct user_id) as n_users from ev group by 1")

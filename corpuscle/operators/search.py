@@ -1,7 +1,7 @@
 """The search index and the searches over it; exact and semantic duplicates.
 
 An index is three tables: chunks (tenant, file, chunk), postings (a row a term and chunk) and IDF (a row a tenant and term). A query's
-terms are few, so they are broadcast against the postings; chunk norms come from the postings once.
+terms are few; chunk norms come from the postings once.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from corpuscle.sources.tables import files, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 QUERY = "the license of this and that for the ligne"
-TENANTS = ("src1", "src2")
-#: Characters of a file that stand for it in semantic duplicate search, and files looked at in a batch.
+#: Characters of a file that stand for it in semantic duplicate search.
 QUERY_CHARS = 2000
 
 
@@ -36,7 +35,7 @@ def build_index(docs: DataFrame) -> Index:
     terms = chunks.select("user_id", "file_id", "chunk_index", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
     counted = terms.groupBy("user_id", "file_id", "chunk_index", "term").agg((F.count("*") / F.first("n")).alias("tf"))
     total = chunks.groupBy("user_id").agg(F.count("*").alias("total"))
-    idf = counted.groupBy("user_id", "term").agg(F.count("*").alias("df")).join(F.broadcast(total), "user_id").select("user_id", "term", "df", F.log(F.col("total") / (1 + F.col("df"))).alias("idf"))
+    idf = counted.groupBy("user_id", "term").agg(F.count("*").alias("df")).join(total, "user_id").select("user_id", "term", "df", F.log(F.col("total") / (1 + F.col("df"))).alias("idf"))
     return Index(chunks, counted, idf)
 
 
@@ -49,11 +48,11 @@ def query_terms(spark: SparkSession, query: str, idf: DataFrame) -> DataFrame:
 def semantic_scores(index: Index, terms: DataFrame) -> DataFrame:
     """user_id, file_id, chunk_index, relevance of all chunks: TF-IDF cosine, 0 where nothing is shared or it is negative."""
     weights = index.postings.join(index.idf, ["user_id", "term"]).withColumn("d", F.col("tf") * F.col("idf"))
-    matched = weights.join(F.broadcast(terms), ["user_id", "term"], "left")
+    matched = weights.join(terms, ["user_id", "term"], "left")
     sums = matched.groupBy("user_id", "file_id", "chunk_index").agg(F.sum(F.col("d") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
     norms = terms.groupBy("user_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     one = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
-    scored = sums.join(F.broadcast(norms), "user_id", "left").withColumn("relevance", F.when(F.col("dot") > 0, F.round(F.col("dot") / (one("norm") * one("q_norm")), 6)).otherwise(0.0))
+    scored = sums.join(norms, "user_id", "left").withColumn("relevance", F.when(F.col("dot") > 0, F.round(F.col("dot") / (one("norm") * one("q_norm")), 6)).otherwise(0.0))
     return index.chunks.select("user_id", "file_id", "chunk_index").join(scored.select("user_id", "file_id", "chunk_index", "relevance"), ["user_id", "file_id", "chunk_index"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
 
 
@@ -81,12 +80,8 @@ def hybrid(index: Index, query: str, n: int = 8, alpha: float = 0.6) -> DataFram
     return top(merged.withColumn("relevance", F.round(alpha * F.col("semantic") + (1 - alpha) * F.col("keyword"), 6)), n).select("user_id", "rank", "file_id", "chunk_index", "relevance", "mode")
 
 
-def tenant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where(F.col("user_id").isin(*TENANTS))
-
-
 CHUNKS_SQL = rf"""{FILES_SQL}, pieces as (select file_id, user_id, extracted_text as t, list_transform(list_filter(list_transform(string_split(regexp_replace(extracted_text, '([.!?\n])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x, e' \n\t\r')), lambda x: x <> ''), lambda x: [x]) as s
- from files where user_id in ('src1', 'src2')),
+ from files),
 packed as (select file_id, user_id, case when length(t) = 0 then [] when length(t) < 500 then [t] else list_reduce(list_prepend([''], s), lambda acc, x: case when length(acc[-1]) + length(x[1]) + 1 <= 500 then list_append(acc[:-2], trim(acc[-1] || ' ' || x[1])) else list_append(list_filter(acc, lambda y: y <> ''), x[1]) end) end as c from pieces),
 chunks as (select file_id, user_id, unnest(range(0, len(c))) as chunk_index, unnest(c) as chunk from packed),
 toks as (select *, regexp_extract_all(lower(chunk), '[a-z0-9]+|[\x{{0E00}}-\x{{0E7F}}]+') as tokens from chunks),
@@ -113,16 +108,16 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"with {CHUNKS_SQL} select user_id, term, df, round(idf, 6) as idf from idf where df >= 20")
+@query(f"with {CHUNKS_SQL} select user_id, term, df, round(idf, 6) as idf from idf")
 def idx_idf(spark, sf_dir):
-    """Document frequencies and weights of the common terms."""
-    return build_index(tenant_files(spark, sf_dir)).idf.where("df >= 20").select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
+    """Document frequencies and weights of all terms."""
+    return build_index(files(spark, sf_dir)).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {CHUNKS_SQL} select file_id, chunk_index, count(*) as n_terms, round(max(tf), 6) as top_tf from postings group by all")
 def idx_postings(spark, sf_dir):
     """Terms of each chunk."""
-    p = build_index(tenant_files(spark, sf_dir)).postings.groupBy("file_id", "chunk_index").agg(F.count("*").alias("n_terms"), F.round(F.max("tf"), 6).alias("top_tf"))
+    p = build_index(files(spark, sf_dir)).postings.groupBy("file_id", "chunk_index").agg(F.count("*").alias("n_terms"), F.round(F.max("tf"), 6).alias("top_tf"))
     return p.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -133,14 +128,14 @@ def _places(df: DataFrame) -> DataFrame:
 @query(f"with {CHUNKS_SQL} select user_id, rank, file_id, chunk_index, relevance from st where rank <= 16")
 def sch_semantic(spark, sf_dir):
     """The best chunks by TF-IDF cosine."""
-    index = build_index(tenant_files(spark, sf_dir))
+    index = build_index(files(spark, sf_dir))
     return _places(top(semantic_scores(index, query_terms(spark, QUERY, index.idf)), 16))
 
 
 @query(f"with {CHUNKS_SQL} select user_id, rank, file_id, chunk_index, relevance from kt where rank <= 16")
 def sch_keyword(spark, sf_dir):
     """The best chunks by keywords."""
-    return _places(top(keyword_scores(build_index(tenant_files(spark, sf_dir)), QUERY), 16))
+    return _places(top(keyword_scores(build_index(files(spark, sf_dir)), QUERY), 16))
 
 
 @query(f"""with {CHUNKS_SQL}, s as (select * from st where rank <= 16), k as (select * from kt where rank <= 16),
@@ -149,7 +144,7 @@ m as (select coalesce(s.user_id, k.user_id) as user_id, coalesce(s.file_id, k.fi
 r as (select *, row_number() over (partition by user_id order by relevance desc, file_id, chunk_index) as rank from m) select user_id, rank, file_id, chunk_index, relevance, mode from r where rank <= 8""")
 def sch_hybrid(spark, sf_dir):
     """Hybrid search, the flagship: chunks, postings, weights, two rankings, their merge."""
-    return _places(hybrid(build_index(tenant_files(spark, sf_dir)), QUERY))
+    return _places(hybrid(build_index(files(spark, sf_dir)), QUERY))
 
 
 @query(f"""with {FILES_SQL}, s as (select file_id, case when contains(lower(filename), 'en') then 0.5 else 0 end + case when summarised and contains(lower(left(extracted_text, 200)), 'en') then 0.4 else 0 end
@@ -175,24 +170,43 @@ def dup_exact(spark, sf_dir):
     return h.join(g, ["source", "hash"]).select(F.col("doc_id").alias("file_id"), "match_id", "copies")
 
 
-@query()
-def dup_semantic(spark, sf_dir, threshold: float = 0.8, every: int = 1):
-    """Near copies of new files in their tenant: TF-IDF cosine of their first characters to other files' chunks.
+def _weighed(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """user_id, ``key``, term, w (weights of norm 1) and ``rest``: the squares of this term's weight and those of all commoner ones."""
+    vector = Window.partitionBy("user_id", key)
+    w = counts.join(idf, ["user_id", "term"]).withColumn("w", F.col("tf") * F.col("idf")).withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(vector))).where("norm > 0")
+    rest = F.sum(F.col("w") * F.col("w")).over(vector.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
+    return w.withColumn("w", F.col("w") / F.col("norm")).select("user_id", key, "term", "w", rest.alias("rest"))
+
 
-    Terms that over a fifth of a tenant's chunks hold weigh little and are not joined on; scores are then of the remaining terms. SQL would
-    repeat the index for every file: tests hold the result against a direct computation.
+def semantic_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """new_id, match_id, similarity: for each of ``docs`` (file_id, user_id, extracted_text) the file of its tenant with the most similar chunk.
+
+    TF-IDF cosine of a file's first QUERY_CHARS characters to other files' chunks, rounded to two places, from ``threshold`` on; ties go to
+    the smallest id. Equal texts are compared once: a chunk stands for its two first files, which is enough to name another one. Pairs meet
+    on their rarest terms: where two vectors share none of the terms before the rest of either has a norm below the threshold, their cosine
+    is below it too. So no link is lost, and common terms make no candidates. Files without a tenant or a weighted term have no match.
     """
-    f = tenant_files(spark, sf_dir)
-    index = build_index(f)
-    total = index.chunks.groupBy("user_id").agg(F.count("*").alias("total"))
-    idf = index.idf.join(F.broadcast(total), "user_id").where("df * 5 <= total").select("user_id", "term", "idf")
-    asked = f.where(F.col("file_id") % every == 0).select("user_id", F.col("file_id").alias("new_id"), text.tokens(F.left("extracted_text", F.lit(QUERY_CHARS))).alias("t"))
-    tf = asked.select("user_id", "new_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("user_id", "new_id", "term").agg((F.count("*") / F.first("n")).alias("tf"))
-    q = tf.join(idf, ["user_id", "term"]).withColumn("q", F.col("tf") * F.col("idf"))
-    d = index.postings.join(idf, ["user_id", "term"]).select("user_id", "term", "file_id", "chunk_index", (F.col("tf") * F.col("idf")).alias("d"))
-    q_norm = q.groupBy("user_id", "new_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    d_norm = d.groupBy("user_id", "file_id", "chunk_index").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("dn"))
-    dots = q.select("user_id", "term", "new_id", "q").join(d, ["user_id", "term"]).where("new_id <> file_id").groupBy("user_id", "new_id", "file_id", "chunk_index").agg(F.sum(F.col("q") * F.col("d")).alias("dot"))
-    scored = dots.join(q_norm, ["user_id", "new_id"]).join(d_norm, ["user_id", "file_id", "chunk_index"]).withColumn("similarity", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 2))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("new_id").agg(F.max_by("file_id", F.struct("similarity", -F.col("file_id"))).alias("match_id"), F.max("similarity").alias("similarity"))
-    return best
+    index = build_index(docs)
+    least = (threshold - 0.006) ** 2  # what rounds up to the threshold, and a little for the sums
+    heads = docs.select("user_id", "file_id", F.left("extracted_text", F.lit(QUERY_CHARS)).alias("head")).withColumn("q_id", F.sha2("head", 256))
+    asked = heads.dropDuplicates(["user_id", "q_id"]).select("user_id", "q_id", text.tokens(F.col("head")).alias("t"))
+    q = _weighed(asked.select("user_id", "q_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("user_id", "q_id", "term").agg((F.count("*") / F.first("n")).alias("tf")), index.idf, "q_id")
+    held = index.chunks.select("user_id", "file_id", F.sha2("chunk", 256).alias("c_id"), "tokens")
+    told = held.dropDuplicates(["user_id", "c_id"]).select("user_id", "c_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
+    d = _weighed(told.groupBy("user_id", "c_id", "term").agg((F.count("*") / F.first("n")).alias("tf")), index.idf, "c_id")
+    rare = lambda v: v.where(F.col("rest") >= least).drop("w", "rest")
+    met = rare(q).join(rare(d), ["user_id", "term"]).select("user_id", "q_id", "c_id").distinct()
+    dots = met.join(q, ["user_id", "q_id"]).join(d.select("user_id", "c_id", "term", F.col("w").alias("v")), ["user_id", "c_id", "term"])
+    near = dots.groupBy("user_id", "q_id", "c_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 2).alias("similarity")).where(F.col("similarity") >= threshold)
+    order = F.row_number().over(Window.partitionBy("user_id", "c_id").orderBy("file_id"))
+    owners = held.select("user_id", "c_id", "file_id").distinct().withColumn("nth", order).where("nth <= 2").drop("nth")
+    by_file = near.join(owners, ["user_id", "c_id"]).groupBy("user_id", "q_id", F.col("file_id").alias("match_id")).agg(F.max("similarity").alias("similarity"))
+    best = by_file.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "q_id").orderBy(F.desc("similarity"), "match_id"))).where("nth <= 2")
+    named = heads.select("user_id", "q_id", F.col("file_id").alias("new_id")).join(best, ["user_id", "q_id"]).where("new_id <> match_id")
+    return named.groupBy("new_id").agg(F.min_by("match_id", "nth").alias("match_id"), F.min_by("similarity", "nth").alias("similarity"))
+
+
+@query()
+def dup_semantic(spark, sf_dir, threshold: float = 0.8):
+    """Near copies of files in their tenant. SQL would repeat the index for every file: a test holds the operator against a direct computation."""
+    return semantic_duplicates(files(spark, sf_dir), threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,20 +27,22 @@ def query(sql: str | None = None):
     return add
 
 
-#: Query vectors that are broadcast to all others at a time; more are a job for an index.
-MOST_QUERIES = 1000
+#: Query vectors, about, that are broadcast to all others at a time.
+QUERY_BLOCK = 1000
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, similarity: the ``k`` nearest of ``vectors`` by cosine to each row of ``asked``, itself aside.
 
-    A stated, bounded query set goes to all vectors; each partition keeps its best before the shuffle (a window with a rank limit does).
+    A stated query set goes to all vectors in blocks of about QUERY_BLOCK; each partition keeps its best before the shuffle (a window with a
+    rank limit does).
     """
-    q = asked.limit(MOST_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     near = F.round(scoring.cosine(F.col("embedding"), F.col("q")), 5)
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", near.alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks = max(-(-asked.count() // QUERY_BLOCK), 1)
+    block = lambda i: asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = [vectors.join(F.broadcast(block(i)), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", near.alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= k) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("""with p as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) as similarity from embeddings v, embeddings q where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id),
