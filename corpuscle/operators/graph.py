@@ -97,7 +97,7 @@ known as (select o_orderkey as x, o_custkey as y from orders union select o_cust
 select source, target, shared, round(least(0.9, 0.4 + 0.1 * shared), 4)::double as confidence from shared where not exists (select 1 from known where x = source and y = target)""")
 def grf_suggestions(spark, sf_dir):
     """Relations suggested by two shared tags or more, without those that exist either way: each file with the first file of each of its
-    tag pairs, instead of all pairs."""
+    tag pairs. This is a star of each class, not all of its links: those follow from grf_suggestion_classes and grf_suggestion_known."""
     t = tags(spark, sf_dir)
     links = tag_pair_classes(t).where("file_id <> first_id").select(F.col("first_id").alias("source"), F.col("file_id").alias("target")).distinct()
     sets = t.groupBy("file_id").agg(F.collect_set("tag").alias("ts"))
@@ -109,6 +109,28 @@ def grf_suggestions(spark, sf_dir):
     return new.select("source", "target", "shared", F.round(F.least(F.lit(0.9), 0.4 + 0.1 * F.col("shared")), 4).alias("confidence"))
 
 
+def known_suggestions(tags_: DataFrame, known: DataFrame) -> DataFrame:
+    """source, target, shared: relations of ``known`` (source, target) between files that share two tags or more, the smaller id first."""
+    sets = tags_.groupBy("file_id").agg(F.collect_set("tag").alias("ts"))
+    a, b = sets.select(F.col("file_id").alias("source"), F.col("ts").alias("a_ts")), sets.select(F.col("file_id").alias("target"), F.col("ts").alias("b_ts"))
+    pairs = known.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    return pairs.join(a, "source").join(b, "target").select("source", "target", F.size(F.array_intersect("a_ts", "b_ts")).cast("long").alias("shared")).where("shared >= 2")
+
+
+@query(f"""with {TAG_PAIRS_SQL}, c as (select tag_a, tag_b, min(file_id) as first_id, count(*) as members from pairs group by 1, 2 having count(*) > 1)
+select tag_a, tag_b, file_id, first_id, members from pairs join c using (tag_a, tag_b)""")
+def grf_suggestion_classes(spark, sf_dir):
+    """All suggestions as classes by tag pair: any two files of a class, unless grf_suggestion_known has them."""
+    return tag_pair_classes(tags(spark, sf_dir)).select("tag_a", "tag_b", "file_id", "first_id", "members")
+
+
+@query(f"""with {TAGS_SQL}, k as (select distinct least(o_orderkey, o_custkey) as source, greatest(o_orderkey, o_custkey) as target from orders where o_orderkey <> o_custkey)
+select source, target, count(*) as shared from k join tags a on a.file_id = source join tags b on b.file_id = target and a.tag = b.tag group by 1, 2 having count(*) >= 2""")
+def grf_suggestion_known(spark, sf_dir):
+    """The exceptions to grf_suggestion_classes: pairs of a class that have a relation either way."""
+    return known_suggestions(tags(spark, sf_dir), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target")))
+
+
 @query(f"""with {EDGES_SQL}, gone as (select distinct 'p' || p_partkey as node from part where p_size > 40), kept as (select * from edges where source not in (select node from gone) and target not in (select node from gone))
 select edge_type, count(*) as n, (select count(*) from edges e where e.edge_type = kept.edge_type) - count(*) as removed from kept group by 1""")
 def grf_hygiene(spark, sf_dir):
