@@ -108,11 +108,15 @@ class Scanner:
         for notice, places in seeds.items():
             label, length, errors, pattern = self.notices[notice]
             for a, b in windows(sorted(places), length, errors):
-                while min(b, len(line)) - a >= length - errors and (m := pattern.search(line, a, min(b, len(line)))):
+                ranges = [(a, min(b, len(line)))]  # the best match of a range comes first; what lies before and after it is searched as well
+                while ranges:
+                    a, b = ranges.pop()
+                    if b - a < length - errors or not (m := pattern.search(line, a, b)):
+                        continue
                     wrong = sum(m.fuzzy_counts)
                     first, last = line.count(" ", 0, m.start() + (line[m.start()] == " ")) - 1, line.count(" ", 0, m.end() - (line[m.end() - 1] == " ")) - 1
                     matches.append((label, first, last, wrong, 1 - wrong / length))
-                    a = m.end()
+                    ranges += [(a, m.start()), (m.end(), b)]
         return sorted(phrases), sorted(matches, key=lambda x: (x[1], x[2], x[0]))
 
 
