@@ -1,26 +1,33 @@
-"""Suffix-array deduplication: bytes covered by a LENGTH-byte string that also starts anywhere else go.
+"""Suffix-array deduplication: what a string of ``length`` symbols covers that also starts anywhere else goes.
 
-Sorting all suffixes of a corpus is more than is needed, as a window of LENGTH bytes repeats only where its anchor's string does (see
+A ``Rule`` names the symbols, bytes or words (runs of bytes other than \\x20 and \\x09-\\x0D), and the length. ``BYTES`` is the digest
+contract's rule, 400 bytes; ``PASSAGES``, the pipeline's, is 51 words, as a passage of over 50 words is of 51 at least, however long they are.
+
+Sorting all suffixes of a corpus is more than is needed, as a window of ``length`` symbols repeats only where its anchor's string does (see
 ``anchors``). So the work narrows without losing a window:
 
-1. Every document gives its anchors: place, windows that share it, hash of its string, hash of all bytes those windows span. Kept as a table.
-2. Anchors of equal string, windows and span are one class. A class met twice repeats whole. A class met once whose anchor string no other
-   class has doesn't repeat at all. Left are single classes that share an anchor string with others.
-3. The spans of those, and of the classes they may repeat, go to shards by anchor string, once a class. A shard is one text whose suffixes
-   are put in order by external induced sorting (``induced_sort``): tuples of place and common prefix wait in queues that go to disk, and
-   neighbours with LENGTH symbols in common are the windows that repeat. Shards close at SHARD_BYTES, between anchor strings; one anchor
-   string with more is a larger shard of its own.
-4. Windows found, and those of classes met twice, become spans of their documents; covered bytes are cut.
+1. Every document gives its anchors: windows that share one, hash of its string, hash of all symbols those windows span. Kept as a table, of
+   which only rows whose anchor string occurs again are looked at further.
+2. Anchors of equal string, windows and span are one class; two hashes of 64 bits tell classes apart. A class met twice repeats whole. A class
+   met once whose anchor string no other class has doesn't repeat at all. Left are single classes that share an anchor string with others.
+3. The spans of those, and of the classes they may repeat, go to shards by anchor string, once a class. Equal windows stand at equal offsets
+   from their anchor, so windows whose offset lies in one step of ``length // 8`` share a *core* of at least 7/8 of a window: what has a core
+   of its own doesn't repeat. An anchor string of over MOST_KINDS classes (a line in a third of all documents) is dealt out by cores.
+4. A shard is one text whose suffixes are put in order by external induced sorting (``induced_sort``): tuples of place and common prefix wait
+   in queues that go to disk, and neighbours with ``length`` symbols in common are the windows that repeat.
+5. Windows found, and those of classes met twice, become spans of their documents; what they cover is cut.
 
 Documents are told apart by doc_id and text, so copies of a document share one result and count as different places. Nulls: a null text is
-empty; a null doc_id is a value like others. Texts shorter than LENGTH lose nothing. Repeated rows lose all of a text of LENGTH bytes or
-more. Matches never cross documents. An empty table gives none.
+empty; a null doc_id is a value like others. Texts shorter than a window lose nothing. Repeated rows lose all of a text of a window's length
+or more. Matches never cross documents. An empty table gives none. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +37,39 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import induced_sort
 from corpuscle.llm.anchors import anchors
-from corpuscle.llm.tables import keep, load, map_slices, small_batches
+from corpuscle.llm.tables import free_name, keep, load, map_slices, small_batches
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Symbols, symbols of a window, symbols of an anchor's string."""
+
+    words: bool
+    length: int
+    gram: int
+
+    def symbols(self, data: bytes) -> np.ndarray:
+        """Bytes, or a 64-bit hash of each word."""
+        if not self.words:
+            return np.frombuffer(data, np.uint8)
+        words = data.split()  # at the same bytes as WORD
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    @property
+    def dtype(self) -> type:
+        return np.uint64 if self.words else np.uint8
 
-LENGTH = 400
-GRAM = 64
-SHARD_BYTES = 2 << 20
 
-ANCHORS = "doc_id long, text_hash long, place int, first int, last int, anchor long, span long"
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int64()), ("span", pa.int64())])
+BYTES = Rule(False, 400, 64)
+PASSAGES = Rule(True, 51, 8)
+SHARD_SYMBOLS = 2 << 20
+#: Classes of one anchor string beyond which it is dealt out by cores.
+MOST_KINDS = 2048
+
+ANCHORS = "rule int, doc_id long, text_hash long, lead int, first int, last int, anchor long, span long"
+_ANCHORS = pa.schema([(n, {"int": pa.int32(), "long": pa.int64()}[t]) for n, t in (x.split() for x in ANCHORS.split(", "))])
 
 
 def _bytes(text: str | None) -> bytes:
@@ -45,13 +77,13 @@ def _bytes(text: str | None) -> bytes:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key of a document, doc_id and text_hash, as _id and _hash."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.withColumns({"_id": docs["doc_id"].cast("long"), "_hash": F.xxhash64(text)})
+    """The key of every document, its doc_id and a hash of its text, and its text."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("key_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key_hash"), text.alias("key_text"))
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
-    """The anchors of every document, with ``class``, a hash of anchor, windows and span."""
+def anchor_table(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The anchors of every document under every rule, with ``class``, a hash of windows and span; a rule's anchors have hashes of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,36 +91,45 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 columns: list[list[np.ndarray]] = [[] for _ in _ANCHORS]
                 for doc_id, text_hash, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     data = _bytes(text)
-                    place, first, last, h = anchors(np.frombuffer(data, np.uint8), LENGTH, GRAM)
-                    if len(place):
-                        span = np.array([xxhash.xxh64_intdigest(data[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-                        ids = pa.nulls(len(place), pa.int64()) if doc_id is None else pa.array(np.full(len(place), doc_id))
-                        for column, values in zip(columns, (ids, np.full(len(place), text_hash), place, first, last, h.view(np.int64), span.view(np.int64)), strict=True):
-                            column.append(values)
+                    for n, rule in enumerate(rules):
+                        symbols = rule.symbols(data)
+                        raw, step = (data, 1) if not rule.words else (symbols.tobytes(), 8)
+                        place, first, last, h = anchors(symbols, rule.length, rule.gram)
+                        if len(place):
+                            span = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip((first * step).tolist(), ((last + rule.length) * step).tolist(), strict=True)], np.uint64)
+                            ids = pa.nulls(len(place), pa.int64()) if doc_id is None else pa.array(np.full(len(place), doc_id))
+                            found = (np.full(len(place), n), ids, np.full(len(place), text_hash), place - first, first, last, h.view(np.int64) ^ n, span.view(np.int64))
+                            for column, values in zip(columns, found, strict=True):
+                                column.append(values)
                 if columns[0]:
-                    arrays = [pa.concat_arrays(columns[0])] + [pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(columns[1:], list(_ANCHORS)[1:], strict=True)]
+                    arrays = [pa.concat_arrays(c) if f.name == "doc_id" else pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(columns, _ANCHORS, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, schema=_ANCHORS)
 
-    found = keyed(docs).select("_id", "_hash", "text").mapInArrow(run, ANCHORS)
-    return found.select("doc_id", "text_hash", "place", "first", "last", "anchor", F.xxhash64("anchor", F.col("place") - F.col("first"), F.col("last") - F.col("place"), "span").alias("class"))
-
-
-def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
-    """For each string, which of its windows of LENGTH bytes occur elsewhere in it or another one."""
-    text = np.zeros(sum(map(len, strings)) + len(strings) + 1, np.int32)
-    starts, at = [], 0
-    for s in strings:
-        starts.append(at)
-        text[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.int32) + 2
-        at += len(s) + 1
-        text[at - 1] = 1
+    found = keyed(docs).mapInArrow(run, ANCHORS)
+    return found.select("rule", "doc_id", "text_hash", "lead", "first", "last", "anchor", F.xxhash64("lead", F.col("last") - F.col("first"), "span").alias("class"))
+
+
+def repeated_windows(strings: list[np.ndarray], length: int = BYTES.length) -> list[np.ndarray]:
+    """For each string of symbols, which of its windows of ``length`` occur elsewhere in it or another one."""
+    if not strings:
+        return []
+    joined = np.concatenate(strings)
+    if joined.dtype == np.uint8:
+        joined = joined.astype(np.int32)
+    else:
+        joined = np.unique(joined, return_inverse=True)[1].astype(np.int32)
+    text = np.ones(len(joined) + len(strings) + 1, np.int32)  # 1 behind each string, 0 at the end
+    text[-1] = 0
+    sizes = np.array([len(s) for s in strings])
+    text[:-1][np.arange(len(joined)) + np.repeat(np.arange(len(strings)), sizes)] = joined + 2
+    starts = np.cumsum(sizes + 1) - sizes - 1
     repeated, before = np.zeros(len(text), bool), -1
-    for place, common in induced_sort.suffixes(text, LENGTH):
-        long = np.flatnonzero(common >= LENGTH)
+    for place, common in induced_sort.suffixes(text, length):
+        long = np.flatnonzero(common >= length)
         repeated[place[long]] = True
         repeated[np.where(long > 0, place[long - 1], before)] = True
         before = place[-1]
-    return [repeated[a : a + len(s) - LENGTH + 1] for a, s in zip(starts, strings, strict=True)]
+    return [repeated[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def runs(marks: np.ndarray) -> np.ndarray:
@@ -96,109 +137,184 @@ def runs(marks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).reshape(-1, 2)
 
 
-def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted spans of each text."""
-    for batch in batches:
-        for part in small_batches(batch):
-            made: list[tuple] = []
-            for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                data = _bytes(text)
-                made += [(w["anchor"], w["class"], data[w["first"] : w["last"] + LENGTH]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], names=["anchor", "class", "bytes"])
-
-
-def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that repeat within the shards of a partition sorted by anchor and class."""
-    classes: list[int] = []
-    strings: list[bytes] = []
-    held, last = 0, None
-
-    def found() -> pa.RecordBatch:
-        rows = [(c, a, b) for c, marks in zip(classes, repeated_windows(strings) if strings else [], strict=True) for a, b in runs(marks).tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["class", "from", "to"])
-
-    for batch in batches:
-        for part in small_batches(batch):
-            for anchor, class_, data in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if (anchor, class_) == last:  # another row of the same document and text
-                    continue
-                if held >= SHARD_BYTES and last is not None and anchor != last[0]:
-                    yield found()
-                    classes, strings, held = [], [], 0
-                last = anchor, class_
-                classes.append(class_)
-                strings.append(data)
-                held += len(data)
-    yield found()
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, end: bytes of ``docs`` that repeated windows cover; spans may overlap and recur."""
-    table = keep(anchor_table(docs), "anchors")
-    place = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "first", "last")]  # of one row, whichever comes first: any will do
+def cores(rule: Rule, lead: int, raw: bytes) -> Iterator[tuple[int, int, int]]:
+    """(core, first window, last window) of a span whose anchor lies at ``lead``; windows of equal step and core may be equal, others are not."""
+    size, step = np.dtype(rule.dtype).itemsize, max(rule.length // 8, 1)
+    windows = len(raw) // size - rule.length + 1
+    for k in range(max(lead - windows + 1, 0) // step, lead // step + 1):
+        at = lead - k * step
+        core = xxhash.xxh64_intdigest(raw[at * size : (at - step + 1 + rule.length) * size], seed=k)
+        yield core, max(at - step + 1, 0), min(at, windows - 1)
+
+
+def _spans_of(rules: tuple[Rule, ...]):
+    """Symbols of the wanted spans of each text; those of hot anchors step by step, each with its core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                made: list[tuple] = []
+                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    data = _bytes(text)
+                    symbols = {n: rules[n].symbols(data) for n in {w["rule"] for w in wanted}}
+                    for w in wanted:
+                        rule = rules[w["rule"]]
+                        raw = symbols[w["rule"]][w["first"] : w["last"] + rule.length].tobytes()
+                        if not w["hot"]:
+                            made.append((w["rule"], w["anchor"], 0, w["class"], 0, w["lead"], raw))
+                            continue
+                        size = np.dtype(rule.dtype).itemsize
+                        for core, a, b in cores(rule, w["lead"], raw):
+                            made.append((w["rule"], w["anchor"], core >> 1, w["class"], a, w["lead"] - a, raw[a * size : (b + rule.length) * size]))
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SPANS.split(", ")])
+
+    return run
+
+
+SPANS = "rule int, anchor long, part long, class long, at int, lead int, symbols binary"
+
+
+def contested_parts(rule: Rule, group: list[tuple]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of a group of spans (class, at, lead, raw) of one anchor string: (class, first window, symbols) of runs of windows with a core that another has."""
+    found = [list(cores(rule, lead, raw)) for _, _, lead, raw in group]
+    often: dict[int, int] = {}
+    for parts in found:
+        for core, _, _ in parts:
+            often[core] = often.get(core, 0) + 1
+    for (class_, at, _, raw), parts in zip(group, found, strict=True):
+        shared = sorted((a, b) for core, a, b in parts if often[core] > 1)
+        symbols = np.frombuffer(raw, rule.dtype)
+        while shared:
+            a, b = shared.pop(0)
+            while shared and shared[0][0] <= b + 1:
+                b = shared.pop(0)[1]
+            yield class_, at + a, symbols[a : b + rule.length]
+
+
+def _sorted_shards(rules: tuple[Rule, ...]):
+    """Windows that repeat within the shards of a partition sorted by rule, anchor, part and class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[tuple[int, int, int]] = []
+        strings: list[np.ndarray] = []
+        group: list[tuple] = []
+        last, held = None, 0
+
+        def found(rule: Rule) -> pa.RecordBatch:
+            rows = [(anchor, c, at + a, at + b) for (anchor, c, at), marks in zip(names, repeated_windows(strings, rule.length), strict=True) for a, b in runs(marks).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "class", "from", "to"])
+
+        def close() -> int:
+            """Put what is contested of the group before into the shard."""
+            size = 0
+            if last and len(group) > 1:
+                for class_, at, symbols in contested_parts(rules[last[0]], group):
+                    names.append((last[1], class_, at))
+                    strings.append(symbols)
+                    size += len(symbols)
+            group.clear()
+            return size
+
+        for batch in batches:
+            for part in small_batches(batch):
+                for rule, anchor, core, class_, at, lead, raw in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+                    if (rule, anchor, core) != last:
+                        held += close()
+                        if last and (held >= SHARD_SYMBOLS or rule != last[0]):
+                            yield found(rules[last[0]])
+                            names, strings, held = [], [], 0
+                        last = rule, anchor, core
+                    if not group or group[-1][:2] != (class_, at):  # else another row of the same document and text
+                        group.append((class_, at, lead, raw))
+        close()
+        yield found(rules[last[0]] if last else rules[0])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rule, doc_id, text_hash, start, end: symbols of ``docs`` that repeated windows cover; spans may overlap and recur."""
+    length = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("rule") + 1)
+    table = keep(anchor_table(docs, rules), "anchors")
+    again = table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    table = keep(table.join(again, "anchor", "left_semi"), "again")
+    place = [F.first(c).alias(c) for c in ("rule", "doc_id", "text_hash", "lead", "first", "last")]  # of one row, whichever comes first: any will do
     classes = table.groupBy("anchor", "class").agg(F.count("*").alias("n"), *place)
     groups = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     contested = (F.col("kinds") > 1) & (F.col("least") == 1)
-    known = keep(classes.join(groups, "anchor").where((F.col("n") > 1) | contested).select("anchor", "class", "n", "doc_id", "text_hash", "first", "last", contested.alias("contested")), "classes")
-
-    wanted = known.where("contested").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "class", "first", "last")).alias("wanted"))
-    texts = keyed(docs).select("_id", "_hash", "text")
-    held = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_hash"] == wanted["text_hash"])).select("text", "wanted")
-    strings = held.mapInArrow(_spans_of, "anchor long, class long, bytes binary").repartition("anchor").sortWithinPartitions("anchor", "class")
-    windows = strings.mapInArrow(_sorted_shards, "class long, from int, to int")
-
-    single = known.where("n = 1").join(windows, "class").select("doc_id", "text_hash", (F.col("first") + F.col("from")).alias("start"), (F.col("first") + F.col("to") + LENGTH - 1).alias("end"))
-    twice = table.join(known.where("n > 1").select("anchor", "class"), ["anchor", "class"], "left_semi").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    known = classes.join(groups, "anchor").where((F.col("n") > 1) | contested)
+    known = keep(known.select("rule", "anchor", "class", "n", "doc_id", "text_hash", "lead", "first", "last", contested.alias("contested"), (F.col("kinds") > MOST_KINDS).alias("hot")), "classes")
+
+    wanted = known.where("contested").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("rule", "anchor", "class", "lead", "first", "last", "hot")).alias("wanted"))
+    texts = keyed(docs)
+    held = texts.join(wanted, texts["key_id"].eqNullSafe(wanted["doc_id"]) & (texts["key_hash"] == wanted["text_hash"])).select("key_text", "wanted")
+    strings = held.mapInArrow(_spans_of(rules), SPANS).repartition("anchor", "part").sortWithinPartitions("rule", "anchor", "part", "class", "at")
+    windows = strings.mapInArrow(_sorted_shards(rules), "anchor long, class long, from int, to int")
+
+    end = lambda c: (F.col(c) + length).alias("end")
+    single = known.where("n = 1").join(windows, ["anchor", "class"]).withColumns({"start": F.col("first") + F.col("from"), "stop": F.col("first") + F.col("to") - 1}).select("rule", "doc_id", "text_hash", "start", end("stop"))
+    twice = table.join(known.where("n > 1").select("anchor", "class"), ["anchor", "class"], "left_semi").select("rule", "doc_id", "text_hash", F.col("first").alias("start"), end("last"))
     return twice.unionByName(single)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``, an array of structs (start, end), null where nothing repeats."""
-    spans = repeated_spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc_id", "_span_id")
-    own = keyed(docs)
-    return own.join(spans, own["_id"].eqNullSafe(spans["_span_id"]) & (own["_hash"] == spans["text_hash"]), "left").select(*[own[c] for c in docs.columns], "_spans")
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...], name: str = "spans") -> DataFrame:
+    """``docs`` with the column ``name``, an array of structs (rule, start, end), null where nothing repeats."""
+    spans = repeated_spans(docs, rules).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("rule", "start", "end")).alias("found")).withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"})
+    id_, hash_ = (free_name(docs.columns, c) for c in ("key_id", "key_hash"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    own = docs.withColumns({id_: docs["doc_id"].cast("long"), hash_: F.xxhash64(text)})
+    return own.join(spans, own[id_].eqNullSafe(spans["span_id"]) & (own[hash_] == spans["span_hash"]), "left").select(*[own[c] for c in docs.columns], spans["found"].alias(name))
 
 
-def covered(n: int, spans: list[dict] | None) -> np.ndarray:
-    """Which of ``n`` bytes the spans cover."""
+def covered(n: int, spans: list[dict] | None, rule: int = 0) -> np.ndarray:
+    """Which of ``n`` symbols the spans of a rule, by its number, cover."""
     steps = np.zeros(n + 1, np.int64)
     if spans:
-        np.add.at(steps, [s["start"] for s in spans], 1)
-        np.add.at(steps, [s["end"] for s in spans], -1)
+        np.add.at(steps, [s["start"] for s in spans if s["rule"] == rule], 1)
+        np.add.at(steps, [s["end"] for s in spans if s["rule"] == rule], -1)
     return np.cumsum(steps)[:n] > 0
 
 
-def cut_text(text: str | None, spans: list[dict] | None) -> str | None:
-    """``text`` without the characters all of whose bytes are covered."""
-    if not spans or text is None:
+def cut_text(text: str | None, spans: list[dict] | None, rule: Rule, number: int = 0) -> str | None:
+    """``text`` without the characters all of whose bytes are covered, or without the runs of words that are."""
+    if text is None or not any(s["rule"] == number for s in spans or ()):
         return text
-    data = np.frombuffer(_bytes(text), np.uint8)
-    gone = covered(len(data), spans)
-    letter = np.cumsum((data & 0xC0) != 0x80) - 1
+    data = _bytes(text)
+    if rule.words:
+        places = [m.span() for m in WORD.finditer(data)]
+        kept, at = [], 0
+        for a, b in runs(covered(len(places), spans, number)).tolist():
+            kept.append(data[at : places[a][0]])
+            at = places[b - 1][1]
+        return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
+    symbols = np.frombuffer(data, np.uint8)
+    gone = covered(len(data), spans, number)
+    letter = np.cumsum((symbols & 0xC0) != 0x80) - 1
     whole = np.bincount(letter, weights=~gone) == 0
-    return data[~whole[letter]].tobytes().decode("utf-8", "surrogatepass")
-
+    return symbols[~whole[letter]].tobytes().decode("utf-8", "surrogatepass")
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with their texts cut to what doesn't repeat, in whole characters; other columns and all rows stay."""
 
-    spanned = with_spans(docs)
+def deduplicated(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
+    """``docs`` with their texts cut to what doesn't repeat, in whole characters or words; other columns and all rows stay."""
+    spanned = with_spans(docs, (rule,), free_name(docs.columns, "spans"))
     names = docs.columns
     text, spans = names.index("text"), len(names)
 
     def cut(rows: pa.RecordBatch) -> dict:
-        new = [cut_text(t, s) for t, s in zip(rows.column(text).to_pylist(), rows.column(spans).to_pylist(), strict=True)]
+        new = [cut_text(t, s, rule) for t, s in zip(rows.column(text).to_pylist(), rows.column(spans).to_pylist(), strict=True)]
         return {name: new if i == text else rows.column(i) for i, name in enumerate(names)}
 
     return map_slices(spanned, docs.schema, cut)
 
 
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digests of what the rule ``BYTES`` removes, and in ``text`` what the rule ``PASSAGES`` leaves of the document."""
     docs = load(spark, sf_dir, "documents")
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +323,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for doc_id, text, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     data = np.frombuffer(_bytes(text), np.uint8)
                     gone = covered(len(data), spans)
-                    rows.append((doc_id, len(data), int(gone.sum()), len(runs(gone)), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    rows.append((doc_id, len(data), int(gone.sum()), len(runs(gone)), hashlib.sha256(data[~gone].tobytes()).hexdigest(), cut_text(text, spans, PASSAGES, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return with_spans(docs.select("doc_id", "text")).mapInArrow(run, DIGESTS)
+    return with_spans(docs.select("doc_id", "text"), (BYTES, PASSAGES)).mapInArrow(run, DIGESTS)

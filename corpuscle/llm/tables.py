@@ -32,6 +32,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until none of the columns ``taken`` has it, in any case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lost executors cost no recomputation of it,
     and the plan that follows starts at a scan."""

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpuscle.llm import anchors, bpe, fingerprint, induced_sort, language_id, license_scan, media, mixing, simhash, suffix_dedup, toxicity, warc
+from corpuscle.llm import anchors, bpe, fingerprint, induced_sort, language_id, license_scan, media, mixing, simhash, toxicity, warc
 
 
 def sha(data):
@@ -275,45 +275,6 @@ def test_anchors_cover_all_windows():
     assert len(anchors.anchors(np.zeros(399, np.uint8), 400, 64)[0]) == 0
 
 
-def kept(texts):
-    data = [t.encode() for t in texts]
-    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
-    out = []
-    for d in data:
-        gone = np.zeros(len(d), bool)
-        for i in range(len(d) - 399):
-            if seen[d[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        out.append(gone)
-    return data, out
-
-
-def test_spans_of_odd_documents(odd, none, odd_rows):
-    data, gone = kept([t for _, t in by_text(odd_rows)])
-    got = suffix_dedup.with_spans(odd).select("doc_id", "text", "_spans").collect()
-    have = sorted((-1 if r["doc_id"] is None else r["doc_id"], sha(np.packbits(suffix_dedup.covered(len((r["text"] or "").encode()), r["_spans"])).tobytes())) for r in got)
-    want = sorted((-1 if r[0] is None else r[0], sha(np.packbits(g).tobytes())) for r, g in zip(odd_rows, gone, strict=True))
-    assert have == want and any(g.any() for g in gone)
-    cut = suffix_dedup.deduplicated(odd)
-    assert cut.columns == odd.columns and cut.count() == len(odd_rows)
-    for r in cut.where("doc_id = 28").collect():
-        (text,) = (t for i, t in by_text(odd_rows) if i == 28)
-        mask = gone[[r_[0] for r_ in odd_rows].index(28)]
-        at = np.cumsum([0] + [len(c.encode()) for c in text])
-        assert r["text"] == "".join(c for c, a, b in zip(text, at, at[1:], strict=False) if not mask[a:b].all())
-    assert suffix_dedup.with_spans(none).count() == 0 == suffix_dedup.deduplicated(none).count()
-
-
-def test_shards_close_between_anchors(monkeypatch):
-    rng = np.random.default_rng(0)
-    a, b = (bytes(rng.integers(97, 123, 500, dtype=np.uint8)) for _ in range(2))
-    rows = [(1, 10, a), (1, 10, a), (1, 11, b[:50] + a[:450]), (2, 12, b), (2, 13, b + b"x"), (3, 14, a)]
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 900)
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["anchor", "class", "bytes"])
-    got = sorted(tuple(r.values()) for x in suffix_dedup._sorted_shards(iter([batch])) for r in x.to_pylist())
-    assert got == [(10, 0, 51), (11, 50, 101), (12, 0, 101), (13, 0, 101)]
-
-
 # BPE
 
 
