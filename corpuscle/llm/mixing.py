@@ -1,42 +1,45 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-1. Sizes: words of each document, kept as a small table (doc_id, source, size, a running number); texts are read once.
+1. Sizes: words of each document, kept as a small table (doc_id, source, hash of the text, size).
 2. Targets: the sources, by code point with null last, weigh 5, 2, 1 in turn and share SHARE of all words; a target stops at MOST
    times its source's size, and what is over goes to the others by weight, until none is above.
-3. A source's documents are dealt into shards by a seeded hash, about SHARD_WORDS words each and at most MOST_SHARDS, so no source
-   is one group. A shard's documents, ordered by a seeded hash, are one run of words cut into blocks of BLOCK words.
-4. Blocks go to the sources by highest quotients target / (2 seats + 1), then a source's seats to its shards the same way by their
-   words: integer quotas for every shard.
-5. A shard of b blocks and quota q takes every block q // b times, and q mod b of them, lowest seeded hash first, once more. What a
-   document gives is the overlap of its words with the blocks taken. Since no quota exceeds MOST blocks a block, none gives more
-   than MOST times its size.
-
-Only sources and their totals, one row each, reach the driver; MOST_SOURCES bounds them. Shards' quotas are made in groups of at most
-MOST_SHARDS rows, selections in one shard each. Reruns agree: every order is by hash of SEED and doc_id, ties by doc_id.
-
-Nulls: a null text has no words; a null source is a source of its own, after all others; a null doc_id is hashed like a value.
-Repeated rows are documents of their own, in any order between themselves. Sources without words have target 0. An empty table gives
-none. Documents without words take 0.
+3. A source's documents are dealt into shards by a seeded hash, about SHARD_WORDS words each, so no source is one group. A shard's
+   documents, ordered by a seeded hash, are one run of words cut into blocks of BLOCK words, the last of which may be short.
+4. Blocks go to the sources by highest quotients target / (2 seats + 1), then a source's seats the same way to regions of REGION shards
+   and theirs to shards, by words: integer quotas for every shard. What short blocks and rounding to blocks leave is settled in words, so
+   that every source gets its target, rounded to a word.
+5. A shard takes all of its words as often as its quota holds them, then blocks by lowest seeded hash once more, of the last one as many
+   words as are left. No quota exceeds MOST times its shard's words, so no document gives more than MOST times its size.
+
+Only sources and their totals, one row each, reach the driver; over MOST_SOURCES (some 10 MB) are an error. Quotas are made in groups of
+REGION rows at most, up to REGION * REGION * SHARD_WORDS = 8.8e12 words a source; selections in one shard each. Reruns agree: every order is
+by hash of SEED, doc_id and text.
+
+Nulls: a null text has no words; a null source is a source of its own, after all others; a null doc_id is hashed like a value, with its
+text. Repeated rows are documents of their own, all of a row in one shard. Sources without words have target 0. An empty table gives none.
+Documents without words take 0. Extra columns are carried along.
 """
 
 from __future__ import annotations
 
 import heapq
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.tables import keep, load, map_slices
+from corpuscle.llm.tables import keep, load
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 BLOCK = 64
-SHARD_WORDS = 1 << 18
-MOST_SHARDS = 4096
+SHARD_WORDS = 1 << 19
+REGION = 4096
 MOST_SOURCES = 100_000
 SEED = 20
 
@@ -88,13 +91,13 @@ def apportion(votes: list[float], seats: int, most: list[int]) -> list[int]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
+    """doc_id, source, text_hash, size of every row."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), words.alias("size"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), words.alias("size"))
 
 
 def plan(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target, blocks (its seats), n_shards: a row a source."""
+    """source, source_size, target, blocks (its seats), quota (its target in whole words), n_shards: a row a source."""
     spark = sizes.sparkSession
     totals = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -102,99 +105,176 @@ def plan(sizes: DataFrame) -> DataFrame:
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     words = [r["size"] for r in totals]
     goal = targets(words)
-    shards = [min(max(-(-w // SHARD_WORDS), 1), MOST_SHARDS) for w in words]
     seats = apportion(goal, round(sum(goal) / BLOCK), [MOST * -(-w // BLOCK) for w in words])
-    rows = [(r["source"], w, g, s, n) for r, w, g, s, n in zip(totals, words, goal, seats, shards, strict=True)]
-    return spark.createDataFrame(rows, "source string, source_size long, target double, blocks long, n_shards int")
+    rows = [(r["source"], w, g, s, min(round(g), MOST * w), max(-(-w // SHARD_WORDS), 1)) for r, w, g, s in zip(totals, words, goal, seats, strict=True)]
+    return spark.createDataFrame(rows, "source string, source_size long, target double, blocks long, quota long, n_shards long")
 
 
-def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Seats of one source's shards, from their words."""
-    pdf = pdf.sort_values("shard")
-    most = [MOST * -(-w // BLOCK) for w in pdf["words"].tolist()]
-    pdf["quota"] = apportion(pdf["words"].astype(float).tolist(), int(pdf["blocks"].iloc[0]), most)
-    return pdf[["source", "shard", "quota"]]
+def shares(words: list[int], blocks: int, quota: int) -> tuple[list[int], list[int]]:
+    """Seats, and words, of parts of these ``words``: of ``blocks`` seats and ``quota`` words in all, at most MOST times its words each.
 
+    A seat is a block, but a part's last block may be short; what that and the rounding to blocks leave is settled in words, first up to a
+    block in each part, then wherever there is room."""
+    won = apportion([float(w) for w in words], blocks, [MOST * -(-w // BLOCK) for w in words])
+    taken = [min(n * BLOCK, MOST * w) for n, w in zip(won, words, strict=True)]
+    left = quota - sum(taken)
+    for step in (BLOCK, quota + sum(taken)):
+        for i, w in enumerate(words):
+            if not left:
+                break
+            more = max(-min(taken[i], step), min(left, MOST * w - taken[i], step))
+            taken[i] += more
+            left -= more
+    return won, taken
 
-def block_counts(n_words: int, quota: int, seed: int) -> np.ndarray:
-    """How often each block of a shard of ``n_words`` words is taken."""
+
+def _shared(part: str):
+    """Blocks and quotas of the rows of a group, from their words; ``part`` names the rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(part).reset_index(drop=True)
+        pdf["part_blocks"], pdf["part_quota"] = shares(pdf["words"].tolist(), int(pdf["blocks"].iloc[0]), int(pdf["quota"].iloc[0]))
+        return pdf[["name", "unnamed", "region", *(["shard"] if part == "shard" else []), "part_blocks", "part_quota"]]
+
+    return run
+
+
+def block_counts(n_words: int, quota: int, seed: int) -> tuple[np.ndarray, int, int]:
+    """How often each block of a shard of ``n_words`` words is taken, and the words [a, b) taken once more, for ``quota`` words in all."""
     n = max(-(-n_words // BLOCK), 1)
-    times = np.full(n, quota // n, np.int64)
+    size = np.full(n, BLOCK, np.int64)
+    size[-1] = n_words - (n - 1) * BLOCK
+    whole, rest = divmod(quota, n_words) if n_words else (0, 0)
+    times = np.full(n, whole, np.int64)
     mixed = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & (2**64 - 1))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finisher of SplitMix64
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    times[np.argsort(mixed, kind="stable")[: quota % n]] += 1
-    return times
+    order = np.argsort(mixed, kind="stable")
+    upto = np.cumsum(size[order])
+    full = int(np.searchsorted(upto, rest, side="right"))
+    times[order[:full]] += 1
+    rest -= int(upto[full - 1]) if full else 0
+    start = int(order[full]) * BLOCK if rest else 0
+    return times, start, start + rest
+
+
+class Selection(NamedTuple):
+    """Of one shard: the order of its rows, and by row in that order its first word's number; how often each block is taken, and what once more."""
+
+    order: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    times: np.ndarray
+    extra: tuple[int, int]
+
+    def upto(self, at: np.ndarray) -> np.ndarray:
+        """Words taken of those before ``at``."""
+        before = np.concatenate(([0], np.cumsum(self.times * BLOCK)))
+        block = np.minimum(at // BLOCK, len(self.times) - 1)
+        return before[block] + self.times[block] * (at - block * BLOCK) + np.clip(at, *self.extra) - self.extra[0]
+
+    def often(self, row: int) -> np.ndarray:
+        """How often each word of a row is taken."""
+        at = np.arange(self.starts[row], self.starts[row] + self.sizes[row])
+        return self.times[at // BLOCK] + ((at >= self.extra[0]) & (at < self.extra[1]))
+
+
+def selection(h: np.ndarray, text_hash: np.ndarray, sizes: np.ndarray, quota: int, seed: int) -> Selection:
+    order = np.lexsort((sizes, text_hash, h))
+    sizes = sizes[order]
+    ends = np.cumsum(sizes)
+    times, a, b = block_counts(int(ends[-1]), quota, seed)
+    return Selection(order, ends - sizes, sizes, times, (a, b))
+
+
+KEY = ("name", "unnamed", "shard")
+
+
+def quotas(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """name, unnamed, shard, quota, seed of every shard that has rows; a source's quota goes to regions of REGION shards, theirs to shards."""
+    shards = dealt(sizes, sources).groupBy(*KEY).agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    shards = shards.withColumn("region", F.floor(F.col("shard") / REGION))
+    regions = shards.groupBy("name", "unnamed", "region").agg(F.sum("words").alias("words"), F.first("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    parts = regions.groupBy("name", "unnamed").applyInPandas(_shared("region"), "name string, unnamed boolean, region long, part_blocks long, part_quota long")
+    parts = parts.withColumnsRenamed({"part_blocks": "blocks", "part_quota": "quota"})
+    parts = shards.drop("blocks", "quota").join(parts, ["name", "unnamed", "region"]).groupBy("name", "unnamed", "region")
+    found = parts.applyInPandas(_shared("shard"), "name string, unnamed boolean, region long, shard long, part_blocks long, part_quota long")
+    return found.select(*KEY, F.col("part_quota").alias("part_quota"), F.xxhash64(F.lit(SEED + 2), *KEY).alias("seed"))
 
 
-def _selection(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: the runs of blocks that each document's words lie in, and what is taken of them."""
-    pdf = pdf.sort_values(["h", "doc_id", "size"]).reset_index(drop=True)
-    ends = pdf["size"].cumsum().to_numpy()
-    starts = ends - pdf["size"].to_numpy()
-    times = block_counts(int(ends[-1]), int(pdf["quota"].iloc[0]), int(pdf["seed"].iloc[0]))
-    before = np.concatenate(([0], np.cumsum(times * BLOCK)))  # words taken of all blocks before
-    upto = lambda at: before[np.minimum(at // BLOCK, len(times))] + times[np.minimum(at // BLOCK, len(times) - 1)] * (at % BLOCK)
-    first, last = starts // BLOCK, np.maximum(ends - 1, starts) // BLOCK
-    pdf["taken"], pdf["start"] = upto(ends) - upto(starts), starts
-    pdf["times"] = [times[a : b + 1].tolist() for a, b in zip(first, np.minimum(last, len(times) - 1), strict=True)]
-    return pdf[["doc_id", "source", "size", "source_size", "target", "taken", "start", "times"]]
+def dealt(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, text_hash and others) with their source's columns, the hash that orders them, and their shard."""
+    name = lambda df: (F.coalesce(df["source"].cast("string"), F.lit("")).alias("name"), df["source"].isNull().alias("unnamed"))
+    named = sources.select(*name(sources), "source_size", "target", "blocks", "quota", "n_shards")  # bounded by MOST_SOURCES
+    h = F.xxhash64("doc_id", "text_hash", F.lit(SEED))
+    shard = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(SEED + 1)), "n_shards").alias("shard")
+    return rows.select("*", *name(rows)).join(F.broadcast(named), ["name", "unnamed"]).select("*", h.alias("h"), shard)
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+MIXED = "doc_id long, source string, size long, source_size long, target double, taken long"
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of ``docs``, and its place: ``start``, its first word's number
-    within its shard, and ``times``, how often each block from that word's block on is taken."""
+    """doc_id, source, size, source_size, target, taken of every row of ``docs``."""
     sizes = keep(sized(docs), "sizes")
     sources = plan(sizes)
-    dealt = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", sizes["source"], "size", "source_size", "target", "blocks", F.xxhash64("doc_id", F.lit(SEED)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), "n_shards").cast("int").alias("shard")
-    )
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-    quotas = shards.groupBy("source").applyInPandas(_quotas, "source string, shard int, quota long")
-    q = quotas.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "quota")
-    seed = F.xxhash64(F.lit(SEED + 2), "source", "shard")
-    with_quota = dealt.join(q, dealt["source"].eqNullSafe(q["q_source"]) & (dealt["shard"] == q["q_shard"])).select("doc_id", "source", "shard", "size", "source_size", "target", "h", "quota", seed.alias("seed"))
-    return with_quota.groupBy("source", "shard").applyInPandas(_selection, "doc_id long, source string, size long, source_size long, target double, taken long, start long, times array<long>")
+
+    def taken(table: pa.Table) -> pa.Table:
+        s = selection(*(_column(table, c) for c in ("h", "text_hash", "size")), int(table.column("part_quota")[0].as_py()), int(table.column("seed")[0].as_py()))
+        table = table.take(pa.array(s.order))
+        return table.select(["doc_id", "source", "size", "source_size", "target"]).append_column("taken", pa.array(s.upto(s.starts + s.sizes) - s.upto(s.starts)))
+
+    rows = dealt(sizes, sources).drop("blocks", "quota", "n_shards")
+    return rows.join(quotas(sizes, sources), [*KEY]).groupBy(*KEY).applyInArrow(taken, MIXED)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_bounds(data: bytes) -> np.ndarray:
+    """[start, end) of every word of ``data``, in bytes."""
+    inside = np.concatenate(([False], ~_SPACE[np.frombuffer(data, np.uint8)], [False]))
+    return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+
+
+def passes(data: bytes, often: np.ndarray) -> list[str]:
+    """The k-th text holds the words taken at least k times, as they stand, a line for each run."""
+    bounds, out = word_bounds(data), []
+    for k in range(1, int(often.max(initial=0)) + 1):
+        runs = np.flatnonzero(np.diff(np.concatenate(([0], often >= k, [0])).astype(np.int8))).reshape(-1, 2)
+        out.append(b"\n".join(data[bounds[a, 0] : bounds[b - 1, 1]] for a, b in runs.tolist()).decode("utf-8", "surrogatepass"))
+    return out
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs`` with their texts cut to the words taken, one row for each time they are gone through.
 
-    A document's k-th row holds the words of its blocks taken at least k times, as they stand in its text, in order; other columns
-    are its own. Rows of which nothing is taken go. The result holds ``taken`` words of a document in all.
+    A document's k-th row holds its words taken at least k times, in order; other columns are its own, whatever their names. Rows of which
+    nothing is taken go. The result holds ``taken`` words of a document in all. Texts move once, to their shard.
     """
-    import re
-
-    word = re.compile(WORD)
-
-    def passes(t: str, at: int, counts: list[int]) -> list[str]:
-        spans = [m.span() for m in word.finditer(t)]
-        owner = (np.arange(len(spans)) + at) // BLOCK - at // BLOCK
-        often = np.asarray(counts, np.int64)[owner] if len(spans) else np.empty(0, np.int64)
-        rows = []
-        for k in range(1, int(often.max(initial=0)) + 1):
-            runs = np.flatnonzero(np.diff(np.concatenate(([0], often >= k, [0])).astype(np.int8))).reshape(-1, 2)
-            rows.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in runs.tolist()))
-        return rows
-
-    names, n = docs.columns, len(docs.columns)
-
-    def gone_through(rows: pa.RecordBatch) -> dict:
-        texts, starts, times = (rows.column(i).to_pylist() for i in (names.index("text"), n, n + 1))
-        made = [passes(t or "", s, c) for t, s, c in zip(texts, starts, times, strict=True)]
-        again = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
-        return {c: [t for m in made for t in m] if c == "text" else rows.column(i).take(again) for i, c in enumerate(names)}
-
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    taken = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "start", "times")
-    # Repeated ids: the n-th row of an id and size meets the n-th selection of the same.
-    from pyspark.sql.window import Window
-
-    nth = lambda df, keys, order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    left = nth(numbered.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")), ["doc_id", "_size"], ["_row"])
-    right = nth(taken, ["_id", "_size"], ["start"]).withColumnRenamed("_size", "_sized").withColumnRenamed("_n", "_nth")
-    both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_size"] == right["_sized"]) & (left["_n"] == right["_nth"]))
-    return map_slices(both.select(*[left[c] for c in names], right["start"], right["times"]), docs.schema, gone_through)
+    sizes = keep(sized(docs), "sizes")
+    sources = plan(sizes)
+    names = docs.columns
+
+    def gone_through(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows = table.column("row").chunk(0)
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in pa.compute.struct_field(rows, names.index("text")).to_pylist()]
+        counts = np.array([len(word_bounds(d)) for d in data], np.int64)
+        s = selection(_column(table, "h"), _column(table, "text_hash"), counts, int(table.column("part_quota")[0].as_py()), int(table.column("seed")[0].as_py()))
+        made = [passes(data[i], s.often(k)) for k, i in enumerate(s.order.tolist())]
+        again = pa.array(np.repeat(s.order, [len(m) for m in made]))
+        columns = [pa.array([t for m in made for t in m], pa.string()) if c == "text" else pa.compute.struct_field(rows, i).take(again) for i, c in enumerate(names)]
+        return pa.Table.from_arrays(columns, names=names)
+
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64("text").alias("text_hash"))
+    rows = dealt(rows, sources).select(*KEY, "row", "h", "text_hash")
+    return rows.join(quotas(sizes, sources), [*KEY]).groupBy(*KEY).applyInArrow(gone_through, docs.schema)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

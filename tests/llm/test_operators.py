@@ -186,22 +186,6 @@ def test_targets_share_what_is_over():
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
 
 
-def test_mix_of_odd_documents(odd, none, odd_rows):
-    got = mixing.mixed(odd).toPandas()
-    size = lambda t: len(re.findall(mixing.WORD, t or ""))
-    assert Counter(got["size"]) == Counter(size(r[1]) for r in odd_rows)
-    assert (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
-    for _, g in got.groupby("source", dropna=False):
-        assert abs(g.taken.sum() - g.target.iloc[0]) <= 2 * mixing.BLOCK
-        assert g["size"].sum() == g.source_size.iloc[0]
-    key = lambda df: sorted(map(str, df[["doc_id", "source", "size", "taken"]].values.tolist()))
-    assert key(mixing.mixed(odd.repartition(5)).toPandas()) == key(got)
-    texts = mixing.mixed_texts(odd).toPandas()
-    assert sum(map(size, texts.text)) == got.taken.sum()
-    assert list(texts.columns) == odd.columns
-    assert mixing.mixed(none).count() == 0 == mixing.mixed_texts(none).count()
-
-
 # WARC
 
 
