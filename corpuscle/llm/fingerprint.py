@@ -4,8 +4,7 @@ A sketch has no fixed size: it holds the hashes of a text's word shingles that f
 survive in every text, so sketches of parts merge by union, and |A n B| / |A| estimates how much of A's shingles B contains however
 unequal the two are. A fingerprint is the sketch's sorted hashes in hex, 12 digits each; short texts may have an empty one.
 
-Likeness is |A n B| / |A u B| of two sketches. Where both are empty there is nothing to compare but the texts: 1 if they are equal,
-else 0. Nulls: a null text is empty. Texts of fewer than SHINGLE words have one shingle, all their words; without words, none.
+Likeness is |A n B| / |A u B| of two sketches, 1 of two empty ones, which are equal. It depends on nothing but the sketches. Nulls: a null text is empty. Texts of fewer than SHINGLE words have one shingle, all their words; without words, none.
 Documents follow one another by descending doc_id; equal ids by text, a null id after all others. Repeated rows are documents of
 their own. One document is its own next; an empty table gives none.
 """
@@ -53,10 +52,10 @@ def as_text(hashes: np.ndarray) -> str:
     return "".join([raw[i + 16 - DIGITS : i + 16] for i in range(0, len(raw), 16)])
 
 
-def likeness(a: np.ndarray, b: np.ndarray, equal: bool) -> float:
-    """Resemblance of two sketches; ``equal`` says whether their texts are."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Resemblance of two sketches."""
     if not len(a) and not len(b):
-        return float(equal)
+        return 1.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
@@ -129,7 +128,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         changed = edited(text, following)
         new = sketch(changed)
         digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), digest, as_text(own), as_text(new), likeness(own, new, changed == text), likeness(own, other, following == text)
+        return doc_id, len(text), digest, as_text(own), as_text(new), likeness(own, new), likeness(own, other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

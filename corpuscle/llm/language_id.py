@@ -5,12 +5,13 @@ is the sum over all its segmentations into pieces of the product of their probab
 text's is the product over its words, since no piece crosses one. The probabilities are learned by expectation maximisation, whose
 expected piece counts come from the same forward pass and a backward one.
 
-Training rows: TRAIN_DOCS documents a language at most, lowest hash first, and of their words the TRAIN_WORDS most frequent ones; both
-are parameters. Everything is scored: whole texts, all rows, in place, without a shuffle. A word is scored once while a bounded cache
-holds it. The model (pieces x languages) is bounded by the vocabulary and MAX_LANGUAGES.
+Training rows: TRAIN_DOCS documents a language at most, lowest hash first, and of their words the TRAIN_WORDS most frequent ones of fewer
+than SHORT letters; all are parameters. Everything is scored: whole texts, all rows, words of any length, in place, without a shuffle. A word
+is scored once while a bounded cache holds it. The model (pieces x languages) is bounded by the vocabulary and MAX_LANGUAGES; more
+languages are an error. The evidence of a text counts as that of EVIDENCE words at most, which sets its score but not its language.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang, and fold rows, are not learned from. Without
-any row to learn from everything is ``und``. Ties go to the first language by name. Repeated rows stay repeated.
+Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang or doc_id, and fold rows, are not learned from.
+Without any row to learn from everything is ``und``. Ties go to the first language by name. Repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ SHORT, GROUP, CACHE = 32, 4096, 200_000
 #: More than any piece has letters.
 LONGEST = 64
 UND = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters. What \w holds beside letters, digits and the underscore are numerals such as a half or a Roman four.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 START = "▁"
 
 
@@ -52,6 +55,10 @@ def vocabulary_pieces(path: str) -> list[str]:
     return sorted({p for p in pieces if p == p.lower() and p.strip(START) and p.lstrip(START).isalpha()} | {START})
 
 
+class TooManyLanguages(ValueError):
+    """More languages than a model is made for."""
+
+
 class Lattice:
     """All places of pieces in a group of words: rows (word, end, length, piece), ordered by end, then length."""
 
@@ -223,7 +230,13 @@ def train(docs: DataFrame, vocabulary: str | None = None) -> LanguageModel:
     pieces = vocabulary_pieces(vocabulary or public_tokenizers.path(VOCABULARY))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     usable = docs.where(F.col("lang").isNotNull() & ~held_out())
-    ranked = usable.select("doc_id", "lang", order.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= TRAIN_DOCS)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n_docs")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise TooManyLanguages(f"more than {MAX_LANGUAGES} languages")
+    # Of a language with many documents only the lowest hashes are ranked: four times as many as are wanted, by expectation.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * TRAIN_DOCS / r["n_docs"])) for r in sizes], "lang string, share double")
+    low = usable.select("doc_id", "lang", order.alias("h")).join(F.broadcast(shares), "lang").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= TRAIN_DOCS)
     chosen = ranked.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).dropDuplicates()
     sample = usable.join(F.broadcast(chosen), (usable["doc_id"] == chosen["chosen_id"]) & (usable["lang"] == chosen["chosen_lang"])).select("lang", "text")
 
@@ -240,7 +253,7 @@ def train(docs: DataFrame, vocabulary: str | None = None) -> LanguageModel:
     counted = sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= TRAIN_WORDS)
     counts: dict[str, Counter] = {}
-    for row in top.limit(TRAIN_WORDS * MAX_LANGUAGES).collect():
+    for row in top.collect():  # TRAIN_WORDS * MAX_LANGUAGES at most
         counts.setdefault(row["lang"], Counter())[row["word"]] = row["n"]
     return LanguageModel.fit(counts, pieces)
 

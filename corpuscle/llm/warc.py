@@ -1,13 +1,19 @@
 """WARC archives as a PySpark data source, and pages written to and read back from them.
 
-``spark.read.format("warc")`` and ``df.write.format("warc")`` work on a folder of ``*.warc.gz`` files in any file system that pyarrow
-knows by its address. Every record is a gzip member of its own, whose extra field "sl" holds its packed and unpacked lengths.
+``spark.read.format("warc")`` and ``df.write.format("warc")`` work on a folder of archives in any file system that pyarrow knows by its
+address. Written records are gzip members of their own, whose extra field "sl" holds their packed and unpacked lengths.
 
-Writing: each task writes a file of its own name; the driver's commit lists the files in ``_committed.json``, so files of lost or
-repeated tasks are never read. Reading: files are planned into byte ranges of ``split_bytes``; a range's first record is found by the
-fixed 16 bytes that every member starts with, so no index is needed. Predicates on the record type and on header columns are pushed
-to the reader. It unpacks a member only as far as its headers, tests them, and skips the rest by the length in the extra field; with
-option ``payload`` false no payload is unpacked at all. Payloads that are unpacked are held against their digest.
+Writing: each task writes a file of its own name; the driver's commit lists them in a manifest of its own, so files of lost or repeated
+tasks are never read, and what is appended stands beside what was there. Overwriting replaces the manifests. Reading: the files of all
+manifests, or in a folder without one all ``*.warc.gz`` and ``*.warc`` below it, or one such file. Files of members with lengths are planned
+into byte ranges of ``split_bytes``; a range's first record is found by the fixed bytes that such a member starts with, so no index is
+needed. Other archives (plain gzip members, one gzip stream, or uncompressed) are a partition a file and are streamed. Predicates on the
+record type and on header columns are pushed to the reader. It unpacks a record only as far as its headers, tests them, and skips the rest,
+by the length in the extra field where there is one; with option ``payload`` false no payload is kept at all. Payloads that are unpacked
+are held against their digest if it is one of SHA-256 in hex, or of SHA-1 in base 32.
+
+A payload is what follows the head of an HTTP message, else the whole block; its bytes are those its head's Content-Length states, else
+those there are. payload_digest is without "sha256:"; other algorithms keep their names.
 
 Nulls: a null html is an empty payload, a null url no target. Record ids are made of page ids; a null page_id has none. Of repeated rows
 with the smallest page_id of equal payloads each is a response. An empty table gives an archive without files.
@@ -15,6 +21,7 @@ with the smallest page_id of equal payloads each is a response. An empty table g
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import struct
@@ -49,7 +56,7 @@ HEADERS = {"record_id": "warc-record-id", "warc_type": "warc-type", "target_uri"
 #: Fixed values of the formats: the profile of revisits, the start of a member with an "sl" extra field of 8 bytes.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
-MANIFEST = "_committed.json"
+MANIFEST = "_committed"
 LEVEL = 1
 AHEAD = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -88,7 +95,7 @@ def record(record_id: str | None, warc_type: str, uri: str | None, date: str | N
 
 def headers(raw: bytes) -> dict[str, str]:
     """Fields of a record's head by lower-case name; angle brackets and the digest's algorithm go."""
-    first, *lines = raw.decode("utf-8", "surrogatepass").split("\r\n")
+    first, *lines = raw.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise BadWarc(f"a record starts with {first[:40]!r}")
     out = {}
@@ -96,6 +103,8 @@ def headers(raw: bytes) -> dict[str, str]:
         name, _, value = line.partition(":")
         value = value.strip()
         out[name.strip().lower()] = value[1:-1] if value[:1] == "<" and value[-1:] == ">" else value.removeprefix("sha256:")
+    if not {"warc-type", "content-length"} <= out.keys():
+        raise BadWarc("a record without type or length")
     return out
 
 
@@ -114,6 +123,8 @@ class _Ahead:
 
 @dataclass
 class WarcRange(InputPartition):
+    """Bytes of a file whose members tell their lengths; ``end`` -1: a whole file of any other kind."""
+
     path: str
     start: int
     end: int
@@ -144,9 +155,23 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as file:
-            files = json.loads(file.read())
-        return [WarcRange(f"{root}/{f['name']}", a, min(a + self.split, f["size"])) for f in files for a in range(0, f["size"], self.split)] or [WarcRange("", 0, 0)]
+        if fs.get_file_info(root).type == pafs.FileType.File:
+            found = [(root, fs.get_file_info(root).size)]
+        else:
+            inside = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File]
+            manifests = [i.path for i in inside if i.base_name.startswith(MANIFEST)]
+            found = [(i.path, i.size) for i in inside if i.base_name.lower().endswith((".warc.gz", ".warc"))]
+            if manifests:
+                found = []
+                for path in manifests:
+                    with fs.open_input_stream(path) as file:
+                        found += [(f"{root}/{f['name']}", f["size"]) for f in json.loads(file.read())]
+        ranges = []
+        for path, size in sorted(found):
+            with fs.open_input_file(path) as file:
+                known = file.read(len(MEMBER)) == MEMBER
+            ranges += [WarcRange(path, a, min(a + self.split, size)) for a in range(0, size, self.split)] if known else [WarcRange(path, 0, -1)]
+        return ranges or [WarcRange("", 0, 0)]
 
     def wanted(self, fields: dict[str, str]) -> bool:
         for kind, name, value in self.tests:
@@ -165,7 +190,7 @@ class WarcReader(DataSourceReader):
         fs, _ = pafs.FileSystem.from_uri(self.path)
         rows, held = [], 0
         with fs.open_input_file(partition.path) as file:
-            for row in self.records(_Ahead(file), partition, file.size()):
+            for row in self.streamed(file) if partition.end < 0 else self.records(_Ahead(file), partition, file.size()):
                 rows.append(row)
                 held += 200 + len(row[-1] or b"")
                 if held >= BATCH_BYTES:
@@ -204,30 +229,115 @@ class WarcReader(DataSourceReader):
             raw, _, _ = head.partition(b"\r\n\r\n")
             fields = headers(raw)
             if self.wanted(fields):
-                yield self.row(fields, len(raw) + 4, file.read(at, total), unpacked)
+                length, block = int(fields["content-length"]), None
+                if self.payload or fields["warc-type"] == "revisit":  # a revisit's block is a head of some bytes
+                    whole = file.read(at, total)
+                    data = zlib.decompress(whole[len(MEMBER) + 8 : -8], -15, unpacked)
+                    if len(data) != unpacked or zlib.crc32(data) != struct.unpack("<I", whole[-8:-4])[0]:
+                        raise BadWarc("a record differs from its checksum")
+                    block = data[len(raw) + 4 : len(raw) + 4 + length]
+                yield self.row(fields, length, block)
             at += total
 
-    def row(self, fields: dict[str, str], skip: int, packed: bytes, unpacked: int) -> tuple:
-        length, payload, n = int(fields["content-length"]), None, None
-        revisit = fields["warc-type"] == "revisit"
-        if self.payload or revisit:  # a revisit's block is a head of some bytes
-            data = zlib.decompress(packed[len(MEMBER) + 8 : -8], -15, unpacked)
-            if len(data) != unpacked or zlib.crc32(data) != struct.unpack("<I", packed[-8:-4])[0]:
-                raise BadWarc("a record differs from its checksum")
-            http, _, payload = data[skip : skip + length].partition(b"\r\n\r\n")
-            n = int(next(x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-            if revisit:
+    def streamed(self, file) -> Iterator[tuple]:
+        """Rows of a file of plain gzip members, of one gzip stream, or uncompressed; blocks of records not wanted are passed over."""
+        stream = _Stream(file)
+        while raw := stream.head():
+            fields = headers(raw)
+            length = int(fields["content-length"])
+            if not self.wanted(fields):
+                stream.skip(length)
+            elif self.payload or fields["warc-type"] == "revisit":
+                yield self.row(fields, length, stream.take(length))
+            else:
+                stream.skip(length)
+                yield self.row(fields, length, None)
+
+    def row(self, fields: dict[str, str], length: int, block: bytes | None) -> tuple:
+        """The row of a record, of whose ``block`` nothing is known if it is None."""
+        payload, n, kind = None, None, fields["warc-type"]
+        if block is not None:
+            http, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+            told = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), b"")
+            n = int(told) if told.isdigit() else len(payload)
+            if kind == "revisit":
                 payload = None
-            elif len(payload) != n or hashlib.sha256(payload).hexdigest() != fields["warc-payload-digest"]:
+            elif kind in ("response", "resource") and b"\r\ntransfer-encoding:" not in http.lower() and not matches(fields.get("warc-payload-digest"), payload):
                 raise BadWarc("a payload differs from its digest")
         return (*(fields.get(h) for h in HEADERS.values()), length, n, payload if self.payload else None)
 
 
+def matches(digest: str | None, payload: bytes) -> bool:
+    """Whether a payload has this digest; one of an algorithm that isn't known here says nothing."""
+    algorithm, _, value = (digest or "").rpartition(":")
+    if algorithm.lower() == "sha1":
+        return base64.b32encode(hashlib.sha1(payload).digest()).decode() == value.upper()
+    return algorithm != "" or len(value) != 64 or hashlib.sha256(payload).hexdigest() == value.lower()
+
+
+class _Stream:
+    """The bytes of an archive in order, unpacked if they are packed, a piece at a time."""
+
+    def __init__(self, file):
+        self.file, self.held = file, b""
+        self.source = file.read(AHEAD)
+        self.unpack = zlib.decompressobj(31) if self.source.startswith(b"\x1f\x8b") else None
+
+    def _more(self) -> bool:
+        """Get more bytes; false at the end."""
+        if self.unpack is None:
+            self.held, self.source = self.held + self.source, b""
+            if not self.held:
+                return False
+            self.source = self.file.read(AHEAD)
+            return bool(self.source)
+        while True:
+            self.source = self.source or self.file.read(AHEAD)
+            if not self.source:
+                return False
+            if self.unpack.eof:
+                self.unpack = zlib.decompressobj(31)
+            got = self.unpack.decompress(self.source, AHEAD)
+            self.source = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if got:
+                self.held += got
+                return True
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and (self._more() or len(self.held) >= n):
+            pass
+        if len(self.held) < n:
+            raise BadWarc("an archive ends within a record")
+        found, self.held = self.held[:n], self.held[n:]
+        return found
+
+    def skip(self, n: int) -> None:
+        while n:
+            if not self.held and not self._more() and not self.held:
+                raise BadWarc("an archive ends within a record")
+            part = min(n, len(self.held))
+            self.held, n = self.held[part:], n - part
+
+    def head(self) -> bytes:
+        """The head of the next record; empty at the end."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            at = self.held.find(b"\r\n\r\n")
+            if self.held and at >= 0:
+                raw, self.held = self.held[:at], self.held[at + 4 :]
+                return raw
+            before = len(self.held)
+            if not self._more() and len(self.held) == before:
+                if self.held:
+                    raise BadWarc("an archive ends within a head")
+                return b""
+
+
 class WarcWriter(DataSourceArrowWriter):
     """Columns: record_id, warc_type, target_uri, warc_date, payload_digest, refers_to, payload_bytes, payload."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WarcFile:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -248,8 +358,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WarcFile | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as file:
+        before = [i.path for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name.startswith(MANIFEST)] if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as file:
             file.write(json.dumps([{"name": m.name, "size": m.size} for m in messages if m and m.name]).encode())
+        for path in before:
+            fs.delete_file(path)
 
     def abort(self, messages: list[WarcFile | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -270,7 +383,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
