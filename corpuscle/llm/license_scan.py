@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,11 +98,13 @@ class Scanner:
     def scan(self, line: str) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, int, float]]]:
         """Phrases as (first word, label); notices as (label, first word, last word, errors, likeness)."""
         phrases, seeds = [], {}
+        blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+        word = lambda at: int(np.searchsorted(blanks, at))  # blanks before a place
         for end, (n, what) in self.automaton.iter(line):
             for label, notice, offset in what:
                 at = end - n + 1
                 if notice is None:
-                    phrases.append((line.count(" ", 0, at), label))
+                    phrases.append((word(at), label))
                 else:
                     seeds.setdefault(notice, []).append((at - offset, offset))
         matches = []
@@ -114,7 +117,7 @@ class Scanner:
                     if b - a < length - errors or not (m := pattern.search(line, a, b)):
                         continue
                     wrong = sum(m.fuzzy_counts)
-                    first, last = line.count(" ", 0, m.start() + (line[m.start()] == " ")) - 1, line.count(" ", 0, m.end() - (line[m.end() - 1] == " ")) - 1
+                    first, last = word(m.start() + (line[m.start()] == " ")) - 1, word(m.end() - (line[m.end() - 1] == " ")) - 1
                     matches.append((label, first, last, wrong, 1 - wrong / length))
                     ranges += [(a, m.start()), (m.end(), b)]
         return sorted(phrases), sorted(matches, key=lambda x: (x[1], x[2], x[0]))

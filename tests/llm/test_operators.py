@@ -325,16 +325,6 @@ def test_phrases_are_counted_at_all_places():
         assert n == len(low) and s.scan(line)[0] == want
 
 
-def distance(a, b):
-    old = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y)))
-        old = new
-    return old[-1]
-
-
 def test_notices_within_their_errors_are_found():
     rng = random.Random(4)
     s = license_scan.Scanner()
