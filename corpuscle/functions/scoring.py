@@ -98,3 +98,23 @@ def cosine(a, b) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def type_code_valid(code) -> Column:
+    """Whether a personality type has four letters of two choices each, and an identity, if any, of two."""
+    return F.upper(code).rlike("^[EI][NS][FT][JP](-[AT])?$")
+
+
+def fallback_score(query: str, filename, summary, topics, body, tags) -> Column:
+    """What of a file matches: name .5, summary .4, a topic .3, body .3 where the summary doesn't, a tag .2; 1 at most, in thousandths."""
+    q = F.lit(query.lower())
+    has = lambda c: F.coalesce(F.contains(F.lower(c), q), F.lit(False))
+    some = lambda a: F.coalesce(F.exists(a, lambda x: F.contains(F.lower(x), q)), F.lit(False))
+    parts = ((has(filename), 0.5), (has(summary), 0.4), (some(topics), 0.3), (~has(summary) & has(body), 0.3), (some(tags), 0.2))
+    total = sum((F.when(test, weight).otherwise(0.0) for test, weight in parts), F.lit(0.0))
+    return F.round(F.least(F.lit(1.0), total), 3)
+
+
+def reduced_dimensions(n) -> tuple[Column, Column]:
+    """Components and neighbours of a reduction of ``n`` vectors; null for under five, which aren't reduced."""
+    return F.when(n >= 5, F.least(F.lit(30), F.greatest(F.lit(2), n - 2))), F.when(n >= 5, F.least(F.lit(15), n - 1))

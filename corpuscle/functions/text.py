@@ -25,8 +25,7 @@ def normalised(text) -> Column:
 
 def content_hash(text) -> Column:
     """SHA-256 of the normalised text; null for texts under 50 characters, blank ones and bracketed markers."""
-    usable = (F.length(text) >= 50) & ~F.startswith(text, F.lit("[")) & (normalised(text) != "")
-    return F.when(usable, F.sha2(normalised(text), 256))
+    return F.when((F.length(text) >= 50) & ~F.startswith(text, F.lit("[")), F.nullif(F.sha2(normalised(text), 256), F.sha2(F.lit(""), 256)))
 
 
 def sentences(text) -> Column:
@@ -75,19 +74,38 @@ def search_chunks_of(text: pd.Series) -> pd.Series:
     return pd.Series([search_chunks(t) for t in text])
 
 
-def long_chunks(text) -> Column:
-    """Chunks for summaries: up to 10,000 characters one; without headings up to 15,000 one, else slices of 10,000; joined by overlaps of 500.
+def heading_chunks(text) -> Column:
+    """Pieces that start with a markdown heading; what stands before the first is kept, blanks are not."""
+    return F.filter(F.split(text, r"(?m)(?=^#{1,6}\s)"), lambda p: p.rlike(r"(?U)\S"))
+
+
+def merged_chunks(chunks, least: int = 2000, most: int = 10000) -> Column:
+    """Chunks of which each shorter than ``least`` has joined the one before, if both fit into ``most``; none takes two."""
+    held = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(False).alias("open"))
+
+    def step(acc, c):
+        fits = acc["open"] & (F.length(c) < least) & (F.length(acc["last"]) + F.length(c) <= most)
+        closed = F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"]))
+        return F.struct(
+            F.when(fits, acc["out"]).otherwise(closed).alias("out"),
+            F.when(fits, F.concat(acc["last"], F.lit("\n\n"), c)).otherwise(c).alias("last"),
+            (~fits).alias("open"),
+        )
+
+    return F.aggregate(chunks, held, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"])))
 
-    Texts with headings are cut before each and small neighbours merged; see ``heading_chunks``.
-    """
+
+def long_chunks(text, size: int = 10000, most: int = 15000, overlap: int = 500) -> Column:
+    """Chunks for summaries: up to ``size`` characters one; longer texts by headings, small neighbours merged, what is over ``most`` cut into
+    slices of ``size``; each but the first begins with the end of the one before. Without headings a text is one piece to begin with."""
     n = F.length(text)
-    plain = F.when(n <= 15000, F.array(text)).otherwise(slices(text, 10000))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, F.array(F.lit(""))).when(n <= 10000, F.array(text)).otherwise(with_overlap(plain, 500))
+    cut = F.flatten(F.transform(merged_chunks(heading_chunks(text), 2000, size), lambda c: F.when(F.length(c) <= most, F.array(c)).otherwise(slices(c, size))))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.array(F.lit(""))).when(n <= size, F.array(text)).otherwise(with_overlap(cut, overlap))
 
 
-def heading_chunks(text) -> Column:
-    """Pieces that start with a markdown heading; what stands before the first is kept, blanks are not."""
-    return F.filter(F.split(text, r"(?m)(?=^#{1,6}\s)"), lambda p: F.trim(p) != "")
+def prose_sentences(text) -> Column:
+    """Pieces after . ! ? or the Thai abbreviation mark, as they stand."""
+    return F.split(text, "(?<=[.!?\u0e2f])\\s+")
 
 
 #: Markers of an extraction that failed, by the status they mean, in the order they are tried.
@@ -108,54 +126,76 @@ def extraction_status(text) -> Column:
     return rule.otherwise("ok")
 
 
-#: Codes of failures, in the order they are tried; a pattern over the lower-cased message.
+#: Codes of failures, in the order they are tried: a pattern over the lower-cased message, and names of exceptions.
 ERROR_CODES = (
-    ("ENCRYPTED", "encrypted|password"),
-    ("FILE_MISSING", "no such file|filenotfounderror"),
-    ("TIMEOUT", "timeout|timed out"),
-    ("OUT_OF_MEMORY", "memory"),
-    ("ENCODING", "unicodedecodeerror|unicodeencodeerror"),
-    ("QUOTA_EXCEEDED", "quota|rate limit|429"),
-    ("GEMINI_UNAVAILABLE", "google.*(503|unavailable)|(503|unavailable).*google"),
-    ("GEMINI_AUTH", "google.*auth|auth.*google"),
-    ("MODEL_DEPRECATED", "404.*(not_found|no longer available)|(not_found|no longer available).*404"),
-    ("FILE_NOT_ACTIVE", "failed_precondition|not in an active state"),
-    ("PERMISSION_DENIED", "permission[_ ]denied"),
-    ("CLIENT_ERROR", "invalid_argument|clienterror"),
-    ("OCR_FAIL", "tesseract"),
-    ("NETWORK", "connection|network"),
+    ("ENCRYPTED", "encrypted|password", ()),
+    ("FILE_MISSING", "no such file", ("FileNotFoundError",)),
+    ("TIMEOUT", "timeout|timed out", ("TimeoutError",)),
+    ("OUT_OF_MEMORY", "memory", ("MemoryError",)),
+    ("ENCODING", None, ("UnicodeDecodeError", "UnicodeEncodeError")),
+    ("QUOTA_EXCEEDED", "quota|rate limit|429", ()),
+    ("GEMINI_UNAVAILABLE", "(?s)google.*(503|unavailable)|(503|unavailable).*google", ()),
+    ("GEMINI_AUTH", "(?s)google.*auth|auth.*google", ()),
+    ("MODEL_DEPRECATED", "(?s)404.*(not_found|no longer available)|(not_found|no longer available).*404", ()),
+    ("FILE_NOT_ACTIVE", "failed_precondition|not in an active state", ()),
+    ("PERMISSION_DENIED", "permission[_ ]denied", ()),
+    ("CLIENT_ERROR", "invalid_argument", ("ClientError",)),
+    ("OCR_FAIL", "tesseract", ()),
+    ("NETWORK", "connection|network", ()),
 )
 
 
-def error_code(message) -> Column:
-    """Code of a failure message, of its first 200 characters."""
-    low, rule = F.lower(F.left(message, F.lit(200))), F
-    for code, pattern in ERROR_CODES:
-        rule = rule.when(low.rlike(pattern), code)
+def error_code(message, exception=None) -> Column:
+    """Code of a failure, from the first 200 characters of its message and the name of its exception; either may be null."""
+    low, rule = F.coalesce(F.lower(F.left(message, F.lit(200))), F.lit("")), F
+    name = F.lit(None).cast("string") if exception is None else exception
+    for code, pattern, names in ERROR_CODES:
+        said = low.rlike(pattern) if pattern else F.lit(False)
+        rule = rule.when(said | F.coalesce(name.isin(*names), F.lit(False)) if names else said, code)
     return rule.otherwise("UNKNOWN")
 
 
+#: What in a message tells a failure that may pass.
+PASSING = "rate limit,429,503,504,502,500,timeout,timed out,connection,connectionerror,readerror,remoteprotocolerror,serverdisconnected".split(",")
+
+
+def may_pass(message) -> Column:
+    """Whether a failure is worth another attempt."""
+    return F.coalesce(F.lower(message).rlike("|".join(map(re.escape, PASSING))), F.lit(False))
+
+
+#: Patterns of markdown and what they become, in the order they are applied.
+MARKDOWN = (
+    (r"```[a-zA-Z]*\n?([\s\S]*?)```", "$1"),
+    (r"`([^`\n]+?)`", "$1"),
+    (r"\*\*([^*]+?)\*\*", "$1"),
+    (r"(?<!\*)\*([^*\n]+?)\*(?!\*)", "$1"),
+    (r"(?<!_)_([^_\n]+?)_(?!_)", "$1"),
+    (r"\[([^\]]+)\]\(([^)]+)\)", "$1 ($2)"),
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"(?m)^\s*[-*]\s+", "• "),
+)
+
+
 def without_markdown(text) -> Column:
     """Plain text of markdown: code, emphasis, links, headings and bullets, in that order."""
-    for pattern, to in (
-        (r"```[a-zA-Z]*\n?([\s\S]*?)```", "$1"),
-        (r"`([^`\n]+?)`", "$1"),
-        (r"\*\*([^*]+?)\*\*", "$1"),
-        (r"(?<!\*)\*([^*\n]+?)\*(?!\*)", "$1"),
-        (r"(?<!_)_([^_\n]+?)_(?!_)", "$1"),
-        (r"\[([^\]]+)\]\(([^)]+)\)", "$1 ($2)"),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"(?m)^\s*[-*]\s+", "• "),
-    ):
+    for pattern, to in MARKDOWN:
         text = F.regexp_replace(text, pattern, to)
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: Beginnings of key lines, words of other key lines.
+KEY_BEGINNINGS = ("# ", "## ", "### ", "- ", "* ", "1.", "2.", "3.", "4.", "5.")
+KEY_WORDS = ("สถานะ", "status", "เสร็จ", "done", "ค้าง", "pending", "next", "ต่อไป", "สรุป", "summary")
+
+
 def auto_summary(text) -> Column:
     """Up to five key lines, or else the first three, cut to 300 characters."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    key = F.filter(lines, lambda x: x.rlike(r"^(#{1,3} |[-*] |[1-5]\.)") | F.lower(x).rlike("status|done|pending|next|summary|สถานะ|เสร็จ|ค้าง|ต่อไป|สรุป"))
-    shown = F.transform(key, lambda x: F.when(x.rlike(r"^(#{1,3} |[-*] |[1-5]\.)"), F.trim(F.regexp_replace(x, r"^[#\-*0-9. ]+", ""))).otherwise(x))
+    begins = "^(" + "|".join(map(re.escape, KEY_BEGINNINGS)) + ")"
+    stripped = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
+    key = F.filter(lines, lambda x: x.rlike(begins) | F.lower(x).rlike("|".join(KEY_WORDS)))
+    shown = F.transform(key, lambda x: F.when(x.rlike(begins), stripped(F.regexp_replace(x, r"^[#\-*0-9. ]+", ""))).otherwise(x))
     joined = F.when(F.size(key) > 0, F.array_join(F.slice(shown, 1, 5), " | ")).otherwise(F.array_join(F.slice(lines, 1, 3), " "))
     return F.concat(F.left(joined, F.lit(300)), F.when(F.length(joined) > 300, "...").otherwise(""))
 
@@ -196,9 +236,38 @@ def filename_tokens(filename) -> Column:
 
 
 def thai_spacing(text) -> Column:
-    """Blanks before combining Thai marks removed, spaced-out Latin words closed, runs of blanks made one."""
+    """Blanks before combining Thai marks removed, runs of four spaced-out Latin letters or digits and more closed, runs of blanks made one."""
     closed = F.regexp_replace(text, "(?<=\\S) (?=[\\u0E31\\u0E34-\\u0E3A\\u0E47-\\u0E4E])", "")
-    return F.regexp_replace(F.regexp_replace(closed, r"(?<=\b[A-Za-z]) (?=[A-Za-z]\b)", ""), " {2,}", " ")
+    # Noncharacters around each run make every second piece a run.
+    pieces = F.split(F.regexp_replace(closed, "(?:[A-Za-z0-9] ){3,}[A-Za-z0-9]", "\ufdd0$0\ufdd0"), "\ufdd0")
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(" "), F.lit(""))).otherwise(p)), "")
+    return F.regexp_replace(joined, r"(?U)[^\S\n]{2,}", " ")
+
+
+def needs_cleaning(text) -> Column:
+    """Whether an extracted text of 50 characters or more is spaced out, or holds private characters of fonts near its beginning."""
+    n = F.length(text)
+    spaced = (n - F.length(F.replace(text, F.lit(" "), F.lit("")))) / n >= 0.25
+    return F.coalesce((n >= 50) & (spaced | F.left(text, F.lit(1000)).rlike("[\uf700-\uf7ff]")), F.lit(False))
+
+
+def json_part(answer) -> Column:
+    """The JSON of a model's answer as a string: without fences, else its outermost braces or brackets; null where that is none."""
+    bare = F.regexp_replace(F.regexp_replace(answer, "```(?:json)?", ""), r"^\s+|\s+$", "")
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{]"), c)
+    return F.coalesce(valid(bare), *(valid(F.regexp_extract(bare, p, 0)) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]")))
+
+
+def fitting_filename(filename, prefix, most: int = 255) -> Column:
+    """``prefix`` and the file name, whose stem is cut between characters so that all fits into ``most`` bytes; the extension stays."""
+    ext = F.regexp_extract(filename, r"(?s)(\.[^.]*)$", 1)
+    stem = F.substring(filename, F.lit(1), F.length(filename) - F.length(ext))
+    room = F.greatest(F.lit(most) - F.octet_length(prefix) - F.octet_length(ext), F.lit(0))
+    bytes_ = F.hex(F.encode(stem, "UTF-8"))
+    goes_on = lambda n: F.substring(bytes_, 2 * n + 1, F.lit(1)).isin("8", "9", "A", "B")  # whether a character goes on after n bytes
+    end = F.when(~goes_on(room), room).when(~goes_on(room - 1), room - 1).when(~goes_on(room - 2), room - 2).otherwise(room - 3)
+    cut = F.when(F.octet_length(stem) <= room, stem).otherwise(F.decode(F.unhex(F.substring(bytes_, F.lit(1), 2 * end)), "UTF-8"))
+    return F.concat(prefix, cut, ext)
 
 
 class _Text(HTMLParser):
