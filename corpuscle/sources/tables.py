@@ -95,3 +95,77 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     contains = lines.groupBy(node("o", "l_orderkey").alias("source"), node("p", "l_partkey").alias("target")).agg(F.round(F.max("l_quantity") / 50, 6).alias("weight")).select("source", "target", F.lit("contains").alias("edge_type"), "weight")
     derived = lines.select(node("p", "l_partkey").alias("source"), node("s", "l_suppkey").alias("target")).distinct().select("source", "target", F.lit("derived_from").alias("edge_type"), F.lit(0.9).alias("weight"))
     return contains.unionByName(derived)
+
+
+def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_id, user_id, title, source_file_ids and source_cluster_ids (JSON arrays as texts), is_locked: packs of orders, their parts as files."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    ids = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("l_partkey")).cast("array<string>"), ","), F.lit("]"))
+    sources = lines.groupBy("l_orderkey").agg(ids.alias("source_file_ids"))
+    return orders.join(sources, orders["o_orderkey"] == sources["l_orderkey"]).select(
+        F.col("o_orderkey").alias("pack_id"),
+        F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string")).alias("user_id"),
+        F.concat(F.lit("pack "), F.col("o_orderkey").cast("string")).alias("title"),
+        "source_file_ids",
+        F.concat(F.lit("["), (F.col("o_custkey") % 12).cast("string"), F.lit("]")).alias("source_cluster_ids"),
+        (F.col("o_orderkey") % 9 == 0).alias("is_locked"),
+    )
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat_id, user_id, question, selected_file_ids: the first turns of conversations."""
+    c, id_ = table(spark, sf_dir, "conversations").where("turn = 0"), F.col("conv_id")
+    ids = F.concat(F.lit("["), (id_ * 3 % 1500).cast("string"), F.lit(","), (id_ * 7 % 1500).cast("string"), F.lit("]"))
+    return c.select(id_.alias("chat_id"), F.concat(F.lit("user "), (id_ % 5).cast("string")).alias("user_id"), F.col("text").alias("question"), ids.alias("selected_file_ids"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, object_type, family, label: the ends of ``edges``; every fifth part has no family."""
+    e = edges(spark, sf_dir)
+    ends = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()
+    kind = F.left("node", F.lit(1))
+    key = F.substring("node", 2, 20)
+    return ends.select(
+        "node",
+        F.when(kind == "o", "source_file").when(kind == "p", "entity").otherwise("project").alias("object_type"),
+        F.when(kind == "o", "file").when((kind == "p") & (key.cast("long") % 5 != 0), "entity").when(kind == "s", "project").alias("family"),
+        F.concat(F.when(kind == "o", "order ").when(kind == "p", "part ").otherwise("supplier "), key).alias("label"),
+    )
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suggestion_id, user_id, source, target, status: suggested relations, one an event."""
+    e, id_ = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select(
+        id_.alias("suggestion_id"),
+        F.concat(F.lit("src"), (id_ % 20).cast("string")).alias("user_id"),
+        F.concat(F.lit("o"), (id_ % 700).cast("string")).alias("source"),
+        F.concat(F.lit("p"), (id_ * 7 % 900).cast("string")).alias("target"),
+        F.when(F.col("event_type").isin("view", "click"), "pending").when(F.col("event_type") == "purchase", "accepted").otherwise("dismissed").alias("status"),
+    )
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_id, user_id, token_hash, revoked_at: access tokens, of which hashes alone are kept."""
+    c, id_ = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.select(
+        id_.alias("token_id"),
+        F.concat(F.lit("src"), (id_ % 20).cast("string")).alias("user_id"),
+        F.sha2(F.concat(F.lit("token "), id_.cast("string")), 256).alias("token_hash"),
+        F.when(id_ % 7 == 0, F.lit("2024-01-20").cast("timestamp")).alias("revoked_at"),
+    )
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id and seven fields, any of which may be empty."""
+    c, id_ = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.select(
+        id_.alias("user_id"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name")).alias("identity"),
+        F.when(id_ % 4 == 0, "learn").when(id_ % 4 == 1, "").alias("goals"),
+        F.lit(None).cast("string").alias("background"),
+        F.when(id_ % 6 == 0, "INTJ").alias("type_code"),
+        F.when(id_ % 10 == 0, "5w4").alias("enneagram"),
+        F.when(id_ % 11 == 0, F.array(F.lit("Focus"))).otherwise(F.array().cast("array<string>")).alias("strengths"),
+        F.when(id_ % 13 == 0, F.array(F.lit("Hope"))).alias("virtues"),
+    )
