@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.operators import enrich, graph, mutations, records, relational, search, service, values, vectors
+from corpuscle.operators import admin, enrich, graph, mutations, records, relational, search, service, values, vectors
 from corpuscle.streaming import streams
 
 FLAGSHIP = "sch_hybrid"
-MODULES = (relational, search, graph, vectors, service, records, enrich, values, mutations, streams)
+MODULES = (relational, search, graph, vectors, service, records, enrich, values, mutations, admin, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
