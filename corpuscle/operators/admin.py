@@ -93,10 +93,10 @@ def flt_by_action(spark, sf_dir):
 # Joins
 
 
-@query(f"with {CHATS_SQL}, {EVENTS_SQL} select e.event_id, c.chat_id, c.user_id from ev e join chats c on c.chat_id = e.event_id % 120 where c.user_id <> 'user 4'")
+@query(f"with {CHATS_SQL}, {EVENTS_SQL} select e.event_id, c.chat_id, c.user_id from ev e join chats c on c.chat_id = e.event_id % 120 where c.user_id <> 'src4'")
 def jn_log_chats(spark, sf_dir):
     """Log rows with the chat they belong to; those without one go."""
-    e, c = events(spark, sf_dir).withColumn("chat_id", F.col("event_id") % 120), chats(spark, sf_dir).where("user_id <> 'user 4'")
+    e, c = events(spark, sf_dir).withColumn("chat_id", F.col("event_id") % 120), chats(spark, sf_dir).where("user_id <> 'src4'")
     return e.join(c.select("chat_id", F.col("user_id").alias("chat_user")), "chat_id").select("event_id", "chat_id", F.col("chat_user").alias("user_id"))
 
 

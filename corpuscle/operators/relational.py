@@ -33,7 +33,7 @@ EDGES_SQL = """edges as (
   union all select distinct 'p' || l_partkey, 's' || l_suppkey, 'derived_from', 0.9 from lineitem)"""
 TAGS_SQL = "tags as (select distinct l_orderkey as file_id, p_brand || ' ' || p_type as tag from lineitem join part on l_partkey = p_partkey)"
 MEMORIES_SQL = """memories as (
-  select conv_id || '-' || turn as memory_id, 'topic ' || conv_id % 25 as title, 'user ' || conv_id % 5 as user_id, conv_id, turn, role as platform, text as content,
+  select conv_id || '-' || turn as memory_id, 'topic ' || conv_id % 25 as title, 'src' || conv_id % 20 as user_id, conv_id, turn, role as platform, text as content,
          timestamp '2024-01-01' + to_days(conv_id::int) + to_minutes((turn * 45 + case when turn >= 3 then 180 else 0 end)::bigint) as updated_at,
          (conv_id + turn) % 10 = 0 as is_pinned from conversations)"""
 

@@ -1,7 +1,8 @@
-"""The search index and the searches over it; exact and semantic duplicates.
+"""The search index, kept as tables, and the searches over it; exact and semantic duplicates.
 
-An index is three tables: chunks (tenant, file, chunk), postings (a row a term and chunk) and IDF (a row a tenant and term). A query's
-terms are few; chunk norms come from the postings once.
+An index is four tables: chunks (tenant, file, chunk, tokens), postings (a row a term and chunk, with its frequency and weight), IDF (a row a
+tenant and term) and norms (a row a chunk). It is built once for an unchanged input and stored in the shared folder; a search reads the few
+postings of its terms. Files are replaced and removed by taking their rows out and putting new ones in; then weights are made anew.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuscle.functions import text
+from corpuscle.functions import scoring, text
 from corpuscle.operators.relational import FILES_SQL
-from corpuscle.sources.tables import files, table
+from corpuscle.sources import store
+from corpuscle.sources.tables import files, nodes, packs, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,33 +29,85 @@ class Index(NamedTuple):
     chunks: DataFrame
     postings: DataFrame
     idf: DataFrame
+    norms: DataFrame
 
 
-def build_index(docs: DataFrame) -> Index:
-    """Index of ``docs`` (file_id, user_id, extracted_text): chunked, tokenised, counted, weighed."""
-    chunks = docs.select("file_id", "user_id", F.posexplode(text.search_chunks_of("extracted_text")).alias("chunk_index", "chunk")).withColumn("tokens", text.tokens(F.col("chunk")))
-    terms = chunks.select("user_id", "file_id", "chunk_index", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
-    counted = terms.groupBy("user_id", "file_id", "chunk_index", "term").agg((F.count("*") / F.first("n")).alias("tf"))
+PLACE = ["user_id", "file_id", "chunk_index"]
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """user_id, file_id, chunk_index, chunk, tokens of ``docs`` (file_id, user_id, extracted_text)."""
+    return docs.select("file_id", "user_id", F.posexplode(text.search_chunks_of("extracted_text")).alias("chunk_index", "chunk")).withColumn("tokens", text.tokens(F.col("chunk")))
+
+
+def weighed(chunks: DataFrame) -> Index:
+    """The index of ``chunks``."""
+    terms = chunks.select(*PLACE, F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
+    counted = terms.groupBy(*PLACE, "term").agg((F.count("*") / F.first("n")).alias("tf"))
     total = chunks.groupBy("user_id").agg(F.count("*").alias("total"))
     idf = counted.groupBy("user_id", "term").agg(F.count("*").alias("df")).join(total, "user_id").select("user_id", "term", "df", F.log(F.col("total") / (1 + F.col("df"))).alias("idf"))
-    return Index(chunks, counted, idf)
+    postings = counted.join(idf.select("user_id", "term", "idf"), ["user_id", "term"]).select(*PLACE, "term", "tf", (F.col("tf") * F.col("idf")).alias("d"))
+    norms = postings.groupBy(*PLACE).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
+    return Index(chunks, postings, idf, chunks.select(*PLACE).join(norms, PLACE, "left"))
+
+
+def build_index(docs: DataFrame) -> Index:
+    """Index of ``docs`` (file_id, user_id, extracted_text): chunked, tokenised, counted, weighed."""
+    return weighed(chunks_of(docs))
+
+
+def stored(index: Index) -> Index:
+    """``index`` as tables: chunks first, since all others are made of them; postings lie in order of their terms."""
+    path = store.new_path(index.chunks.sparkSession, "index")
+    chunks = store.write_table(index.chunks, f"{path}/chunks")
+    made = weighed(chunks)
+    idf = store.write_table(made.idf, f"{path}/idf")
+    postings = store.write_table(made.postings.repartition("term").sortWithinPartitions("term", "user_id"), f"{path}/postings")
+    norms = postings.groupBy(*PLACE).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
+    return Index(chunks, postings, idf, store.write_table(chunks.select(*PLACE).join(norms, PLACE, "left"), f"{path}/norms"))
+
+
+def replaced(index: Index, docs: DataFrame) -> Index:
+    """``index`` with the files of ``docs`` as they are now, in place of what it held of them."""
+    return weighed(without_files(index, docs).unionByName(chunks_of(docs)))
+
+
+def removed(index: Index, gone: DataFrame) -> Index:
+    """``index`` without the files in ``gone`` (file_id)."""
+    return weighed(without_files(index, gone))
+
+
+def without_files(index: Index, gone: DataFrame) -> DataFrame:
+    return index.chunks.join(gone.select("file_id").distinct(), "file_id", "left_anti")
+
+
+#: Stored indexes by application, folder and what its files are like.
+_STORED: dict[tuple, Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the files in ``sf_dir``, made at the first use and again when the folder's files change."""
+    key = spark.sparkContext.applicationId, sf_dir, store.signature(spark, [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"])
+    if key not in _STORED:
+        for old in [k for k in _STORED if k[:2] == key[:2] or k[0] != key[0]]:
+            del _STORED[old]
+        _STORED[key] = stored(build_index(files(spark, sf_dir)))
+    return _STORED[key]
 
 
 def query_terms(spark: SparkSession, query: str, idf: DataFrame) -> DataFrame:
     """user_id, term, q: a query's weights for each tenant; terms that a tenant lacks weigh nothing."""
     asked = spark.range(1).select(text.tokens(F.lit(query)).alias("t")).select(F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("term").agg((F.count("*") / F.first("n")).alias("tf"))
-    return idf.join(F.broadcast(asked), "term").select("user_id", "term", (F.col("tf") * F.col("idf")).alias("q"))
+    return idf.join(F.broadcast(asked), "term").select("user_id", "term", (F.col("tf") * F.col("idf")).alias("q"))  # one query's terms
 
 
 def semantic_scores(index: Index, terms: DataFrame) -> DataFrame:
     """user_id, file_id, chunk_index, relevance of all chunks: TF-IDF cosine, 0 where nothing is shared or it is negative."""
-    weights = index.postings.join(index.idf, ["user_id", "term"]).withColumn("d", F.col("tf") * F.col("idf"))
-    matched = weights.join(terms, ["user_id", "term"], "left")
-    sums = matched.groupBy("user_id", "file_id", "chunk_index").agg(F.sum(F.col("d") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
+    dots = index.postings.join(terms, ["user_id", "term"]).groupBy(*PLACE).agg(F.sum(F.col("d") * F.col("q")).alias("dot"))
     norms = terms.groupBy("user_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     one = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
-    scored = sums.join(norms, "user_id", "left").withColumn("relevance", F.when(F.col("dot") > 0, F.round(F.col("dot") / (one("norm") * one("q_norm")), 6)).otherwise(0.0))
-    return index.chunks.select("user_id", "file_id", "chunk_index").join(scored.select("user_id", "file_id", "chunk_index", "relevance"), ["user_id", "file_id", "chunk_index"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+    scored = index.norms.join(dots, PLACE, "left").join(norms, "user_id", "left")
+    return scored.select(*PLACE, F.when(F.col("dot") > 0, F.round(F.col("dot") / (one("norm") * one("q_norm")), 6)).otherwise(0.0).alias("relevance"))
 
 
 def keyword_scores(index: Index, query: str) -> DataFrame:
@@ -111,13 +165,13 @@ def query(sql: str | None = None):
 @query(f"with {CHUNKS_SQL} select user_id, term, df, round(idf, 6) as idf from idf")
 def idx_idf(spark, sf_dir):
     """Document frequencies and weights of all terms."""
-    return build_index(files(spark, sf_dir)).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, sf_dir).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {CHUNKS_SQL} select file_id, chunk_index, count(*) as n_terms, round(max(tf), 6) as top_tf from postings group by all")
 def idx_postings(spark, sf_dir):
     """Terms of each chunk."""
-    p = build_index(files(spark, sf_dir)).postings.groupBy("file_id", "chunk_index").agg(F.count("*").alias("n_terms"), F.round(F.max("tf"), 6).alias("top_tf"))
+    p = index_of(spark, sf_dir).postings.groupBy("file_id", "chunk_index").agg(F.count("*").alias("n_terms"), F.round(F.max("tf"), 6).alias("top_tf"))
     return p.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -128,14 +182,14 @@ def _places(df: DataFrame) -> DataFrame:
 @query(f"with {CHUNKS_SQL} select user_id, rank, file_id, chunk_index, relevance from st where rank <= 16")
 def sch_semantic(spark, sf_dir):
     """The best chunks by TF-IDF cosine."""
-    index = build_index(files(spark, sf_dir))
+    index = index_of(spark, sf_dir)
     return _places(top(semantic_scores(index, query_terms(spark, QUERY, index.idf)), 16))
 
 
 @query(f"with {CHUNKS_SQL} select user_id, rank, file_id, chunk_index, relevance from kt where rank <= 16")
 def sch_keyword(spark, sf_dir):
     """The best chunks by keywords."""
-    return _places(top(keyword_scores(build_index(files(spark, sf_dir)), QUERY), 16))
+    return _places(top(keyword_scores(index_of(spark, sf_dir), QUERY), 16))
 
 
 @query(f"""with {CHUNKS_SQL}, s as (select * from st where rank <= 16), k as (select * from kt where rank <= 16),
@@ -144,7 +198,76 @@ m as (select coalesce(s.user_id, k.user_id) as user_id, coalesce(s.file_id, k.fi
 r as (select *, row_number() over (partition by user_id order by relevance desc, file_id, chunk_index) as rank from m) select user_id, rank, file_id, chunk_index, relevance, mode from r where rank <= 8""")
 def sch_hybrid(spark, sf_dir):
     """Hybrid search, the flagship: chunks, postings, weights, two rankings, their merge."""
-    return _places(hybrid(build_index(files(spark, sf_dir)), QUERY))
+    return _places(hybrid(index_of(spark, sf_dir), QUERY))
+
+
+_HYBRID_SQL = """s as (select * from st where rank <= {0}), k as (select * from kt where rank <= {0}),
+m as (select coalesce(s.user_id, k.user_id) as user_id, coalesce(s.file_id, k.file_id) as file_id, coalesce(s.chunk_index, k.chunk_index) as chunk_index, round(0.6 * coalesce(s.relevance, 0) + 0.4 * coalesce(k.relevance, 0), 6) as relevance
+ from s full join k on s.user_id = k.user_id and s.file_id = k.file_id and s.chunk_index = k.chunk_index),
+r as (select *, row_number() over (partition by user_id order by relevance desc, file_id, chunk_index) as rank from m)"""
+
+
+@query(f"""with {CHUNKS_SQL}, {_HYBRID_SQL.format(60)}, b as (select *, row_number() over (partition by user_id, file_id order by rank) as nth from r where rank <= 30),
+f as (select *, row_number() over (partition by user_id order by rank) as place from b where nth = 1) select user_id, file_id, chunk_index, relevance, place from f where place <= 10""")
+def sch_best_chunks(spark, sf_dir, hits: int = 30, most: int = 10):
+    """The best chunk of each file among the best hits, ten files of a tenant at most."""
+    found = hybrid(index_of(spark, sf_dir), QUERY, hits)
+    nth = F.row_number().over(Window.partitionBy("user_id", "file_id").orderBy("rank"))
+    best = found.withColumn("nth", nth).where("nth = 1").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("rank")))
+    return best.where(F.col("place") <= most).select("user_id", "file_id", F.col("chunk_index").cast("long").alias("chunk_index"), "relevance", F.col("place").cast("long").alias("place"))
+
+
+def knowledge(index: Index, files_: DataFrame, packs_: DataFrame, nodes_: DataFrame, query: str, n: int = 8) -> DataFrame:
+    """user_id, kind, id, relevance: hybrid hits by file; where a tenant has none, the fallback's; three packs and five nodes by name.
+
+    ``files_``: file_id, user_id, filename, summarised, extracted_text; ``packs_``: pack_id, user_id, title; ``nodes_``: node, label, user_id."""
+    hits = hybrid(index, query, n).where("relevance > 0").groupBy("user_id", F.col("file_id").cast("string").alias("id")).agg(F.max("relevance").alias("relevance"))
+    lacking = files_.join(hits.select("user_id").distinct(), "user_id", "left_anti")
+    summary = F.when(F.col("summarised"), F.left("extracted_text", F.lit(200)))
+    score = scoring.fallback_score(query, F.col("filename"), summary, F.array().cast("array<string>"), F.col("extracted_text"), F.array("user_id"))
+    rank = lambda *order: F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    other = lacking.select("user_id", F.col("file_id").cast("string").alias("id"), score.alias("relevance")).where("relevance > 0").withColumn("k", rank(F.desc("relevance"), "id")).where(F.col("k") <= n).drop("k")
+    named = lambda df, id_, label, most: df.where(F.contains(F.lower(label), F.lit(query.lower()))).select("user_id", F.col(id_).cast("string").alias("id")).withColumn("k", rank(F.length("id"), "id")).where(F.col("k") <= most)
+    rows = hits.select("user_id", F.lit("file").alias("kind"), "id", "relevance").unionByName(other.select("user_id", F.lit("fallback").alias("kind"), "id", "relevance"))
+    for kind, df in (("pack", named(packs_, "pack_id", "title", 3)), ("node", named(nodes_, "node", "label", 5))):
+        rows = rows.unionByName(df.select("user_id", F.lit(kind).alias("kind"), "id", F.lit(None).cast("double").alias("relevance")))
+    return rows
+
+
+_KNOWN = "12"
+
+
+@query(f"""with {FILES_SQL}, p as (select 'src' || o_orderkey % 20 as user_id, o_orderkey as id from orders where contains('pack ' || o_orderkey, '{_KNOWN}') and o_orderkey in (select l_orderkey from lineitem)),
+pk as (select *, row_number() over (partition by user_id order by length(id::varchar), id::varchar) as k from p),
+n as (select distinct 'src' || l_orderkey % 20 as user_id, 'p' || l_partkey as id from lineitem where contains('part ' || l_partkey, '{_KNOWN}')), nk as (select *, row_number() over (partition by user_id order by length(id), id) as k from n),
+hit as (select distinct user_id from files where contains(lower(extracted_text), '{_KNOWN}')),
+f as (select user_id, file_id::varchar as id, round((case when contains(lower(filename), '{_KNOWN}') then .5 else 0 end) + (case when summarised and contains(lower(left(extracted_text, 200)), '{_KNOWN}') then .4 else 0 end)
+ + (case when not (summarised and contains(lower(left(extracted_text, 200)), '{_KNOWN}')) and contains(lower(extracted_text), '{_KNOWN}') then .3 else 0 end) + (case when contains(user_id, '{_KNOWN}') then .2 else 0 end), 3)::double as relevance from files where user_id not in (select user_id from hit)),
+fk as (select *, row_number() over (partition by user_id order by relevance desc, id) as k from f where relevance > 0)
+select user_id, 'pack' as kind, id::varchar as id, null::double as relevance from pk where k <= 3 union all select user_id, 'node', id, null from nk where k <= 5 union all select user_id, 'fallback', id, least(relevance, 1) from fk where k <= 8""")
+def sch_knowledge(spark, sf_dir):
+    """Knowledge search for what few texts hold: packs and nodes by name, and the fallback for tenants without a hit; hits themselves are those of ``sch_hybrid``."""
+    from corpuscle.sources.tables import tenant_edges
+
+    ends = tenant_edges(spark, sf_dir).select("user_id", F.col("target").alias("node")).distinct().where("node like 'p%'").join(nodes(spark, sf_dir), "node")
+    found = knowledge(index_of(spark, sf_dir), files(spark, sf_dir), packs(spark, sf_dir), ends, _KNOWN)
+    return found.where("kind <> 'file'")
+
+
+_CHANGED = "case when doc_id % 10 = 3 then upper(left(text, 300)) || ' renewed' else text end"
+
+
+@query(f"with d2 as materialized (select doc_id, lang, source, {_CHANGED} as text from documents), {CHUNKS_SQL.replace('from documents d ', 'from d2 d ')} select user_id, term, df, round(idf, 6) as idf from idf")
+def idx_replace(spark, sf_dir):
+    """The weights after every tenth file was replaced."""
+    f = files(spark, sf_dir).where("file_id % 10 = 3").withColumn("extracted_text", F.concat(F.upper(F.left("extracted_text", F.lit(300))), F.lit(" renewed")))
+    return replaced(index_of(spark, sf_dir), f).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"with {CHUNKS_SQL.replace('left join labels l using (doc_id))', 'left join labels l using (doc_id) where d.doc_id % 7 <> 0)')} select user_id, term, df, round(idf, 6) as idf from idf")
+def idx_remove(spark, sf_dir):
+    """The weights after every seventh file was removed."""
+    return removed(index_of(spark, sf_dir), table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("file_id"))).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""with {FILES_SQL}, s as (select file_id, case when contains(lower(filename), 'en') then 0.5 else 0 end + case when summarised and contains(lower(left(extracted_text, 200)), 'en') then 0.4 else 0 end

@@ -40,12 +40,18 @@ f as (select user_id, list_reduce(list_prepend({{'used': 0::bigint, 'ids': ''}},
 select user_id, r.used as used_chars, trim(r.ids) as file_ids from f""")
 def ret_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of each tenant: newest files first, as summary, excerpt or raw text, while the character budget lasts."""
+    packed = budget_pack(files(spark, sf_dir))
+    return packed.select("user_id", "used_chars", F.array_join(F.col("file_ids").cast("array<string>"), " ").alias("file_ids"))
+
+
+def budget_pack(files_: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """user_id, used_chars, file_ids: what of each tenant's files is packed, newest first."""
     mode = F.when(F.col("file_id") % 3 == 0, 300).when(F.col("file_id") % 3 == 1, 2000).otherwise(6000)
-    f = files(spark, sf_dir).withColumn("n", F.least(F.length("extracted_text"), mode))
+    f = files_.withColumn("n", F.least(F.length("extracted_text"), mode))
     # A tenant's files are bounded by its plan; the array holds ids and lengths, no texts.
     ordered = F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("uploaded_at")).alias("newest"), F.col("file_id").alias("id"), "n")))
-    packed = f.groupBy("user_id").agg(budget_fold(ordered).alias("r"))
-    return packed.select("user_id", F.col("r.used").alias("used_chars"), F.array_join(F.col("r.taken").cast("array<string>"), " ").alias("file_ids"))
+    packed = f.groupBy("user_id").agg(budget_fold(ordered, budget).alias("r"))
+    return packed.select("user_id", F.col("r.used").alias("used_chars"), F.col("r.taken").alias("file_ids"))
 
 
 @query(f"""with {FILES_SQL}, n as (select *, row_number() over (partition by user_id order by file_id) as k from files)

@@ -6,7 +6,7 @@ PACKS_SQL = """packs as (
   select o_orderkey as pack_id, 'src' || o_orderkey % 20 as user_id, 'pack ' || o_orderkey as title, ids, '[' || array_to_string(ids, ',') || ']' as source_file_ids,
          o_custkey % 12 as cluster_id, o_orderkey % 9 = 0 as is_locked
   from orders join (select l_orderkey, list_sort(list_distinct(list(l_partkey))) as ids from lineitem group by 1) on l_orderkey = o_orderkey)"""
-CHATS_SQL = "chats as (select conv_id as chat_id, 'user ' || conv_id % 5 as user_id, text as question, [conv_id * 3 % 1500, conv_id * 7 % 1500] as ids from conversations where turn = 0)"
+CHATS_SQL = "chats as (select conv_id as chat_id, 'src' || conv_id % 20 as user_id, text as question, [conv_id * 3 % 1500, conv_id * 7 % 1500] as ids from conversations where turn = 0)"
 NODES_SQL = """nodes as (
   select node, case left(node, 1) when 'o' then 'source_file' when 'p' then 'entity' else 'project' end as object_type,
          case when node like 'o%' then 'file' when node like 'p%' then case when substr(node, 2)::bigint % 5 <> 0 then 'entity' end else 'project' end as family,

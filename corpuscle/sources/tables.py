@@ -51,7 +51,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("memory_id"),
         F.concat(F.lit("topic "), (F.col("conv_id") % 25).cast("string")).alias("title"),
-        F.concat(F.lit("user "), (F.col("conv_id") % 5).cast("string")).alias("user_id"),
+        F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("user_id"),
         "conv_id",
         "turn",
         F.col("role").alias("platform"),
@@ -116,7 +116,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chat_id, user_id, question, selected_file_ids: the first turns of conversations."""
     c, id_ = table(spark, sf_dir, "conversations").where("turn = 0"), F.col("conv_id")
     ids = F.concat(F.lit("["), (id_ * 3 % 1500).cast("string"), F.lit(","), (id_ * 7 % 1500).cast("string"), F.lit("]"))
-    return c.select(id_.alias("chat_id"), F.concat(F.lit("user "), (id_ % 5).cast("string")).alias("user_id"), F.col("text").alias("question"), ids.alias("selected_file_ids"))
+    return c.select(id_.alias("chat_id"), F.concat(F.lit("src"), (id_ % 20).cast("string")).alias("user_id"), F.col("text").alias("question"), ids.alias("selected_file_ids"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,3 +169,14 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(id_ % 11 == 0, F.array(F.lit("Focus"))).otherwise(F.array().cast("array<string>")).alias("strengths"),
         F.when(id_ % 13 == 0, F.array(F.lit("Hope"))).alias("virtues"),
     )
+
+
+def tenant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, source, target, edge_type, weight: ``edges`` by the tenant of the order they come from."""
+    lines = table(spark, sf_dir, "lineitem")
+    user = F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("user_id")
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    contains = lines.groupBy(user, node("o", "l_orderkey").alias("source"), node("p", "l_partkey").alias("target")).agg(F.round(F.max("l_quantity") / 50, 6).alias("weight"))
+    derived = lines.select(user, node("p", "l_partkey").alias("source"), node("s", "l_suppkey").alias("target")).distinct()
+    kind = lambda df, name, weight: df.select("user_id", "source", "target", F.lit(name).alias("edge_type"), weight.alias("weight"))
+    return kind(contains, "contains", F.col("weight")).unionByName(kind(derived, "derived_from", F.lit(0.9)))
