@@ -1,18 +1,19 @@
-"""Structured Streaming forms: windows, sessions, deduplication and running state over the event log.
+"""Structured Streaming forms: windows, sessions, deduplication, running state and timers over the event log.
 
 A file source reads the event table as a stream; its NTZ times become timestamps, as watermarks need. Late rows count up to ``LATE``.
-Results go to an in-memory or Parquet sink; queries here run with trigger(availableNow) and return what batch would.
+Every batch's result becomes a Parquet table of its number in the shared folder, so a repeated batch replaces itself and nothing passes the
+driver; queries here run with trigger(availableNow) and return what batch would. Keyed state is kept by ``transformWithState`` in RocksDB.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from corpuscle.sources import store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,13 +29,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), "user_id", F.col("event_type").alias("action"), "value")
 
 
-def collected(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run ``stream`` over what is there and return its result table."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpuscle-streams").rstrip("/")
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+def collected(stream: DataFrame, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run ``stream`` over what is there and return its result table: the last batch's where each holds all, else all batches'; of an updated
+    key the last one."""
+    spark, path = stream.sparkSession, store.new_path(stream.sparkSession, "stream")
+    job = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/results/batch={n}"))
+    job = job.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{path}/results").parquet(f"{path}/results")
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).scalar())
+    if keys:
+        last = found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in keys]), "batch").alias("last"))
+        found = last.select(*keys, *[F.col(f"last.{c}") for c in stream.columns if c not in keys])
+    return found.select(stream.columns)
 
 
 def query(sql: str | None = None):
@@ -79,21 +87,134 @@ def str_distinct_ids(spark, sf_dir):
     return kept.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of an action: running average and number; rows of a batch in order of time."""
-    average, n = state.get if state.exists else (30.0, 0)
-    rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
-    for value in rows["value"]:
-        if value >= 0:
-            average = round(0.8 * average + 0.2 * min(value, 60.0), 2)
-            n += 1
-    state.update((average, n))
-    yield pd.DataFrame({"action": [key[0]], "ewma": [average], "n": [n]})
+@query("""select year(ts)::int as year, month(ts)::int as month, event_type as action, count(*) as n from events group by all""")
+def str_monthly(spark, sf_dir):
+    """Counts of calendar months, which windows of a fixed length can't be."""
+    e = event_stream(spark, sf_dir).groupBy(F.year("created_at").alias("year"), F.month("created_at").alias("month"), "action").agg(F.count("*").alias("n"))
+    return collected(e)
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """State of ``transformWithState`` lies in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Averages(StatefulProcessor):
+    """Capped running average of a key's durations, in the order in which they come: 4/5 old and 1/5 new, rounded at each step."""
+
+    def __init__(self, cap: float = 60.0, start: float = 30.0):
+        self.cap, self.first = cap, start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("average", "ewma double, n long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        average, n = self.state.get() if self.state.exists() else (self.first, 0)
+        for part in rows:  # a part of the rows at a time
+            for value in part["value"]:
+                if value >= 0:
+                    average = round(0.8 * average + 0.2 * min(value, self.cap), 2)
+                    n += 1
+        self.state.update((average, n))
+        yield pd.DataFrame({"action": [key[0]], "ewma": [average], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+class Throttle(StatefulProcessor):
+    """Rows of a key that come at least ``gap`` seconds after the last one let through."""
+
+    def __init__(self, gap: float):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "at double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        last = self.state.get()[0] if self.state.exists() else None
+        for part in rows:
+            part = part.sort_values(["at", "event_id"])
+            passed = []
+            for at in part["at"]:
+                passed.append(last is None or at - last >= self.gap)
+                last = at if passed[-1] else last
+            part = part[passed]
+            if len(part):
+                yield pd.DataFrame({"user_id": part["user_id"], "event_id": part["event_id"], "at": part["at"]})
+        if last is not None:
+            self.state.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
+class Liveness(StatefulProcessor):
+    """A worker that is silent for ``silence`` seconds of event time is reported once, by a timer, and its state goes."""
+
+    def __init__(self, silence: int):
+        self.silence = silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("beat", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        old = self.state.get()[0] if self.state.exists() else 0
+        last = max([old, *(int(part["ms"].max()) for part in rows)])
+        if old:
+            self.handle.deleteTimer(old + self.silence * 1000)
+        self.state.update((last,))
+        self.handle.registerTimer(last + self.silence * 1000)
+        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "last_ms": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        last = self.state.get()[0]
+        self.state.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last]})
+
+    def close(self) -> None:
+        pass
 
 
 @query()
 def str_running_average(spark, sf_dir):
     """The capped running average of each action, kept as state across batches; the state is two numbers a key."""
-    e = event_stream(spark, sf_dir)
-    s = e.groupBy("action").applyInPandasWithState(_running, "action string, ewma double, n long", "ewma double, n long", "update", GroupStateTimeout.NoTimeout)
-    return collected(s, "update")
+    keyed_state(spark)
+    s = event_stream(spark, sf_dir).groupBy("action").transformWithStateInPandas(Averages(), "action string, ewma double, n long", "Update", "None")
+    return collected(s, "update", ("action",))
+
+
+@query()
+def str_throttle(spark, sf_dir, gap: float = 7200):
+    """Progress reports let through: of each user one in two hours of the log's time, where a live system would take seconds."""
+    keyed_state(spark)
+    e = event_stream(spark, sf_dir).select("user_id", "event_id", F.unix_timestamp("created_at").cast("double").alias("at"))
+    return collected(e.groupBy("user_id").transformWithStateInPandas(Throttle(gap), "user_id long, event_id long, at double", "Append", "None"), "append")
+
+
+@query()
+def str_liveness(spark, sf_dir, silence: int = 21600):
+    """Users of whom the log has heard nothing for six hours by its own time: timers, whose state goes with the report."""
+    keyed_state(spark)
+    e = event_stream(spark, sf_dir).withWatermark("created_at", LATE).select("user_id", "created_at", F.unix_millis("created_at").alias("ms"))
+    return collected(e.groupBy("user_id").transformWithStateInPandas(Liveness(silence), "user_id long, last_ms long", "Append", "EventTime"), "append")
+
+
+@query("""with j as (select *, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type = 'view') select event_id, user_id from j where k <= 2""")
+def str_claims(spark, sf_dir, each: int = 2):
+    """Jobs claimed once: each batch claims the first of each user that no batch before has claimed; the claims are a table, and a repeated
+    batch finds its own. Two jobs a user are taken here."""
+    path = store.new_path(spark, "claims")
+
+    def claim(rows: DataFrame, n: int) -> None:
+        from pyspark.sql.window import Window
+
+        k = F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "event_id"))
+        held = rows.sparkSession.read.schema("event_id long, user_id long, batch long").option("basePath", path).parquet(path).where(F.col("batch") < n) if n else None
+        open_ = rows if held is None else rows.join(held.groupBy("user_id").agg(F.count("*").alias("taken")), "user_id", "left")
+        room = F.lit(each) if held is None else each - F.coalesce("taken", F.lit(0))
+        open_.withColumn("k", k).where(F.col("k") <= room).select("event_id", "user_id").write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    jobs = event_stream(spark, sf_dir).where("action = 'view'").select("event_id", "user_id", "created_at")
+    jobs.writeStream.foreachBatch(claim).option("checkpointLocation", store.new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long").parquet(f"{path}/batch=*")
