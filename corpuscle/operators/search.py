@@ -110,6 +110,23 @@ def semantic_scores(index: Index, terms: DataFrame) -> DataFrame:
     return scored.select(*PLACE, F.when(F.col("dot") > 0, F.round(F.col("dot") / (one("norm") * one("q_norm")), 6)).otherwise(0.0).alias("relevance"))
 
 
+def asked_terms(asked: DataFrame, idf: DataFrame) -> DataFrame:
+    """query_id, user_id, term, q: weights of the queries in ``asked`` (query_id, user_id, text), each in its tenant's index."""
+    terms = asked.select("query_id", "user_id", text.tokens(F.col("text")).alias("t")).select("query_id", "user_id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    counted = terms.groupBy("query_id", "user_id", "term").agg((F.count("*") / F.first("n")).alias("tf"))
+    return counted.join(idf, ["user_id", "term"]).select("query_id", "user_id", "term", (F.col("tf") * F.col("idf")).alias("q"))
+
+
+def batch_search(index: Index, asked: DataFrame, n: int) -> DataFrame:
+    """query_id, rank, file_id, chunk_index, relevance: the best ``n`` chunks of each of many queries by TF-IDF cosine, of those that share something."""
+    terms = asked_terms(asked, index.idf)
+    norms = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm")).where("q_norm > 0")
+    dots = index.postings.join(terms, ["user_id", "term"]).groupBy("query_id", *PLACE).agg(F.sum(F.col("d") * F.col("q")).alias("dot")).where("dot > 0")
+    near = dots.join(norms, "query_id").join(index.norms.where("norm > 0"), PLACE).withColumn("relevance", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "file_id", "chunk_index"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "file_id", "chunk_index", "relevance")
+
+
 def keyword_scores(index: Index, query: str) -> DataFrame:
     """Share of the query's tokens that a chunk holds, 0.3 more if it holds the query itself; chunks with neither are left out."""
     asked = text.tokens(F.lit(query))
@@ -201,6 +218,19 @@ def sch_hybrid(spark, sf_dir):
     return _places(hybrid(index_of(spark, sf_dir), QUERY))
 
 
+@query(f"""with {CHUNKS_SQL}, aq as materialized (select doc_id as query_id, source as user_id, regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{{0E00}}-\\x{{0E7F}}]+') as t from documents where doc_id % 100 = 0),
+ut as (select query_id, user_id, unnest(t) as term, len(t) as n from aq), tq as (select query_id, user_id, term, count(*) / any_value(n) as tf from ut group by all), wq as materialized (select query_id, user_id, term, tf * idf as q from tq join idf using (user_id, term)),
+nq as (select query_id, sqrt(sum(q * q)) as qn from wq group by 1), pd as materialized (select p.user_id, p.file_id, p.chunk_index, p.term, p.tf * i.idf as d from postings p join idf i using (user_id, term)),
+nd as (select user_id, file_id, chunk_index, sqrt(sum(d * d)) as dn from pd group by all), dq as (select query_id, user_id, file_id, chunk_index, sum(d * q) as dot from pd join wq using (user_id, term) group by all),
+rq as (select query_id, file_id, chunk_index, round(dot / (dn * qn), 6) as relevance, row_number() over (partition by query_id order by round(dot / (dn * qn), 6) desc, file_id, chunk_index) as rank from dq join nq using (query_id) join nd using (user_id, file_id, chunk_index) where dot > 0 and qn > 0 and dn > 0)
+select * from rq where rank <= 16""")
+def sch_batch(spark, sf_dir):
+    """Whole texts as queries: every file whose id is divisible by 100 against all chunks of its tenant."""
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("user_id"), "text")
+    found = batch_search(index_of(spark, sf_dir), asked, 16)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("rank", "chunk_index")})
+
+
 _HYBRID_SQL = """s as (select * from st where rank <= {0}), k as (select * from kt where rank <= {0}),
 m as (select coalesce(s.user_id, k.user_id) as user_id, coalesce(s.file_id, k.file_id) as file_id, coalesce(s.chunk_index, k.chunk_index) as chunk_index, round(0.6 * coalesce(s.relevance, 0) + 0.4 * coalesce(k.relevance, 0), 6) as relevance
  from s full join k on s.user_id = k.user_id and s.file_id = k.file_id and s.chunk_index = k.chunk_index),
