@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import chain
+from itertools import chain, groupby
 
 import ahocorasick
 import numpy as np
@@ -40,9 +40,8 @@ SHORT, GROUP, CACHE = 32, 4096, 200_000
 #: More than any piece has letters.
 LONGEST = 64
 UND = "und"
-#: Runs of letters. What \w holds beside letters, digits and the underscore are numerals such as a half or a Roman four.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Letters and numerals, such as a half or a Roman four; words are cut at numerals afterwards, as a class without them is slow to match.
+WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 
 
@@ -55,6 +54,17 @@ def vocabulary_pieces(path: str) -> list[str]:
     return sorted({p for p in pieces if p == p.lower() and p.strip(START) and p.lstrip(START).isalpha()} | {START})
 
 
+def words_of(text: str | None) -> Counter:
+    """Lower-case runs of letters of a text, counted."""
+    found = Counter(WORD.findall((text or "").lower()))
+    for word in [w for w in found if not w.isalpha()]:
+        n = found.pop(word)
+        for letters, run in groupby(word, str.isalpha):
+            if letters:
+                found["".join(run)] += n
+    return found
+
+
 class TooManyLanguages(ValueError):
     """More languages than a model is made for."""
 
@@ -200,7 +210,7 @@ class LanguageModel:
         """(language, score) of each text."""
         if len(self.cache) > CACHE:
             self._forget()
-        counted = [Counter(WORD.findall((t or "").lower())) for t in texts]
+        counted = [words_of(t) for t in texts]
         new = {w for c in counted for w in c if w not in self.cache}
         if self.languages:
             self.learn(list(new))
@@ -246,7 +256,7 @@ def train(docs: DataFrame, vocabulary: str | None = None) -> LanguageModel:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+                counts.setdefault(lang, Counter()).update(words_of(text))
             rows = [(x, w, n) for x, c in counts.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
