@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,15 +41,33 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+def keep(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lost executors cost no recomputation of it,
-    and the plan that follows starts at a scan."""
+    and the plan that follows starts at a scan. Within ``scratch`` the table goes when that ends, unless ``outer``."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    scopes = _SCOPES[:-1] if outer else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end the tables kept in it are deleted; what is needed afterwards is kept as ``outer``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of ``TEXT_ROWS`` rows, so that Python objects exist for few texts at a time."""
     for start in range(0, max(batch.num_rows, 1), TEXT_ROWS):
