@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import induced_sort
 from corpuscle.llm.anchors import anchors
-from corpuscle.llm.tables import free_name, keep, load, map_slices, small_batches
+from corpuscle.llm.tables import free_name, keep, load, map_slices, scratch, small_batches
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """rule, doc_id, text_hash, start, end: symbols of ``docs`` that repeated windows cover; spans may overlap and recur."""
     length = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("rule") + 1)
     table = keep(anchor_table(docs, rules), "anchors")
-    again = table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = keep(table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")  # a table, so that a hot anchor's rows can be split in the join
     table = keep(table.join(again, "anchor", "left_semi"), "again")
     place = [F.first(c).alias(c) for c in ("rule", "doc_id", "text_hash", "lead", "first", "last")]  # of one row, whichever comes first: any will do
     classes = table.groupBy("anchor", "class").agg(F.count("*").alias("n"), *place)
@@ -260,7 +260,9 @@ def repeated_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...], name: str = "spans") -> DataFrame:
     """``docs`` with the column ``name``, an array of structs (rule, start, end), null where nothing repeats."""
-    spans = repeated_spans(docs, rules).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("rule", "start", "end")).alias("found")).withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"})
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(docs, rules).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("rule", "start", "end")).alias("found"))
+        spans = keep(spans.withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"}), "spans", outer=True)
     id_, hash_ = (free_name(docs.columns, c) for c in ("key_id", "key_hash"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     own = docs.withColumns({id_: docs["doc_id"].cast("long"), hash_: F.xxhash64(text)})
