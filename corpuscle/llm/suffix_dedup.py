@@ -64,7 +64,7 @@ class Rule:
 
 BYTES = Rule(False, 400, 64)
 PASSAGES = Rule(True, 51, 8)
-SHARD_SYMBOLS = 2 << 20
+SHARD_SYMBOLS = 1 << 20
 #: Classes of one anchor string beyond which it is dealt out by cores.
 MOST_KINDS = 2048
 
@@ -110,26 +110,30 @@ def anchor_table(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def repeated_windows(strings: list[np.ndarray], length: int = BYTES.length) -> list[np.ndarray]:
-    """For each string of symbols, which of its windows of ``length`` occur elsewhere in it or another one."""
+    """For each string of symbols, which of its windows of ``length`` occur elsewhere in it or another one.
+
+    Words are written as digits, a byte each, so that the sorter's alphabet stays small; each place of a digit has an alphabet of its own, so
+    that no suffix which begins within a word is like one that begins with a word.
+    """
     if not strings:
         return []
-    joined = np.concatenate(strings)
-    if joined.dtype == np.uint8:
-        joined = joined.astype(np.int32)
-    else:
-        joined = np.unique(joined, return_inverse=True)[1].astype(np.int32)
-    text = np.ones(len(joined) + len(strings) + 1, np.int32)  # 1 behind each string, 0 at the end
+    joined, digits = np.concatenate(strings), 1
+    if joined.dtype != np.uint8:
+        joined = np.unique(joined, return_inverse=True)[1].astype(np.int64)
+        digits = max((int(joined.max()).bit_length() + 7) // 8, 1)
+        joined = ((joined[:, None] >> (8 * np.arange(digits)[::-1])) & 255) + 256 * np.arange(digits)
+    sizes = np.array([len(s) for s in strings]) * digits
+    text = np.ones(sizes.sum() + len(strings) + 1, np.int32)  # 1 behind each string, 0 at the end
     text[-1] = 0
-    sizes = np.array([len(s) for s in strings])
-    text[:-1][np.arange(len(joined)) + np.repeat(np.arange(len(strings)), sizes)] = joined + 2
+    text[:-1][np.arange(sizes.sum()) + np.repeat(np.arange(len(strings)), sizes)] = joined.ravel().astype(np.int32) + 2
     starts = np.cumsum(sizes + 1) - sizes - 1
     repeated, before = np.zeros(len(text), bool), -1
-    for place, common in induced_sort.suffixes(text, length):
-        long = np.flatnonzero(common >= length)
+    for place, common in induced_sort.suffixes(text, length * digits):
+        long = np.flatnonzero(common >= length * digits)
         repeated[place[long]] = True
         repeated[np.where(long > 0, place[long - 1], before)] = True
         before = place[-1]
-    return [repeated[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [repeated[a : a + n : digits][: n // digits - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def runs(marks: np.ndarray) -> np.ndarray:
@@ -314,7 +318,7 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digests of what the rule ``BYTES`` removes, and in ``text`` what the rule ``PASSAGES`` leaves of the document."""
+    """The contract's digests of what the rule ``BYTES`` removes, and in ``text`` the whole characters that it leaves of the document."""
     docs = load(spark, sf_dir, "documents")
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -325,7 +329,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for doc_id, text, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     data = np.frombuffer(_bytes(text), np.uint8)
                     gone = covered(len(data), spans)
-                    rows.append((doc_id, len(data), int(gone.sum()), len(runs(gone)), hashlib.sha256(data[~gone].tobytes()).hexdigest(), cut_text(text, spans, PASSAGES, 1)))
+                    rows.append((doc_id, len(data), int(gone.sum()), len(runs(gone)), hashlib.sha256(data[~gone].tobytes()).hexdigest(), cut_text(text, spans, BYTES)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return with_spans(docs.select("doc_id", "text"), (BYTES, PASSAGES)).mapInArrow(run, DIGESTS)
+    return with_spans(docs.select("doc_id", "text"), (BYTES,)).mapInArrow(run, DIGESTS)
