@@ -284,13 +284,13 @@ def sch_knowledge(spark, sf_dir):
     return found.where("kind <> 'file'")
 
 
-_CHANGED = "case when doc_id % 10 = 3 then upper(left(text, 300)) || ' renewed' else text end"
+_CHANGED = "case when doc_id % 10 = 3 then left(text, 300) || ' renewed' else text end"
 
 
 @query(f"with d2 as materialized (select doc_id, lang, source, {_CHANGED} as text from documents), {CHUNKS_SQL.replace('from documents d ', 'from d2 d ')} select user_id, term, df, round(idf, 6) as idf from idf")
 def idx_replace(spark, sf_dir):
     """The weights after every tenth file was replaced."""
-    f = files(spark, sf_dir).where("file_id % 10 = 3").withColumn("extracted_text", F.concat(F.upper(F.left("extracted_text", F.lit(300))), F.lit(" renewed")))
+    f = files(spark, sf_dir).where("file_id % 10 = 3").withColumn("extracted_text", F.concat(F.left("extracted_text", F.lit(300)), F.lit(" renewed")))
     return replaced(index_of(spark, sf_dir), f).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
