@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, simhash, suffix_dedup, toxicity, warc
+from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
 
 QUERIES = [
     language_id.op1_language_id,
@@ -19,6 +19,8 @@ QUERIES = [
     bpe.op8_bpe,
     license_scan.op9_licenses,
     simhash.op10_simhash,
+    quality.op11_quality,
+    vector_codes.op12_vector_codes,
 ]
 
 
@@ -27,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL}
+    return {"op6_warc": warc.OP6_SQL, "op12_vector_codes": vector_codes.OP12_SQL}
