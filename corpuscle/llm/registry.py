@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import bpe, fingerprint, language_id, license_scan, media, mixing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
+from corpuscle.llm import alignment, bpe, fingerprint, language_id, license_scan, media, mixing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
 
 QUERIES = [
     language_id.op1_language_id,
@@ -21,6 +21,7 @@ QUERIES = [
     simhash.op10_simhash,
     quality.op11_quality,
     vector_codes.op12_vector_codes,
+    alignment.op13_alignment,
 ]
 
 
