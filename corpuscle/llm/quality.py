@@ -97,8 +97,8 @@ class ByteNetwork:
         """The largest response of each filter in each block."""
         tables, symbols = self.pair_tables(), texts.symbols
         n = int(texts.ends[-1]) * BLOCK
-        out = np.empty((n // BLOCK, FILTERS), np.float32)
-        found, more = (np.empty((PIECE, FILTERS), np.float32) for _ in range(2))
+        out = np.empty((n // BLOCK, FILTERS), tables[0].dtype)
+        found, more = (np.empty((PIECE, FILTERS), tables[0].dtype) for _ in range(2))
         for at in range(0, n, PIECE):
             m = min(PIECE, n - at)
             piece = symbols[at : at + m + WIDTH]

@@ -97,13 +97,13 @@ class Search:
 
 def nearest(codebooks: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each vector and part position the nearest entry's index and squared distance: rows x PARTS each. ``codebooks``: PARTS x entries x components."""
-    cut = vectors.reshape(len(vectors), PARTS, -1)
+    cut = vectors.reshape(len(vectors), PARTS, vectors.shape[1] // PARTS)
     found = [Search(codebooks[p], np.ascontiguousarray(cut[:, p])) for p in range(PARTS)]
     return np.stack([f.index for f in found], 1), np.stack([f.best for f in found], 1)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def whole_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -120,8 +120,8 @@ def whole_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 def first_codebooks(vectors: DataFrame, vec_id: str = "vec_id") -> np.ndarray:
     """The parts of the ENTRIES smallest ids: PARTS x entries x components."""
     seeds = vectors.groupBy(vec_id).agg(F.min("whole").alias("whole")).orderBy(F.col(vec_id).asc_nulls_last()).limit(ENTRIES).collect()
-    found = np.array([r["whole"] for r in seeds], np.int64)
-    return found.reshape(len(found), PARTS, -1).transpose(1, 0, 2)
+    size = len(seeds[0]["whole"]) // PARTS if seeds else 0
+    return np.array([r["whole"] for r in seeds], np.int64).reshape(len(seeds), PARTS, size).transpose(1, 0, 2)
 
 
 def _refined(vectors: DataFrame, codebooks: np.ndarray) -> np.ndarray:
