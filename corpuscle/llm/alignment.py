@@ -22,7 +22,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -32,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm.bpe import ALPHABET, vocabulary_path
+from corpuscle.llm.bpe import ALPHABET, FOREIGN, vocabulary_path
 from corpuscle.llm.tables import keep, load, scratch, small_batches
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Fragments that a Python worker keeps, and the longest of them in characters.
-CACHE, LONGEST = 300_000, 64
+#: Fragments that a Python worker keeps, the longest of them in characters, and how many are learned at a time.
+CACHE, LONGEST, LEARN = 300_000, 64, 4096
+#: Links that are kept, a fragment.
+LINKS = 16
 #: White space in the sense of A's pattern.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FRAGMENT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
@@ -45,51 +50,37 @@ ACROSS = re.compile(f"[^{BLANK}][{BLANK}]")
 #: Labels of a byte: no token ends there, one of A, one of B, one of each.
 NONE, A_END, B_END, BOTH = range(4)
 SPAN = re.compile(rb"[^%c]*%c" % (BOTH, BOTH))
-SPACE = "▁"
+SPACE = "\u2581"
 #: A link is A's id, then B's in so many bits.
 B_BITS = 32
+#: A's pattern where all letters are below U+0250.
+_SIGNS = {kind: re.escape("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)) for kind in "LN"}
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_SIGNS['L']}]+| ?[{_SIGNS['N']}]+| ?[^{BLANK}{_SIGNS['L']}{_SIGNS['N']}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
-class Fragment(NamedTuple):
-    """What a fragment gives: numbers of tokens, its groups as text, its links. None stands for one whose tokens don't spell it."""
+class Aligned(NamedTuple):
+    """A text's groups: numbers of tokens, the groups as texts of one or more, the links in their order."""
 
     n_a: int
     n_b: int
-    groups: str
-    links: tuple[int, ...]
-
-
-def scanned(raw: bytes, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Fragment | None:
-    """The groups of tokens ``a`` and ``b`` of ``raw``, read off its label string."""
-    a_raw, b_raw = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-    if not b"".join(a_raw) == raw == b"".join(b_raw):
-        return None
-    labels = bytearray(len(raw))
-    for side, tokens in ((A_END, a_raw), (B_END, b_raw)):
-        end = -1
-        for token in tokens:
-            end += len(token)
-            labels[end] |= side
-    groups, links, i, j = [], [], 0, 0
-    for span in SPAN.findall(labels):
-        to_i, to_j = i + span.count(A_END) + 1, j + span.count(B_END) + 1
-        groups.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-        links.append(a[to_i - 1] << B_BITS | b[to_j - 1])
-        i, j = to_i, to_j
-    return Fragment(len(a), len(b), ";".join(groups), tuple(links))
+    groups: list[str]
+    links: np.ndarray
 
 
 class Aligner:
-    """Both tokenizers and the fragments seen: one a Python worker."""
+    """Both tokenizers and the fragments seen: one a Python worker. A fragment's number leads to what it gives, which lies in flat arrays."""
 
     def __init__(self, a_path: str, b_path: str, cache: int = CACHE):
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.a, self.b, self.cache = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path), cache
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        with open(a_path, encoding="utf-8") as file:
+            spec = json.load(file)["model"]
+        self.a_words = models.BPE(vocab=spec["vocab"], merges=[tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["merges"]])
         byte = {chr(shown): raw for raw, shown in ALPHABET.items()}
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (1 + max(vocabulary.values()))
@@ -97,6 +88,8 @@ class Aligner:
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.lengths = [np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes)]
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.space = self.b.piece_to_id(SPACE)
         # White space that some piece has after another character: fragments may not begin there.
         plain = [p.replace(SPACE, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
@@ -104,13 +97,29 @@ class Aligner:
         # Nor is B asked about a fragment alone that begins with white space which joins the space that B puts before it.
         bound |= {x[1] for p in plain for x in re.findall(f" [{BLANK}]", p) if x[1] != " "}
         self.bound = re.compile(f"[{re.escape(''.join(sorted(bound)))}]") if bound else None
-        self.known: dict[str, Fragment | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No fragments: of the n-th one the numbers of tokens (-1: they don't spell it), its groups, and where its links end."""
+        self.known: dict[str, int] = {}
+        self.n_a, self.n_b, self.groups = array("q"), array("q"), []
+        self.links, self.ends = array("q"), array("q", [0])
 
     def fragments(self, text: str) -> list[str]:
         """The text with a space before it, cut where neither tokenizer has a token across."""
         text = " " + text
         return [text] if self.bound and self.bound.search(text) else FRAGMENT.findall(text)
 
+    def _a_ids(self, fragments: list[str]) -> list[list[int]]:
+        """Words of letters below U+0250 go to A's merges at once; the library cuts others."""
+        tokenize, out = self.a_words.tokenize, []
+        for f in fragments:
+            if FOREIGN.search(f):
+                out.append(self.a.encode(f, add_special_tokens=False).ids)
+            else:
+                out.append([t.id for w in WORD.findall(f) for t in tokenize(w.encode().decode("latin-1").translate(ALPHABET))])
+        return out
+
     def _b_ids(self, fragments: list[str]) -> list[list[int]]:
         """B puts a space before what it is given: that is the fragment's own first one, or it goes again."""
         found = self.b.encode([f[1:] if f[0] == " " else f for f in fragments], num_threads=1)
@@ -121,26 +130,79 @@ class Aligner:
                 found[k] = found[k][1:] if found[k][:1] == [self.space] else [self.b.unk_id()]
         return found
 
-    def learn(self, fragments: list[str]) -> list[Fragment | None]:
-        a_ids = [x.ids for x in self.a.encode_batch(fragments, add_special_tokens=False)]
-        rows = zip(fragments, a_ids, self._b_ids(fragments), strict=True)
-        return [scanned(f.encode("utf-8", "surrogatepass"), a, b, self.a_bytes, self.b_bytes) for f, a, b in rows]
-
-    def align(self, texts: list[str | None]) -> list[list[Fragment]]:
-        """The fragments of each text; none where it has no tokens."""
+    def learn(self, fragments: list[str]) -> None:
+        """Add ``fragments`` at the end of the arrays, in their order."""
+        if fragments:
+            raw = [f.encode("utf-8", "surrogatepass") for f in fragments]
+            self._scan(raw, self._a_ids(fragments), self._b_ids(fragments))
+
+    def _scan(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> None:
+        """One label string and one scan for many fragments: both tokenizers have an end at the end of each."""
+        a_all, b_all = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        joined, ends = b"".join(raw), np.cumsum([len(x) for x in raw])
+        last = [np.cumsum(table[ids]) for table, ids in zip(self.lengths, (a_all, b_all), strict=True)]
+        stops = [np.cumsum([len(x) for x in ids]) for ids in (a, b)]
+        spelt = b"".join(map(self.a_bytes.__getitem__, a_all)) == joined == b"".join(map(self.b_bytes.__getitem__, b_all))
+        if not (spelt and all((s[0] > 0) and (last_[s - 1] == ends).all() for s, last_ in zip(stops, last, strict=True))):
+            if len(raw) > 1:  # some fragment's tokens don't spell it: which one?
+                half = len(raw) // 2
+                self._scan(raw[:half], a[:half], b[:half])
+                self._scan(raw[half:], a[half:], b[half:])
+            else:
+                self.n_a.append(-1)
+                self.n_b.append(-1)
+                self.groups.append("")
+                self.ends.append(self.ends[-1])
+            return
+        labels = np.zeros(len(joined), np.uint8)
+        labels[last[0] - 1] = A_END
+        labels[last[1] - 1] += B_END
+        names, groups, i, j = self.names, [], 0, 0
+        for span in SPAN.findall(labels.tobytes()):
+            to_i, to_j = i + span.count(A_END) + 1, j + span.count(B_END) + 1
+            x = names[a_all[i]] if to_i == i + 1 else ",".join([names[k] for k in a_all[i:to_i]])
+            y = names[b_all[j]] if to_j == j + 1 else ",".join([names[k] for k in b_all[j:to_j]])
+            groups.append(f"{x}|{y}")
+            i, j = to_i, to_j
+        both = np.flatnonzero(labels == BOTH) + 1
+        at = [np.searchsorted(ends_, both) for ends_ in last]
+        made = (np.array(a_all)[at[0]] << B_BITS) | np.array(b_all)[at[1]]
+        cuts = np.searchsorted(both, ends, side="right")
+        self.links.frombytes(made.astype(np.int64).tobytes())
+        self.ends.frombytes((self.ends[-1] + cuts).astype(np.int64).tobytes())
+        self.n_a.extend([len(x) for x in a])
+        self.n_b.extend([len(x) for x in b])
+        start = 0
+        for cut in cuts.tolist():
+            self.groups.append(groups[start] if cut == start + 1 else ";".join(groups[start:cut]))
+            start = cut
+
+    def align(self, texts: list[str | None]) -> list[Aligned]:
+        """What each text gives; nothing where it has no tokens."""
         cut = [self.fragments(t) if t else [] for t in texts]
-        if len(self.known) > self.cache:
-            self.known = {}
+        if len(self.known) > self.cache or len(self.links) > LINKS * self.cache:  # long fragments leave links alone
+            self._forget()
         known = self.known
-        new = set().union(*cut) - known.keys()
-        short = sorted(f for f in new if len(f) <= LONGEST)
-        for at in range(0, len(short), 4096):
-            some = short[at : at + 4096]
-            known.update(zip(some, self.learn(some), strict=True))
+        new = sorted(set().union(*cut) - known.keys())
+        for at in range(0, len(new), LEARN):
+            some = new[at : at + LEARN]
+            known.update(zip(some, range(len(self.n_a), len(self.n_a) + len(some)), strict=True))
+            self.learn(some)
+        n_a, n_b, links, ends = (np.frombuffer(x, np.int64) for x in (self.n_a, self.n_b, self.links, self.ends))
         out = []
         for fs in cut:
-            made = [known[f] if f in known else self.learn([f])[0] for f in fs]
-            out.append([] if None in made else made)
+            numbers = list(map(known.__getitem__, fs))
+            at = np.array(numbers, np.int64)
+            if not numbers or n_a[at].min() < 0:
+                out.append(Aligned(0, 0, [], np.empty(0, np.int64)))
+                continue
+            counts = ends[at + 1] - ends[at]
+            starts = np.cumsum(counts) - counts
+            places = np.repeat(ends[at] - starts, counts) + np.arange(counts.sum())
+            out.append(Aligned(int(n_a[at].sum()), int(n_b[at].sum()), list(map(self.groups.__getitem__, numbers)), links[places]))
+        del n_a, n_b, links, ends  # arrays that are looked at can't grow
+        for f in [f for f in new if len(f) > LONGEST]:
+            self.groups[known.pop(f)] = ""
         return out
 
 
@@ -159,7 +221,7 @@ def alignments(docs: DataFrame, a_path: str | None = None, b_path: str | None =
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
         for part in chain.from_iterable(map(small_batches, batches)):
             made = aligner(a_path, b_path).align(part.column(1).to_pylist())
-            groups = [[dict(zip("ab", map(ids, g.split("|")), strict=True)) for f in fs for g in f.groups.split(";")] for fs in made]
+            groups = [[dict(zip("ab", map(ids, g.split("|")), strict=True)) for f in t.groups for g in f.split(";")] for t in made]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(groups, kind)], names=["doc_id", "groups"])
 
     return _texts(docs).mapInArrow(run, schema)
@@ -179,11 +241,10 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Rows of ROW. A block's number is its partition's and its place there."""
     def rows(block: int, ids: list, texts: list) -> pa.RecordBatch:
         out = []
-        for doc_id, fragments in zip(ids, aligner(a_path, b_path).align(texts), strict=True):
-            n_a, n_b, groups, links = zip(*fragments, strict=True) if fragments else ((),) * 4
-            links, times = np.unique(np.fromiter(chain.from_iterable(links), np.int64), return_counts=True)
-            digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
-            out.append((False, block, doc_id, sum(n_a), sum(n_b), int(times.sum()), digest, links, times))
+        for doc_id, found in zip(ids, aligner(a_path, b_path).align(texts), strict=True):
+            links, times = np.unique(found.links, return_counts=True)
+            digest = hashlib.sha256(";".join(found.groups).encode()).hexdigest() if found.groups else ""
+            out.append((False, block, doc_id, found.n_a, found.n_b, len(found.links), digest, links, times))
         links, which = np.unique(np.concatenate([r[7] for r in out]), return_inverse=True)
         times = np.zeros(len(links), np.int64)
         np.add.at(times, which, np.concatenate([r[8] for r in out]))

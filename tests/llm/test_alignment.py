@@ -41,7 +41,7 @@ def written(groups):
 def test_any_characters(aligner):
     rng = random.Random(3)
     texts = ["".join(rng.choices(CHARACTERS, k=rng.randint(1, 25))) for _ in range(4000)]
-    found = [";".join(f.groups for f in fs) if fs else None for fs in aligner.align(texts)]
+    found = [";".join(t.groups) or None for t in aligner.align(texts)]
     want = [None if (g := plainly(aligner, t)) is None else written(g) for t in texts]
     assert found == want
     assert sum(w is None for w in want) > 100
@@ -50,7 +50,7 @@ def test_any_characters(aligner):
 def test_every_character_at_a_fragment_s_edge(aligner):
     signs = [chr(c) for c in range(0x2070)] + ["　", "﻿"]
     texts = [t for c in signs for t in (f"a{c} b", f"a {c}  b{c}", f"{c}\n{c} {c}")]
-    found = [";".join(f.groups for f in fs) if fs else None for fs in aligner.align(texts)]
+    found = [";".join(t.groups) or None for t in aligner.align(texts)]
     assert found == [None if (g := plainly(aligner, t)) is None else written(g) for t in texts]
 
 
@@ -58,7 +58,8 @@ def test_a_small_cache_changes_nothing(aligner, odd_rows):
     small = alignment.Aligner(alignment.vocabulary_path(alignment.A_FILE), alignment.vocabulary_path(alignment.B_FILE), cache=3)
     texts = [r[1] for r in odd_rows]
     for t in texts:
-        assert small.align([t]) == aligner.align([t])
+        (x,), (y,) = small.align([t]), aligner.align([t])
+        assert x[:3] == y[:3] and x.links.tolist() == y.links.tolist()
 
 
 def expected(aligner, rows):
