@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscle.functions import scoring
-from corpuscle.sources.tables import table
+from corpuscle.operators import density, neighbours
+from corpuscle.sources import store
+from corpuscle.sources.tables import as_of, files, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,61 +91,60 @@ def dimensions(n: int) -> int | None:
     return None if n < 5 else min(30, max(2, n - 2))
 
 
-def density_clusters(points: np.ndarray, least: int = 2) -> np.ndarray:
-    """Labels of ``points`` by density; -1 is noise. Mutual-reachability spanning tree, cut where an edge is longer than twice the median edge.
+def hybrid_clusters(vectors: DataFrame, files_: DataFrame, now, k: int | None = None) -> DataFrame:
+    """vec_id, tenant, cluster_id, relevance, importance, importance_label, is_primary of ``vectors`` (tenant, vec_id, embedding).
 
-    A published idea in its simplest form: core distances, a minimum spanning tree over mutual reachability, components of the short edges.
-    For one tenant's vectors; blocks of rows keep memory at a few rows of distances.
+    Density clusters over the graph of each tenant's nearest neighbours; relevance is the centrality in the cluster. Noise is a cluster of its
+    own: relevance 1, centrality 0.5. The most central file is its cluster's primary one; ties go to the smaller id. ``files_``: file_id,
+    extracted_text, uploaded_at, source_of_truth. Vectors without a direction are in no cluster and left out.
     """
-    n = len(points)
-    if n < max(least, 3):
-        return np.full(n, -1)
-    square = (points**2).sum(1)
-    row = lambda i: np.sqrt(np.maximum(square + square[i] - 2 * points @ points[i], 0))
-    core = np.array([np.partition(row(i), min(least, n - 1))[min(least, n - 1)] for i in range(n)])
-    best, parent, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    at, tree = 0, []
-    for _ in range(n - 1):
-        done[at] = True
-        reach = np.maximum(np.maximum(row(at), core[at]), core)
-        closer = ~done & (reach < best)
-        best[closer], parent[closer] = reach[closer], at
-        at = int(np.argmin(np.where(done, np.inf, best)))
-        tree.append((best[at], at, parent[at]))
-    cut = 2 * np.median([t[0] for t in tree])
-    label = np.arange(n)
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    for length, a, b in tree:
-        if length <= cut:
-            label[root(a)] = root(b)
-    roots = np.array([root(i) for i in range(n)])
-    names, sizes = np.unique(roots, return_counts=True)
-    number = {r: i for i, r in enumerate(names[sizes >= least])}
-    return np.array([number.get(r, -1) for r in roots])
+    asked = vectors.select(F.col("tenant").cast("string").alias("tenant"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    graph = neighbours.neighbours(asked, k or neighbours.K)
+    found = vectors.join(density.density_clusters(graph).withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    usable = neighbours.unit_vectors(asked).select(F.col("id").alias("vec_id"))
+    found = found.join(usable, "vec_id", "left_semi")
+    grouped = store.write_table(found, store.new_path(vectors.sparkSession, "clustered"))
+    central = centrality(grouped.where("cluster_id is not null").select("vec_id", F.col("cluster_id").alias("label"), "embedding")).select("vec_id", "centrality")
+    placed = grouped.join(central, "vec_id", "left").join(files_.select(F.col("file_id").alias("vec_id"), F.length("extracted_text").alias("length"), "uploaded_at", "source_of_truth"), "vec_id", "left")
+    score = scoring.importance(F.col("length"), F.coalesce("centrality", F.lit(0.5)), F.col("uploaded_at"), now, F.coalesce("source_of_truth", F.lit(False)), F.lit(0))
+    noise = F.col("cluster_id").isNull()
+    first = F.min(F.struct((-F.col("centrality")).alias("far"), "vec_id"))
+    primary = central.join(grouped.select("vec_id", "cluster_id"), "vec_id").groupBy("cluster_id").agg(first.alias("x")).select("cluster_id", F.col("x.vec_id").alias("primary_id"))
+    return placed.join(primary, "cluster_id", "left").select(
+        "vec_id",
+        "tenant",
+        F.when(noise, F.concat(F.lit("c_noise_"), F.col("vec_id").cast("string"))).otherwise(F.concat(F.lit("c_"), F.col("cluster_id").cast("string"))).alias("cluster_id"),
+        F.coalesce("centrality", F.lit(1.0)).alias("relevance"),
+        score.alias("importance"),
+        scoring.importance_label(score).alias("importance_label"),
+        F.coalesce(F.col("vec_id") == F.col("primary_id"), noise).alias("is_primary"),
+    )
+
+
+def _tenants(spark: SparkSession, sf_dir: str, tenants: int = 4) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % tenants).alias("tenant"), "embedding")
 
 
 @query()
 def clu_density(spark, sf_dir, tenants: int = 4):
-    """Density clusters of each tenant's vectors; noise files become clusters of their own.
+    """The density clusters of each tenant's vectors, with relevance and importance of their files; noise files are clusters of their own.
 
-    A tenant's vectors are one group, bounded by the plan's file limit; SQL can't express it, tests hold it against planted groups.
+    SQL can't express it: tests hold clusters against merge trees, and neighbours against all pairs.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    return hybrid_clusters(_tenants(spark, sf_dir, tenants), files(spark, sf_dir), as_of())
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % tenants).alias("tenant"), array_to_vector("embedding").alias("v"))
-    reduced = PCA(k=dimensions(1000), inputCol="v", outputCol="r").fit(e).transform(e).select("vec_id", "tenant", vector_to_array("r").alias("r"))
 
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        found = density_clusters(np.stack(group["r"].to_numpy()))
-        group["cluster_id"] = [f"c_noise_{i}" if c < 0 else f"c_{c}" for i, c in zip(group["vec_id"], found, strict=True)]
-        return group[["vec_id", "tenant", "cluster_id"]]
+_PAIRS_SQL = """u as (select vec_id as id, vec_id % 4 as tenant, embedding::double[] as v from embeddings), p as (select a.tenant::varchar as tenant, a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as c from u a join u b on a.tenant = b.tenant and a.id <> b.id)"""
 
-    return reduced.groupBy("tenant").applyInPandas(label, "vec_id long, tenant long, cluster_id string")
+
+@query(f"""with {_PAIRS_SQL}, d as (select tenant, a, b, round(round(sqrt(greatest(2 - 2 * c, 0)), 6), 4) as distance, row_number() over (partition by a order by round(sqrt(greatest(2 - 2 * c, 0)), 6), b) as rank from p) select tenant, a, b, distance, rank from d where rank <= 15""")
+def vec_exact_graph(spark, sf_dir):
+    """The fifteen nearest neighbours of each vector in its tenant, from all pairs in blocks."""
+    graph = neighbours.exact_neighbours(_tenants(spark, sf_dir).select("tenant", F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return graph.withColumns({"distance": F.round("distance", 4), "rank": F.col("rank").cast("long")})
+
+
+@query()
+def vec_fuzzy_graph(spark, sf_dir):
+    """Fuzzy weights of the approximate neighbour graph's edges; tests hold lists against all pairs and weights against plain bisection."""
+    return neighbours.fuzzy_edges(neighbours.neighbours(_tenants(spark, sf_dir).select("tenant", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import scoring, text
 from corpuscle.operators.graph import neighbourhood, sweep
 from corpuscle.operators.service import budget_fold
-from corpuscle.operators.vectors import density_clusters, dimensions
+from corpuscle.operators.vectors import dimensions
 
 
 def value(spark, column):
@@ -91,15 +91,6 @@ def test_dimensions():
     assert [dimensions(n) for n in (3, 4, 5, 10, 31, 50)] == [None, None, 3, 8, 29, 30]
 
 
-def test_density_finds_planted_groups():
-    rng = np.random.default_rng(0)
-    points = np.concatenate([rng.normal(c, 0.05, (20, 3)) for c in (0, 5, 10)] + [[[50.0, 0, 0]]])
-    found = density_clusters(points)
-    assert found[-1] == -1
-    assert [len(set(found[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1]
-    assert len(set(found[:60])) == 3
-
-
 def test_neighbourhood_leaves_outermost_edges(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0)], "source string, target string, weight double")
     nodes, touched = neighbourhood(e, spark.createDataFrame([("a",)], "node string"), 2)
