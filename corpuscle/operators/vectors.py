@@ -137,11 +137,11 @@ def clu_density(spark, sf_dir, tenants: int = 4):
 _PAIRS_SQL = """u as (select vec_id as id, vec_id % 4 as tenant, embedding::double[] as v from embeddings), p as (select a.tenant::varchar as tenant, a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as c from u a join u b on a.tenant = b.tenant and a.id <> b.id)"""
 
 
-@query(f"""with {_PAIRS_SQL}, d as (select tenant, a, b, round(round(sqrt(greatest(2 - 2 * c, 0)), 6), 4) as distance, row_number() over (partition by a order by round(sqrt(greatest(2 - 2 * c, 0)), 6), b) as rank from p) select tenant, a, b, distance, rank from d where rank <= 15""")
+@query(f"""with {_PAIRS_SQL}, d as (select tenant, a, b, round(sqrt(greatest(2 - 2 * c, 0)), 6) as distance, row_number() over (partition by a order by round(sqrt(greatest(2 - 2 * c, 0)), 6), b) as rank from p) select tenant, a, b, distance, rank from d where rank <= 15""")
 def vec_exact_graph(spark, sf_dir):
     """The fifteen nearest neighbours of each vector in its tenant, from all pairs in blocks."""
     graph = neighbours.exact_neighbours(_tenants(spark, sf_dir).select("tenant", F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
-    return graph.withColumns({"distance": F.round("distance", 4), "rank": F.col("rank").cast("long")})
+    return graph.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
