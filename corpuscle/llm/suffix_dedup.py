@@ -12,7 +12,8 @@ Sorting all suffixes of a corpus is more than is needed, as a window of ``length
    met once whose anchor string no other class has doesn't repeat at all. Left are single classes that share an anchor string with others.
 3. The spans of those, and of the classes they may repeat, go to shards by anchor string, once a class. Equal windows stand at equal offsets
    from their anchor, so windows whose offset lies in one step of ``length // 8`` share a *core* of at least 7/8 of a window: what has a core
-   of its own doesn't repeat. An anchor string of over MOST_KINDS classes (a line in a third of all documents) is dealt out by cores.
+   of its own doesn't repeat. An anchor string of over MOST_KINDS classes (a line in a third of all documents) is dealt out by cores; the
+   windows of a core that over MOST_KINDS classes have (a passage in as many) are counted by their hashes, one by one, and not sorted.
 4. A shard is one text whose suffixes are put in order by external induced sorting (``induced_sort``): tuples of place and common prefix wait
    in queues that go to disk, and neighbours with ``length`` symbols in common are the windows that repeat.
 5. Windows found, and those of classes met twice, become spans of their documents; what they cover is cut.
@@ -65,7 +66,7 @@ class Rule:
 BYTES = Rule(False, 400, 64)
 PASSAGES = Rule(True, 51, 8)
 SHARD_SYMBOLS = 1 << 20
-#: Classes of one anchor string beyond which it is dealt out by cores.
+#: Classes of one anchor string beyond which it is dealt out by cores, and of one core beyond which its windows are counted.
 MOST_KINDS = 2048
 
 ANCHORS = "rule int, doc_id long, text_hash long, lead int, first int, last int, anchor long, span long"
@@ -151,32 +152,76 @@ def cores(rule: Rule, lead: int, raw: bytes) -> Iterator[tuple[int, int, int]]:
         yield core, max(at - step + 1, 0), min(at, windows - 1)
 
 
-def _spans_of(rules: tuple[Rule, ...]):
-    """Symbols of the wanted spans of each text; those of hot anchors step by step, each with its core."""
+PARTS = "rule int, anchor long, part long, class long, from int, to int"
+SPANS = "rule int, anchor long, part long, class long, at int, lead int, symbols binary"
+WINDOWS = "anchor long, place int, one long, other long, class long, from int"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _of_texts(rules: tuple[Rule, ...], schema: str, made):
+    """Rows of ``schema`` that ``made(rule, wanted, symbols)`` gives for each wanted struct of each text."""
+    fields = [x.split() for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches(batch):
-                made: list[tuple] = []
+                rows: list[tuple] = []
                 for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     data = _bytes(text)
                     symbols = {n: rules[n].symbols(data) for n in {w["rule"] for w in wanted}}
                     for w in wanted:
-                        rule = rules[w["rule"]]
-                        raw = symbols[w["rule"]][w["first"] : w["last"] + rule.length].tobytes()
-                        if not w["hot"]:
-                            made.append((w["rule"], w["anchor"], 0, w["class"], 0, w["lead"], raw))
-                            continue
-                        size = np.dtype(rule.dtype).itemsize
-                        for core, a, b in cores(rule, w["lead"], raw):
-                            made.append((w["rule"], w["anchor"], core >> 1, w["class"], a, w["lead"] - a, raw[a * size : (b + rule.length) * size]))
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names=[x.split()[0] for x in SPANS.split(", ")])
+                        rows += made(rules[w["rule"]], w, symbols[w["rule"]])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
     return run
 
 
-SPANS = "rule int, anchor long, part long, class long, at int, lead int, symbols binary"
+def _parts(rule: Rule, w: dict, symbols: np.ndarray) -> list[tuple]:
+    """The cores of a span and the windows that share each."""
+    raw = symbols[w["first"] : w["last"] + rule.length].tobytes()
+    return [(w["rule"], w["anchor"], core >> 1, w["class"], a, b) for core, a, b in cores(rule, w["lead"], raw)]
+
+
+def _spans(rule: Rule, w: dict, symbols: np.ndarray) -> list[tuple]:
+    """The symbols of the windows from ``from`` to ``to`` of a span."""
+    raw = symbols[w["first"] + w["from"] : w["first"] + w["to"] + rule.length].tobytes()
+    return [(w["rule"], w["anchor"], w["part"], w["class"], w["from"], w["lead"] - w["from"], raw)]
+
+
+def _windows(rule: Rule, w: dict, symbols: np.ndarray) -> list[tuple]:
+    """Two hashes of each window from ``from`` to ``to`` of a span, and its place, counted from the anchor."""
+    size, out = np.dtype(rule.dtype).itemsize, []
+    raw = symbols[w["first"] : w["last"] + rule.length].tobytes()
+    for i in range(w["from"], w["to"] + 1):
+        window = raw[i * size : (i + rule.length) * size]
+        out.append((w["anchor"], w["lead"] - i, *np.array([xxhash.xxh64_intdigest(window), xxhash.xxh3_64_intdigest(window)], np.uint64).view(np.int64).tolist(), w["class"], i))
+    return out
+
+
+def _asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key_text, wanted: each text with its rows of ``wanted`` (doc_id, text_hash and others) as structs."""
+    others = [c for c in wanted.columns if c not in ("doc_id", "text_hash")]
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*others)).alias("wanted"))
+    texts = keyed(docs)
+    return texts.join(lists, texts["key_id"].eqNullSafe(lists["doc_id"]) & (texts["key_hash"] == lists["text_hash"])).select("key_text", "wanted")
+
+
+def hot_parts(docs: DataFrame, known: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The spans of hot anchors in parts, windows of one step and core, of which a core that only one class has is left out; with ``many``,
+    whether over MOST_KINDS classes have it."""
+    parts = keep(_asked(docs, known.where("contested and hot").drop("n", "contested", "hot")).mapInArrow(_of_texts(rules, PARTS, _parts), PARTS).distinct(), "parts")
+    shared = keep(parts.groupBy("anchor", "part").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", "part", (F.col("kinds") > MOST_KINDS).alias("many")), "shared")
+    place = known.select("anchor", "class", "doc_id", "text_hash", "lead", "first", "last")
+    return keep(parts.join(shared, ["anchor", "part"]).join(place, ["anchor", "class"]), "hot")
+
+
+def counted_windows(docs: DataFrame, parts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """anchor, class, from, to: windows of ``parts`` that another class has at the same place from the anchor. Equal windows are counted by
+    their hashes, partly before the shuffle: a passage that a third of all texts have is one count a task."""
+    rows = keep(_asked(docs, parts).mapInArrow(_of_texts(rules, WINDOWS, _windows), WINDOWS).distinct(), "windows")
+    key = ["anchor", "place", "one", "other"]
+    again = keep(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "counted")
+    return rows.join(again, key, "left_semi").select("anchor", "class", "from", (F.col("from") + 1).alias("to"))
 
 
 def contested_parts(rule: Rule, group: list[tuple]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -250,11 +295,15 @@ def repeated_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     known = classes.join(groups, "anchor").where((F.col("n") > 1) | contested)
     known = keep(known.select("rule", "anchor", "class", "n", "doc_id", "text_hash", "lead", "first", "last", contested.alias("contested"), (F.col("kinds") > MOST_KINDS).alias("hot")), "classes")
 
-    wanted = known.where("contested").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("rule", "anchor", "class", "lead", "first", "last", "hot")).alias("wanted"))
-    texts = keyed(docs)
-    held = texts.join(wanted, texts["key_id"].eqNullSafe(wanted["doc_id"]) & (texts["key_hash"] == wanted["text_hash"])).select("key_text", "wanted")
-    strings = held.mapInArrow(_spans_of(rules), SPANS).repartition("anchor", "part").sortWithinPartitions("rule", "anchor", "part", "class", "at")
+    whole = known.where("contested and not hot").select("rule", "anchor", F.lit(0).cast("long").alias("part"), "class", F.lit(0).alias("from"), (F.col("last") - F.col("first")).alias("to"), "doc_id", "text_hash", "lead", "first", "last")
+    spans, counted = whole, None
+    if not known.where("contested and hot").isEmpty():
+        parts = hot_parts(docs, known, rules)
+        spans = whole.unionByName(parts.where("not many").drop("many"))
+        counted = counted_windows(docs, parts.where("many").drop("many", "part"), rules)
+    strings = _asked(docs, spans).mapInArrow(_of_texts(rules, SPANS, _spans), SPANS).repartition("anchor", "part").sortWithinPartitions("rule", "anchor", "part", "class", "at")
     windows = strings.mapInArrow(_sorted_shards(rules), "anchor long, class long, from int, to int")
+    windows = windows if counted is None else windows.unionByName(counted).distinct()
 
     end = lambda c: (F.col(c) + length).alias("end")
     single = known.where("n = 1").join(windows, ["anchor", "class"]).withColumns({"start": F.col("first") + F.col("from"), "stop": F.col("first") + F.col("to") - 1}).select("rule", "doc_id", "text_hash", "start", end("stop"))

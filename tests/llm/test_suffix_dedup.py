@@ -116,3 +116,31 @@ def test_shards_close_between_anchors(monkeypatch):
             found.setdefault((anchor, class_), set()).update(range(start, end))
     assert found.keys() == {(1, 10), (1, 11), (2, 12), (2, 13)}
     assert found[1, 10] >= set(range(51)) and found[2, 12] == found[2, 13] - {101} == set(range(101))
+
+
+@pytest.mark.parametrize(("rule", "passage"), [(BYTES, prose(71, 90)[:395]), (BYTES, prose(72, 100)[:450]), (BYTES, prose(73, 150)[:600]), (PASSAGES, prose(74, 55))])
+def test_one_passage_in_a_third_of_the_rows(spark, monkeypatch, rule, passage):
+    """In other surroundings each, so that spans differ: no group that is sorted holds more than MOST_KINDS of them."""
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", 6)
+    texts = [f"{prose(i, 70)} {passage} {prose(500 + i, 70)}" for i in range(40)] + [prose(2000 + i, 90) for i in range(80)]
+    texts[30] = f"{prose(4000, 8)} {' '.join(texts[3].split()[40:])} {prose(4001, 8)}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sorted_shards = suffix_dedup._sorted_shards
+
+    def shards(rules):
+        run = sorted_shards(rules)
+
+        def counted(batches):
+            rows = list(batches)
+            groups = Counter((r["anchor"], r["part"]) for b in rows for r in b.select(["anchor", "part"]).to_pylist())
+            assert max(groups.values(), default=0) <= 6, groups.most_common(3)
+            yield from run(iter(rows))
+
+        return counted
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", shards)
+    gone = kept([split(t, rule) for t in texts], rule.length)
+    rows = suffix_dedup.with_spans(docs, (rule,)).collect()
+    assert sorted(marks(r["doc_id"], suffix_dedup.covered(len(split(r["text"], rule)), r["spans"])) for r in rows) == sorted(marks(i, g) for i, g in enumerate(gone))
+    n = sum(g.any() for g in gone)
+    assert n >= 40 if rule.words or len(passage) > 400 else 2 <= n < 20  # a letter of the surroundings may be alike by chance
