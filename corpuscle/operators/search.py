@@ -1,14 +1,17 @@
 """The search index, kept as tables, and the searches over it; exact and semantic duplicates.
 
-An index is four tables: chunks (tenant, file, chunk, tokens), postings (a row a term and chunk, with its frequency and weight), IDF (a row a
-tenant and term) and norms (a row a chunk). It is built once for an unchanged input and stored in the shared folder; a search reads the few
+An index is five tables: chunks (tenant, file, chunk, tokens), postings (a row a term and chunk, with its frequency and weight), IDF (a row a
+tenant and term), norms (a row a chunk) and blocks (the weights of some chunks of a tenant together, which searches for many queries read). It is built once for an unchanged input and stored in the shared folder; a search reads the few
 postings of its terms. Files are replaced and removed by taking their rows out and putting new ones in; then weights are made anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +33,7 @@ class Index(NamedTuple):
     postings: DataFrame
     idf: DataFrame
     norms: DataFrame
+    blocks: DataFrame
 
 
 PLACE = ["user_id", "file_id", "chunk_index"]
@@ -48,7 +52,8 @@ def weighed(chunks: DataFrame) -> Index:
     idf = counted.groupBy("user_id", "term").agg(F.count("*").alias("df")).join(total, "user_id").select("user_id", "term", "df", F.log(F.col("total") / (1 + F.col("df"))).alias("idf"))
     postings = counted.join(idf.select("user_id", "term", "idf"), ["user_id", "term"]).select(*PLACE, "term", "tf", (F.col("tf") * F.col("idf")).alias("d"))
     norms = postings.groupBy(*PLACE).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
-    return Index(chunks, postings, idf, chunks.select(*PLACE).join(norms, PLACE, "left"))
+    norms = chunks.select(*PLACE).join(norms, PLACE, "left")
+    return Index(chunks, postings, idf, norms, chunk_blocks(postings, norms))
 
 
 def build_index(docs: DataFrame) -> Index:
@@ -64,7 +69,8 @@ def stored(index: Index) -> Index:
     idf = store.write_table(made.idf, f"{path}/idf")
     postings = store.write_table(made.postings.repartition("term").sortWithinPartitions("term", "user_id"), f"{path}/postings")
     norms = postings.groupBy(*PLACE).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
-    return Index(chunks, postings, idf, store.write_table(chunks.select(*PLACE).join(norms, PLACE, "left"), f"{path}/norms"))
+    norms = store.write_table(chunks.select(*PLACE).join(norms, PLACE, "left"), f"{path}/norms")
+    return Index(chunks, postings, idf, norms, store.write_table(chunk_blocks(postings, norms), f"{path}/blocks"))
 
 
 def replaced(index: Index, docs: DataFrame) -> Index:
@@ -117,14 +123,106 @@ def asked_terms(asked: DataFrame, idf: DataFrame) -> DataFrame:
     return counted.join(idf, ["user_id", "term"]).select("query_id", "user_id", "term", (F.col("tf") * F.col("idf")).alias("q"))
 
 
+#: Chunks of a block, blocks that one task looks through, queries that do so together.
+CHUNK_BLOCK, LANE, ASKED_BLOCK = 256, 64, 64
+#: Room for the order of sums.
+SLACK = 1e-9
+
+
+def _blocked(df: DataFrame, sizes: DataFrame, size: int, *key: str) -> DataFrame:
+    """``df`` with its block: about ``size`` rows of a tenant, by hash; ``sizes``: user_id, n."""
+    count = F.greatest(F.ceil(F.col("n") / size), F.lit(1))
+    return df.join(sizes, "user_id").withColumn("block", F.pmod(F.xxhash64(*key), count).cast("int")).drop("n")
+
+
+def chunk_blocks(postings: DataFrame, norms: DataFrame) -> DataFrame:
+    """user_id, block, places and lists (term hash, place, weight in the chunk's unit vector): a tenant's chunks in blocks."""
+    sizes = norms.where("norm > 0").groupBy("user_id").agg(F.count("*").alias("n"))
+    placed = _blocked(norms.where("norm > 0"), sizes, CHUNK_BLOCK, "file_id", "chunk_index")
+    entries = postings.where("d <> 0").join(placed, PLACE).select("user_id", "block", F.struct("file_id", "chunk_index", F.xxhash64("term").alias("term"), (F.col("d") / F.col("norm")).alias("w")).alias("x"))
+    return entries.groupBy("user_id", "block").agg(F.sort_array(F.collect_list("x")).alias("x")).select("user_id", "block", *(F.col(f"x.{c}").alias(c) for c in ("file_id", "chunk_index", "term", "w")))
+
+
+class AskedBlock:
+    """Queries of one tenant as lists by term, and the best chunks that each has met."""
+
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int):
+        order = np.argsort(terms, kind="stable")
+        self.names, which = np.unique(ids, return_inverse=True)
+        self.terms, self.which, self.weights, self.n = terms[order], which[order], weights[order], n
+        self.best: list[list[tuple]] = [[] for _ in self.names]
+        self.least = np.zeros(len(self.names))
+        self.added = 0
+
+    def meet(self, files: np.ndarray, places: np.ndarray, terms: np.ndarray, w: np.ndarray) -> None:
+        """Score a block of chunks. Queries that its largest weights can't bring to their n-th best score pass it over."""
+        key, chunk = np.unique(np.stack([files, places]), axis=1, return_inverse=True)
+        chunk = chunk.ravel()
+        order = np.argsort(terms, kind="stable")
+        terms, chunk, w = terms[order], chunk[order], w[order]
+        own, first = np.unique(terms, return_index=True)
+        top = np.maximum.reduceat(np.abs(w), first)
+        at = np.searchsorted(own, self.terms)
+        held = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == self.terms)
+        bound = np.bincount(self.which[held], np.abs(self.weights[held]) * top[at[held]], len(self.names))
+        asking = (bound > 0) & (bound >= self.least - SLACK)
+        use = np.flatnonzero(held & asking[self.which])
+        # Each entry of a query meets the chunks that hold its term.
+        counts = np.append(first[1:], len(terms))[at[use]] - first[at[use]]
+        entry = np.repeat(use, counts)
+        place = np.repeat(first[at[use]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        self.added += len(entry)
+        width = key.shape[1]
+        score = np.round(np.bincount(self.which[entry] * width + chunk[place], self.weights[entry] * w[place], len(self.names) * width), 6).reshape(-1, width)
+        for q in np.flatnonzero(asking):
+            good = np.flatnonzero((score[q] > 0) & (score[q] >= self.least[q]))
+            rows = self.best[q] + list(zip((-score[q, good]).tolist(), key[0, good].tolist(), key[1, good].tolist(), strict=True))
+            self.best[q] = sorted(rows)[: self.n]
+            if len(self.best[q]) == self.n:
+                self.least[q] = -self.best[q][-1][0]
+
+    def found(self) -> Iterator[tuple]:
+        return ((name, file, place, -score) for name, best in zip(self.names.tolist(), self.best, strict=True) for score, file, place in best)
+
+
 def batch_search(index: Index, asked: DataFrame, n: int) -> DataFrame:
-    """query_id, rank, file_id, chunk_index, relevance: the best ``n`` chunks of each of many queries by TF-IDF cosine, of those that share something."""
+    """query_id, rank, file_id, chunk_index, relevance: the best ``n`` chunks of each of many queries by TF-IDF cosine, of those that share something.
+
+    Chunks lie in blocks of about CHUNK_BLOCK of a tenant, as lists by term; so do queries, ASKED_BLOCK at a time. A task streams LANE blocks of
+    chunks past a block of queries and adds weights up in arrays: what is shuffled are blocks and each lane's best rows, not a row for every
+    pair that shares a term. A block whose largest weights can't bring a query to its n-th best score so far is passed over: it can't change
+    the result. Terms go by 64-bit hashes. ``query_id`` and ``file_id`` are longs.
+    """
     terms = asked_terms(asked, index.idf)
     norms = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm")).where("q_norm > 0")
-    dots = index.postings.join(terms, ["user_id", "term"]).groupBy("query_id", *PLACE).agg(F.sum(F.col("d") * F.col("q")).alias("dot")).where("dot > 0")
-    near = dots.join(norms, "query_id").join(index.norms.where("norm > 0"), PLACE).withColumn("relevance", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6))
+    sizes = terms.groupBy("user_id").agg(F.count_distinct("query_id").alias("n"))
+    entries = _blocked(terms.where("q <> 0").join(norms, "query_id"), sizes, ASKED_BLOCK, "query_id")
+    x = F.struct(F.col("query_id").cast("long").alias("id"), F.xxhash64("term").alias("term"), (F.col("q") / F.col("q_norm")).alias("w"))
+    queries = entries.groupBy("user_id", F.col("block").alias("asked")).agg(F.sort_array(F.collect_list(x)).alias("x"))
+    blocks = index.blocks.withColumn("lane", F.floor(F.col("block") / LANE).cast("int"))
+    lanes = blocks.select("user_id", "lane").distinct()
+    empty = F.array().cast("array<long>")
+    asking = queries.join(lanes, "user_id").select("user_id", "asked", "lane", F.lit(-1).alias("block"), F.col("x.id").alias("file_id"), empty.alias("chunk_index"), F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+    told = blocks.join(queries.select("user_id", "asked"), "user_id").select("user_id", "asked", "lane", "block", F.col("file_id").cast("array<long>").alias("file_id"), F.col("chunk_index").cast("array<long>").alias("chunk_index"), "term", "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, places, terms, w = (batch.column(c)[i].values.to_numpy() for c in (4, 5, 6, 7))
+                if batch.column(3)[i].as_py() == -1:
+                    rows += block.found() if block else []
+                    block = AskedBlock(ids, terms, w, n)
+                else:
+                    block.meet(ids, places, terms, w)
+        rows += block.found() if block else []
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["query_id", "file_id", "chunk_index", "relevance"])
+
+    dealt = asking.unionByName(told).repartition("user_id", "asked", "lane").sortWithinPartitions("user_id", "asked", "lane", "block")
+    found = dealt.mapInArrow(run, "query_id long, file_id long, chunk_index long, relevance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "file_id", "chunk_index"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "file_id", "chunk_index", "relevance")
+    return found.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "file_id", "chunk_index", "relevance")
 
 
 def keyword_scores(index: Index, query: str) -> DataFrame:
@@ -323,43 +421,169 @@ def dup_exact(spark, sf_dir):
     return h.join(g, ["source", "hash"]).select(F.col("doc_id").alias("file_id"), "match_id", "copies")
 
 
-def _weighed(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """user_id, ``key``, term, w (weights of norm 1) and ``rest``: the squares of this term's weight and those of all commoner ones."""
-    vector = Window.partitionBy("user_id", key)
-    w = counts.join(idf, ["user_id", "term"]).withColumn("w", F.col("tf") * F.col("idf")).withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(vector))).where("norm > 0")
-    rest = F.sum(F.col("w") * F.col("w")).over(vector.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
-    return w.withColumn("w", F.col("w") / F.col("norm")).select("user_id", key, "term", "w", rest.alias("rest"))
-
-
-def semantic_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """new_id, match_id, similarity: for each of ``docs`` (file_id, user_id, extracted_text) the file of its tenant with the most similar chunk.
-
-    TF-IDF cosine of a file's first QUERY_CHARS characters to other files' chunks, rounded to two places, from ``threshold`` on; ties go to
-    the smallest id. Equal texts are compared once: a chunk stands for its two first files, which is enough to name another one. Pairs meet
-    on their rarest terms: where two vectors share none of the terms before the rest of either has a norm below the threshold, their cosine
-    is below it too. So no link is lost, and common terms make no candidates. Files without a tenant or a weighted term have no match.
+def vector_blocks(counts: DataFrame, idf: DataFrame, key: str, size: int) -> DataFrame:
+    """user_id, block, vectors: TF-IDF vectors of norm 1 of ``counts`` (user_id, ``key``, term, tf), about ``size`` of a tenant in a block.
+
+    A vector: its id, and by term hash the weights, the terms' document frequencies and their shares of the text."""
+    w = counts.join(idf, ["user_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    entry = F.struct(F.xxhash64("term").alias("term"), "w", "df", "tf")
+    vectors = w.groupBy("user_id", F.col(key).alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    vectors = vectors.select("user_id", "id", F.col("x.term").alias("term"), F.transform("x.w", lambda v: v / F.col("norm")).alias("w"), F.col("x.df").alias("df"), F.col("x.tf").alias("tf"))
+    sizes = vectors.groupBy("user_id").agg(F.count("*").alias("n"))
+    return _blocked(vectors, sizes, size, "id").groupBy("user_id", "block").agg(F.collect_list(F.struct("id", "term", "w", "df", "tf")).alias("vectors"))
+
+
+class VectorBlock:
+    """Sparse vectors in flat arrays; ``rare`` are the entries before those whose weights have a norm below ``least`` together."""
+
+    def __init__(self, vectors: pa.StructArray, least: float):
+        field = dict(zip((f.name for f in vectors.type), vectors.flatten(), strict=True))
+        self.ids = field["id"].to_pylist()
+        self.lengths = np.diff(field["term"].offsets.to_numpy())
+        self.term, self.w, self.df, self.tf = (field[c].flatten().to_numpy() for c in ("term", "w", "df", "tf"))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.of = np.repeat(np.arange(len(self.ids)), self.lengths)
+        order = np.lexsort((self.term, self.df, self.of))
+        squares = (self.w * self.w)[order]
+        before = np.cumsum(squares) - squares
+        before -= before[self.starts][self.of]
+        self.rare = np.empty(len(order), bool)
+        self.rare[order] = 1 - before >= least * least - SLACK
+
+
+def block_cosines(asked: VectorBlock, told: VectorBlock) -> tuple[np.ndarray, ...]:
+    """Of the pairs that share a rare term of both: places of the two, cosine, and the share of the asked text that the other holds.
+
+    Terms have one order, by frequency; a pair that shares no term which is rare to both shares those of one side's rest alone."""
+    rare = np.flatnonzero(told.rare)
+    rare = rare[np.argsort(told.term[rare], kind="stable")]
+    own = np.flatnonzero(asked.rare)
+    low, high = (np.searchsorted(told.term[rare], asked.term[own], side) for side in ("left", "right"))
+    counts = high - low
+    places = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    pairs = np.unique(np.repeat(asked.of[own], counts) * len(told.ids) + told.of[rare[places]])
+    q, c = pairs // len(told.ids), pairs % len(told.ids)
+    # Every entry of the pair's second vector looks for the first one's.
+    names, number = np.unique(asked.term, return_inverse=True)
+    codes = asked.of * len(names) + number  # in order: terms of a vector are sorted
+    at = np.minimum(np.searchsorted(names, told.term), len(names) - 1)
+    lengths = told.lengths[c]
+    entry = np.repeat(told.starts[c] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    pair = np.repeat(np.arange(len(pairs)), lengths)
+    known = names[at[entry]] == told.term[entry]
+    entry, pair = entry[known], pair[known]
+    code = q[pair] * len(names) + at[entry]
+    found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    hit = codes[found] == code
+    entry, pair, found = entry[hit], pair[hit], found[hit]
+    return q, c, np.bincount(pair, asked.w[found] * told.w[entry], len(pairs)), np.bincount(pair, asked.tf[found], len(pairs))
+
+
+def likely_pairs(asked: DataFrame, told: DataFrame, least: float, enough) -> DataFrame:
+    """user_id, q_id, c_id, cosine, share of pairs of vectors of two tables of blocks with a cosine of ``least`` or more, as far as
+    ``enough(cosine, share)`` says. A task streams LANE blocks of the second table past one of the first."""
+    lane = F.floor(F.col("block") / LANE).cast("int").alias("lane")
+    lanes = told.select("user_id", lane).distinct()
+    first = asked.withColumnRenamed("block", "asked")
+    asking = first.join(lanes, "user_id").select("user_id", "asked", "lane", F.lit(-1).alias("block"), "vectors")
+    other = told.select("user_id", lane, "block", "vectors").join(first.select("user_id", "asked"), "user_id").select("user_id", "asked", "lane", "block", "vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = VectorBlock(batch.column(4)[i].values, least)
+                if batch.column(3)[i].as_py() == -1:
+                    own = block
+                    continue
+                q, c, cosine, share = block_cosines(own, block)
+                keep = np.flatnonzero(enough(cosine, share))
+                user = pa.array([batch.column(0)[i].as_py()] * len(keep), pa.string())
+                ids = [pa.array([b.ids[k] for k in x[keep].tolist()], pa.string()) for b, x in ((own, q), (block, c))]
+                yield pa.RecordBatch.from_arrays([user, *ids, pa.array(cosine[keep]), pa.array(share[keep])], names=["user_id", "q_id", "c_id", "cosine", "share"])
+
+    dealt = asking.unionByName(other).repartition("user_id", "asked", "lane").sortWithinPartitions("user_id", "asked", "lane", "block")
+    return dealt.mapInArrow(run, "user_id string, q_id string, c_id string, cosine double, share double")
+
+
+#: Shares of the cosine and of the keywords in a hybrid score.
+ALPHA = 0.6
+
+
+def hybrid_duplicates(index: Index, asked: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """ask_id, new_id, match_id, similarity: for each of ``asked`` (user_id, file_id, ask_id, ask: a text of the file) the other file of its tenant
+    with the chunk of the highest hybrid score, from ``threshold`` on; rounded to two places, ties go to the smallest id.
+
+    The score is ALPHA times the TF-IDF cosine and the rest times the keyword score: the share of the asked tokens that the chunk holds, 0.3 more if
+    it holds the text itself, 1 at most. As keywords give 1 - ALPHA at most, the cosine must reach (threshold - (1 - ALPHA)) / ALPHA. Pairs meet
+    on their rarest terms: where two vectors share none of the terms before the rest of either has a norm below that, their cosine is below
+    it too. So no link is lost, and common terms make no candidates. Equal texts are compared once: a chunk stands for its two first files,
+    which is enough to name another one. Texts without a tenant or a weighted term have no match.
     """
-    index = build_index(docs)
-    least = (threshold - 0.006) ** 2  # what rounds up to the threshold, and a little for the sums
-    heads = docs.select("user_id", "file_id", F.left("extracted_text", F.lit(QUERY_CHARS)).alias("head")).withColumn("q_id", F.sha2("head", 256))
-    asked = heads.dropDuplicates(["user_id", "q_id"]).select("user_id", "q_id", text.tokens(F.col("head")).alias("t"))
-    q = _weighed(asked.select("user_id", "q_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("user_id", "q_id", "term").agg((F.count("*") / F.first("n")).alias("tf")), index.idf, "q_id")
-    held = index.chunks.select("user_id", "file_id", F.sha2("chunk", 256).alias("c_id"), "tokens")
-    told = held.dropDuplicates(["user_id", "c_id"]).select("user_id", "c_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
-    d = _weighed(told.groupBy("user_id", "c_id", "term").agg((F.count("*") / F.first("n")).alias("tf")), index.idf, "c_id")
-    rare = lambda v: v.where(F.col("rest") >= least).drop("w", "rest")
-    met = rare(q).join(rare(d), ["user_id", "term"]).select("user_id", "q_id", "c_id").distinct()
-    dots = met.join(q, ["user_id", "q_id"]).join(d.select("user_id", "c_id", "term", F.col("w").alias("v")), ["user_id", "c_id", "term"])
-    near = dots.groupBy("user_id", "q_id", "c_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 2).alias("similarity")).where(F.col("similarity") >= threshold)
+    kept = lambda df, label: store.write_table(df, store.new_path(df.sparkSession, label))
+    least = max((threshold - 0.006 - (1 - ALPHA)) / ALPHA, 0)  # what rounds up to the threshold, and a little for the sums
+    asked = asked.withColumn("q_id", F.sha2("ask", 256))
+    texts = kept(asked.dropDuplicates(["user_id", "q_id"]).select("user_id", "q_id", "ask", text.tokens(F.col("ask")).alias("t")), "asked")
+    held = kept(index.chunks.select("user_id", "file_id", F.sha2("chunk", 256).alias("c_id"), "chunk", "tokens"), "held")
+    counted = lambda df, key, tokens: df.select("user_id", key, F.size(tokens).alias("n"), F.explode(tokens).alias("term")).groupBy("user_id", key, "term").agg((F.count("*") / F.first("n")).alias("tf"))
+    blocks = [kept(vector_blocks(counted(df, key, tokens), index.idf, key, size), key) for df, key, tokens, size in ((texts, "q_id", "t", ASKED_BLOCK), (held.dropDuplicates(["user_id", "c_id"]), "c_id", "tokens", CHUNK_BLOCK))]
+    enough = lambda cosine, share: cosine * ALPHA + (1 - ALPHA) * np.minimum(share + 0.3, 1) >= threshold - 0.006
+    likely = likely_pairs(*blocks, least, enough)
+    strings = held.dropDuplicates(["user_id", "c_id"]).select("user_id", "c_id", "chunk")
+    full = likely.join(texts.select("user_id", "q_id", "ask"), ["user_id", "q_id"]).join(strings, ["user_id", "c_id"])
+    bonus = F.when(F.contains(F.lower("chunk"), F.lower("ask")), 0.3).otherwise(0.0)
+    score = F.round(F.round(ALPHA * F.round("cosine", 6) + (1 - ALPHA) * F.round(F.least(F.lit(1.0), F.col("share") + bonus), 6), 6), 2)
+    near = full.withColumn("similarity", score).where(F.col("similarity") >= threshold).select("user_id", "q_id", "c_id", "similarity")
     order = F.row_number().over(Window.partitionBy("user_id", "c_id").orderBy("file_id"))
     owners = held.select("user_id", "c_id", "file_id").distinct().withColumn("nth", order).where("nth <= 2").drop("nth")
     by_file = near.join(owners, ["user_id", "c_id"]).groupBy("user_id", "q_id", F.col("file_id").alias("match_id")).agg(F.max("similarity").alias("similarity"))
     best = by_file.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "q_id").orderBy(F.desc("similarity"), "match_id"))).where("nth <= 2")
-    named = heads.select("user_id", "q_id", F.col("file_id").alias("new_id")).join(best, ["user_id", "q_id"]).where("new_id <> match_id")
-    return named.groupBy("new_id").agg(F.min_by("match_id", "nth").alias("match_id"), F.min_by("similarity", "nth").alias("similarity"))
+    named = asked.select("user_id", "q_id", "ask_id", F.col("file_id").alias("new_id")).join(best, ["user_id", "q_id"]).where("new_id <> match_id")
+    return named.groupBy("ask_id", "new_id").agg(F.min_by("match_id", "nth").alias("match_id"), F.min_by("similarity", "nth").alias("similarity"))
 
 
-@query()
+def semantic_duplicates(docs: DataFrame, threshold: float = 0.8, new: DataFrame | None = None, index: Index | None = None, whole: bool = False) -> DataFrame:
+    """new_id, match_id, similarity: near copies of the files of ``docs`` (file_id, user_id, extracted_text) in their tenant, by hybrid score.
+
+    Those in ``new`` (file_id) ask, or all; each with its first QUERY_CHARS characters, or, with ``whole``, with all its chunks, of which the best
+    match counts: so parts copied late in a file are found as well. ``index``: that of ``docs``, where there is one.
+    """
+    index = index or build_index(docs)
+    asking = docs if new is None else docs.join(new.select("file_id").distinct(), "file_id", "left_semi")
+    if whole:
+        mine = index.chunks if new is None else index.chunks.join(new.select("file_id").distinct(), "file_id", "left_semi")
+        asked = mine.select("user_id", "file_id", F.struct("file_id", F.col("chunk_index").cast("long").alias("part")).alias("ask_id"), F.col("chunk").alias("ask"))
+    else:
+        asked = asking.select("user_id", "file_id", F.struct("file_id", F.lit(0).cast("long").alias("part")).alias("ask_id"), F.left("extracted_text", F.lit(QUERY_CHARS)).alias("ask"))
+    found = hybrid_duplicates(index, asked, threshold)
+    rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("similarity"), "match_id"))
+    return found.withColumn("nth", rank).where("nth = 1").select("new_id", "match_id", "similarity")
+
+
+_DUP_SQL = """hd as materialized (select user_id, file_id, left(extracted_text, 2000) as ask, regexp_extract_all(lower(left(extracted_text, 2000)), '[a-z0-9]+|[\\x{{0E00}}-\\x{{0E7F}}]+') as t from files where {0}),
+qt2 as (select user_id, file_id as new_id, term, count(*) / any_value(n) as tf from (select user_id, file_id, unnest(t) as term, len(t) as n from hd) group by all),
+qv as materialized (select user_id, new_id, term, tf, tf * idf as w from qt2 join idf using (user_id, term)), qn2 as (select new_id, sqrt(sum(w * w)) as norm from qv group by 1),
+cv as materialized (select p.user_id, p.file_id, p.chunk_index, term, tf * idf as v from postings p join idf using (user_id, term)), cn as (select file_id, chunk_index, sqrt(sum(v * v)) as norm from cv group by all),
+pr as (select q.user_id, new_id, c.file_id, c.chunk_index, sum(w * v) as dot, sum(q.tf) as share from qv q join cv c using (user_id, term) where new_id <> c.file_id group by all),
+sc as (select new_id, pr.file_id as match_id, round(round(0.6 * round(dot / (a.norm * b.norm), 6) + 0.4 * round(least(1.0, share + case when contains(lower(ch.chunk), lower(hd.ask)) then 0.3 else 0 end), 6), 6), 2) as similarity
+ from pr join qn2 a using (new_id) join cn b on b.file_id = pr.file_id and b.chunk_index = pr.chunk_index join chunks ch on ch.file_id = pr.file_id and ch.chunk_index = pr.chunk_index join hd on hd.file_id = new_id where a.norm > 0 and b.norm > 0),
+mx as (select *, row_number() over (partition by new_id order by similarity desc, match_id) as nth from sc where similarity >= 0.8) select new_id, match_id, similarity from mx where nth = 1"""
+
+
+@query(f"with {CHUNKS_SQL}, {_DUP_SQL.format('true')}")
 def dup_semantic(spark, sf_dir, threshold: float = 0.8):
-    """Near copies of files in their tenant. SQL would repeat the index for every file: a test holds the operator against a direct computation."""
-    return semantic_duplicates(files(spark, sf_dir), threshold)
+    """Near copies of files in their tenant, by hybrid score, over the stored index."""
+    return semantic_duplicates(files(spark, sf_dir), threshold, index=index_of(spark, sf_dir))
+
+
+@query(f"with {CHUNKS_SQL}, {_DUP_SQL.format('file_id % 2 = 1')}")
+def dup_batch(spark, sf_dir, threshold: float = 0.8):
+    """A set of new files against all files of their tenants, the new ones included."""
+    f = files(spark, sf_dir)
+    return semantic_duplicates(f, threshold, f.where("file_id % 2 = 1").select("file_id"), index_of(spark, sf_dir))
+
+
+@query()
+def dup_parts(spark, sf_dir, threshold: float = 0.8):
+    """Near copies of any part of a file: each of its chunks asks. A test holds it against all pairs of chunks."""
+    return semantic_duplicates(files(spark, sf_dir), threshold, index=index_of(spark, sf_dir), whole=True)

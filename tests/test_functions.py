@@ -116,31 +116,3 @@ def test_age_is_floored(spark):
     assert value(spark, scoring.age_days(at, now)) == 1
 
 
-def test_semantic_duplicates_equal_brute_force(spark):
-    import math
-    import random
-    import re
-    from collections import Counter
-
-    from corpuscle.operators.search import semantic_duplicates
-
-    rng = random.Random(3)
-    words = [f"w{i}" for i in range(40)]
-    base = [rng.choices(words, k=30) for _ in range(6)]
-    texts = [" ".join(b) for b in base] + [" ".join(b[:-i] + rng.choices(words, k=i)) for b in base for i in (1, 3, 8)] + [" ".join(base[0])] * 3 + ["", "the", "!!"]
-    rows = [(i, "ab"[i % 5 == 0], t) for i, t in enumerate(texts)] + [(90, None, texts[0]), (91, "c", "alone")]
-    got = {r["new_id"]: (r["match_id"], r["similarity"]) for r in semantic_duplicates(spark.createDataFrame(rows, "file_id long, user_id string, extracted_text string")).collect()}
-
-    want = {}
-    for tenant in "abc":
-        own = [(i, Counter(re.findall("[a-z0-9]+", t)), t) for i, u, t in rows if u == tenant and t]
-        df = Counter(w for _, c, _ in own for w in c)
-        vectors = {i: {w: n / sum(c.values()) * math.log(len(own) / (1 + df[w])) for w, n in c.items()} for i, c, _ in own}
-        norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
-        for i, v in vectors.items():
-            near = [(-round(sum(x * o.get(w, 0) for w, x in v.items()) / (norm[i] * norm[j]), 2), j) for j, o in vectors.items() if j != i and norm[i] * norm[j]]
-            near = [x for x in near if -x[0] >= 0.8]
-            if near:
-                want[i] = (min(near)[1], -min(near)[0])
-    assert got == want
-    assert len(want) > 10
