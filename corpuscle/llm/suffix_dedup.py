@@ -152,7 +152,6 @@ def cores(rule: Rule, lead: int, raw: bytes) -> Iterator[tuple[int, int, int]]:
         yield core, max(at - step + 1, 0), min(at, windows - 1)
 
 
-PARTS = "rule int, anchor long, part long, class long, from int, to int"
 SPANS = "rule int, anchor long, part long, class long, at int, lead int, symbols binary"
 WINDOWS = "anchor long, place int, one long, other long, class long, from int"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -176,26 +175,13 @@ def _of_texts(rules: tuple[Rule, ...], schema: str, made):
     return run
 
 
-def _parts(rule: Rule, w: dict, symbols: np.ndarray) -> list[tuple]:
-    """The cores of a span and the windows that share each."""
-    raw = symbols[w["first"] : w["last"] + rule.length].tobytes()
-    return [(w["rule"], w["anchor"], core >> 1, w["class"], a, b) for core, a, b in cores(rule, w["lead"], raw)]
-
-
 def _spans(rule: Rule, w: dict, symbols: np.ndarray) -> list[tuple]:
-    """The symbols of the windows from ``from`` to ``to`` of a span."""
-    raw = symbols[w["first"] + w["from"] : w["first"] + w["to"] + rule.length].tobytes()
-    return [(w["rule"], w["anchor"], w["part"], w["class"], w["from"], w["lead"] - w["from"], raw)]
-
-
-def _windows(rule: Rule, w: dict, symbols: np.ndarray) -> list[tuple]:
-    """Two hashes of each window from ``from`` to ``to`` of a span, and its place, counted from the anchor."""
-    size, out = np.dtype(rule.dtype).itemsize, []
+    """The symbols of a span; of a hot anchor, those of the windows that share a core, core by core."""
     raw = symbols[w["first"] : w["last"] + rule.length].tobytes()
-    for i in range(w["from"], w["to"] + 1):
-        window = raw[i * size : (i + rule.length) * size]
-        out.append((w["anchor"], w["lead"] - i, *np.array([xxhash.xxh64_intdigest(window), xxhash.xxh3_64_intdigest(window)], np.uint64).view(np.int64).tolist(), w["class"], i))
-    return out
+    if not w["hot"]:
+        return [(w["rule"], w["anchor"], 0, w["class"], 0, w["lead"], raw)]
+    size = np.dtype(rule.dtype).itemsize
+    return [(w["rule"], w["anchor"], core >> 1 or 1, w["class"], a, w["lead"] - a, raw[a * size : (b + rule.length) * size]) for core, a, b in cores(rule, w["lead"], raw)]
 
 
 def _asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,24 +192,42 @@ def _asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(lists, texts["key_id"].eqNullSafe(lists["doc_id"]) & (texts["key_hash"] == lists["text_hash"])).select("key_text", "wanted")
 
 
-def hot_parts(docs: DataFrame, known: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """The spans of hot anchors in parts, windows of one step and core, of which a core that only one class has is left out; with ``many``,
-    whether over MOST_KINDS classes have it."""
-    parts = keep(_asked(docs, known.where("contested and hot").drop("n", "contested", "hot")).mapInArrow(_of_texts(rules, PARTS, _parts), PARTS).distinct(), "parts")
-    shared = keep(parts.groupBy("anchor", "part").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", "part", (F.col("kinds") > MOST_KINDS).alias("many")), "shared")
-    place = known.select("anchor", "class", "doc_id", "text_hash", "lead", "first", "last")
-    return keep(parts.join(shared, ["anchor", "part"]).join(place, ["anchor", "class"]), "hot")
+def _windows_of(rules: tuple[Rule, ...]):
+    """Two hashes of each window of spans, and its place, counted from the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                rows: list[tuple] = []
+                for n, anchor, _, class_, at, lead, raw in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+                    size, length = np.dtype(rules[n].dtype).itemsize, rules[n].length
+                    windows = [raw[i * size : (i + length) * size] for i in range(len(raw) // size - length + 1)]
+                    one, other = (np.array([h(x) for x in windows], np.uint64).view(np.int64).tolist() for h in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
+                    rows += [(anchor, lead - i, one[i], other[i], class_, at + i) for i in range(len(windows))]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in WINDOWS.split(", ")])
+
+    return run
 
 
-def counted_windows(docs: DataFrame, parts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """anchor, class, from, to: windows of ``parts`` that another class has at the same place from the anchor. Equal windows are counted by
+def counted_windows(spans: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """anchor, class, from, to: windows of ``spans`` that another class has at the same place from the anchor. Equal windows are counted by
     their hashes, partly before the shuffle: a passage that a third of all texts have is one count a task."""
-    rows = keep(_asked(docs, parts).mapInArrow(_of_texts(rules, WINDOWS, _windows), WINDOWS).distinct(), "windows")
+    rows = keep(spans.mapInArrow(_windows_of(rules), WINDOWS).distinct(), "windows")
     key = ["anchor", "place", "one", "other"]
     again = keep(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "counted")
     return rows.join(again, key, "left_semi").select("anchor", "class", "from", (F.col("from") + 1).alias("to"))
 
 
+def narrowed(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is to be sorted of ``spans``, and what is to be counted: of hot anchors' parts, those that over MOST_KINDS classes share. A part
+    that one class alone has is neither."""
+    kinds = spans.where("part <> 0").select("anchor", "part", "class").distinct().groupBy("anchor", "part").agg(F.count("*").alias("kinds"))
+    shared = keep(kinds.where("kinds > 1").select("anchor", "part", (F.col("kinds") > MOST_KINDS).alias("many")), "shared")
+    of = lambda which: spans.where("part <> 0").join(shared.where(which), ["anchor", "part"], "left_semi").select(spans.columns)
+    return spans.where("part = 0").unionByName(of("not many")), of("many")
+
+
 def contested_parts(rule: Rule, group: list[tuple]) -> Iterator[tuple[int, int, np.ndarray]]:
     """Of a group of spans (class, at, lead, raw) of one anchor string: (class, first window, symbols) of runs of windows with a core that another has."""
     found = [list(cores(rule, lead, raw)) for _, _, lead, raw in group]
@@ -295,13 +299,12 @@ def repeated_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     known = classes.join(groups, "anchor").where((F.col("n") > 1) | contested)
     known = keep(known.select("rule", "anchor", "class", "n", "doc_id", "text_hash", "lead", "first", "last", contested.alias("contested"), (F.col("kinds") > MOST_KINDS).alias("hot")), "classes")
 
-    whole = known.where("contested and not hot").select("rule", "anchor", F.lit(0).cast("long").alias("part"), "class", F.lit(0).alias("from"), (F.col("last") - F.col("first")).alias("to"), "doc_id", "text_hash", "lead", "first", "last")
-    spans, counted = whole, None
+    wanted = known.where("contested").select("rule", "anchor", "class", "lead", "first", "last", "hot", "doc_id", "text_hash")
+    spans, counted = _asked(docs, wanted).mapInArrow(_of_texts(rules, SPANS, _spans), SPANS), None
     if not known.where("contested and hot").isEmpty():
-        parts = hot_parts(docs, known, rules)
-        spans = whole.unionByName(parts.where("not many").drop("many"))
-        counted = counted_windows(docs, parts.where("many").drop("many", "part"), rules)
-    strings = _asked(docs, spans).mapInArrow(_of_texts(rules, SPANS, _spans), SPANS).repartition("anchor", "part").sortWithinPartitions("rule", "anchor", "part", "class", "at")
+        spans, many = narrowed(keep(spans, "parts"))
+        counted = counted_windows(many, rules)
+    strings = spans.repartition("anchor", "part").sortWithinPartitions("rule", "anchor", "part", "class", "at")
     windows = strings.mapInArrow(_sorted_shards(rules), "anchor long, class long, from int, to int")
     windows = windows if counted is None else windows.unionByName(counted).distinct()
 
