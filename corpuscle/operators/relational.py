@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscle.functions import scoring, text
+from corpuscle.operators.ordered import folded
 from corpuscle.sources.tables import as_of, cluster_map, edges, events, files, memories, table, tags, users
 
 QUERIES: dict = {}
@@ -491,9 +493,23 @@ def mth_importance(spark, sf_dir):
 @query("""with o as (select user_id, list(value order by ts, event_id) as d from events where event_type = 'view' group by 1)
 select user_id, list_reduce(list_prepend(30.0::double, list_transform(d, lambda x: x::double)), lambda cur, x: round(0.8 * cur + 0.2 * least(x, 60.0), 2)) as ewma from o""")
 def mth_ewma(spark, sf_dir):
-    """A running average per user; the fold's order is the events' own."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "event_id", "value"))), lambda x: x["value"])
-    return events(spark, sf_dir).where("action = 'view'").groupBy("user_id").agg(ordered.alias("d")).select("user_id", scoring.ewma(F.col("d"), F.lit(60.0), F.lit(30.0)).alias("ewma"))
+    """A running average per user in the order of the events; the last one of each."""
+    steps = running_averages(events(spark, sf_dir).where("action = 'view'"), ["user_id"], ["created_at", "event_id"], "value", 60.0, 30.0)
+    return steps.groupBy("user_id").agg(F.max_by("average", F.struct("created_at", "event_id")).alias("ewma"))
+
+
+def running_averages(rows: DataFrame, group: list[str], order: list[str], value: str, cap: float, start: float) -> DataFrame:
+    """``rows`` with column average: 4/5 of the one before and 1/5 of the value, capped, rounded to hundredths at each step; negative and null values
+    change nothing. A fold over ranges of the groups' rows, whose state are hundredths."""
+    most = round(100 * cap)
+
+    def advance(states: np.ndarray, row: tuple) -> np.ndarray:
+        if row[0] is None or row[0] < 0:
+            return states
+        return (2 * (4 * states + min(round(100 * row[0]), most)) + 5) // 10  # fifths are never halves
+
+    found = folded(rows, group, order, [value], max(most, round(100 * start)) + 1, round(100 * start), advance)
+    return found.withColumn("average", F.col("after") / 100).drop("before", "after")
 
 
 @query("""with p as (select p_partkey, case p_partkey % 8 when 0 then 'pdf' when 1 then 'docx' when 2 then 'mp3' when 3 then 'mp4' when 4 then 'jpg' when 5 then 'md' when 6 then 'html' else 'xyz' end as ext from part)

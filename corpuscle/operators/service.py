@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscle.functions import scoring, text
+from corpuscle.operators.ordered import folded
 from corpuscle.operators.relational import EVENTS_SQL, FILES_SQL, MEMORIES_SQL, USERS_SQL
 from corpuscle.sources.tables import as_of, events, files, memories, table, users
 
@@ -45,13 +47,15 @@ def ret_budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_pack(files_: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """user_id, used_chars, file_ids: what of each tenant's files is packed, newest first."""
+    """user_id, used_chars, file_ids: what of each tenant's files is packed, newest first; a file that doesn't fit is passed over.
+
+    A fold over ranges of the tenants' files: the state is the number of characters used."""
     mode = F.when(F.col("file_id") % 3 == 0, 300).when(F.col("file_id") % 3 == 1, 2000).otherwise(6000)
-    f = files_.withColumn("n", F.least(F.length("extracted_text"), mode))
-    # A tenant's files are bounded by its plan; the array holds ids and lengths, no texts.
-    ordered = F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("uploaded_at")).alias("newest"), F.col("file_id").alias("id"), "n")))
-    packed = f.groupBy("user_id").agg(budget_fold(ordered, budget).alias("r"))
-    return packed.select("user_id", F.col("r.used").alias("used_chars"), F.col("r.taken").alias("file_ids"))
+    f = files_.select("user_id", (-F.unix_micros("uploaded_at")).alias("newest"), "file_id", F.coalesce(F.least(F.length("extracted_text"), mode), F.lit(0)).alias("n"))
+    used = folded(f.where("user_id is not null"), ["user_id"], ["newest", "file_id"], ["n"], budget, 0, lambda states, row: np.where(states + row[0] < budget, states + row[0], states))
+    taken = F.when(F.col("before") + F.col("n") < budget, F.struct("newest", F.col("file_id").cast("long").alias("id")))
+    packed = used.groupBy("user_id").agg(F.max("after").alias("used_chars"), F.array_sort(F.collect_list(taken)).alias("x"))
+    return packed.select("user_id", "used_chars", F.col("x.id").alias("file_ids"))
 
 
 @query(f"""with {FILES_SQL}, n as (select *, row_number() over (partition by user_id order by file_id) as k from files)
