@@ -1,5 +1,9 @@
 """Files of many formats to text: a binary scan, routing by extension, extraction in Arrow batches, statuses.
 
+The scan puts files together by size (``spark.sql.files.maxPartitionBytes``), so a task has few large files or many small ones. Sheets and slides are
+read as streams of XML elements that are dropped once used, and ``sections`` gives a row for each: no workbook is one text. ``records`` is the typed
+result of a file, with what it took and what should be known about it; ``processed`` is the job around it.
+
 The standard library reads them: text in several encodings, HTML, JSON, RTF, and the XML inside office files. What needs a model or an
 OCR engine is a function handed in; without one the text says so, and its status is that of the marker.
 """
@@ -9,19 +13,22 @@ from __future__ import annotations
 import html
 import io
 import json
+import posixpath
 import re
+import time
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpuscle.functions import scoring, text
 
-#: Encodings of text files in the order they are tried.
+#: Encodings of text files in the order they are tried.
 ENCODINGS = ("utf-8", "utf-8-sig", "cp874", "tis-620", "latin-1")
 
 
@@ -89,6 +96,93 @@ def xlsx_text(data: bytes) -> str:
     return "\n\n".join(out) or "[Empty spreadsheet]"
 
 
+#: Megabytes from which a file is reported as large.
+LARGE_MB = 10
+
+
+def _streamed(member, *names: str) -> Iterator:
+    """Elements of the given names as they end; what they held is dropped afterwards."""
+    for _, node in ElementTree.iterparse(member):
+        if node.tag.rpartition("}")[2] in names:
+            yield node
+            node.clear()
+
+
+def _related(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """Of a part of an office file: the kind and path of each part it names."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    found = {}
+    for r in _named(ElementTree.fromstring(z.read(rels)), "Relationship"):
+        target = r.get("Target") or ""
+        found[r.get("Id")] = (r.get("Type", "").rpartition("/")[2], target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}"))
+    return found
+
+
+def _relation_of(node) -> str | None:
+    return next((v for k, v in node.attrib.items() if k.endswith("}id")), None)
+
+
+def sheet_sections(data: bytes) -> Iterator[tuple[str, str, list[str]]]:
+    """(title, markdown, warnings) of each sheet in the workbook's order, found by its relation, wherever its file stands."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = ["".join(t.text or "" for t in _named(s, "t")) for s in _streamed(f, "si")]
+        related = _related(z, "xl/workbook.xml")
+        for i, sheet in enumerate(_named(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet"), 1):
+            title = sheet.get("name") or f"Sheet{i}"
+            path = related.get(_relation_of(sheet), ("", f"xl/worksheets/sheet{i}.xml"))[1]
+            rows = []
+            with z.open(path) as f:
+                for row in _streamed(f, "row"):
+                    cells = []
+                    for c in _named(row, "c"):
+                        value = "".join(v.text or "" for kind in ("v", "t") for v in _named(c, kind))
+                        cells.append((shared[int(value)] if c.get("t") == "s" and value else value).replace("|", "\\|").replace("\n", " "))
+                    if any(x.strip() for x in cells):
+                        rows.append("| " + " | ".join(cells) + " |")
+            yield title, f"## Sheet: {title}\n\n" + ("\n".join(rows) or "_(empty sheet)_"), [] if rows else [f"empty-sheet:{title}"]
+
+
+def _paragraphs(node) -> list[str]:
+    return [line for p in _named(node, "p") if (line := "".join(t.text or "" for t in _named(p, "t")).strip())]
+
+
+def slide_sections(data: bytes) -> Iterator[tuple[str, str, list[str]]]:
+    """(title, markdown, warnings) of each slide in the presentation's order: its title, a bullet a paragraph, its notes."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
+        slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number)
+        if "ppt/presentation.xml" in z.namelist():
+            related = _related(z, "ppt/presentation.xml")
+            ordered = [related[r][1] for s in _named(ElementTree.fromstring(z.read("ppt/presentation.xml")), "sldId") if (r := _relation_of(s)) in related]
+            slides = [s for s in ordered if s in z.namelist()] or slides
+        for i, path in enumerate(slides, 1):
+            title, lines = "", []
+            for shape in _named(ElementTree.fromstring(z.read(path)), "sp"):
+                kinds = {p.get("type") for p in _named(shape, "ph")}
+                if kinds & {"title", "ctrTitle"}:
+                    title = title or " ".join(_paragraphs(shape))
+                else:
+                    lines += _paragraphs(shape)
+            parts = [f"## Slide {i}" + (f": {title}" if title else "")]
+            if lines:
+                parts.append("\n".join(f"- {x}" for x in lines))
+            for kind, notes in _related(z, path).values():
+                if kind == "notesSlide" and notes in z.namelist():
+                    shapes = _named(ElementTree.fromstring(z.read(notes)), "sp")
+                    said = [x for s in shapes if {p.get("type") for p in _named(s, "ph")} <= {"body"} for x in _paragraphs(s)]
+                    if said:
+                        parts.append("**Notes:** " + "\n".join(said))
+            yield title, "\n\n".join(parts), []
+
+
+SECTIONS = {"xlsx": (sheet_sections, "[Empty workbook]", "empty-xlsx"), "pptx": (slide_sections, "[Empty presentation]", "empty-pptx")}
+
 READERS: dict[str, Callable[[bytes], str]] = {"html": lambda b: text.html_text(decoded(b)), "htm": lambda b: text.html_text(decoded(b)), "json": json_text, "rtf": rtf_text, "docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text}
 TEXT_TYPES = {t for _, _, _, types in scoring.ROUTES[:1] for t in types} | {"xml"}
 
@@ -113,6 +207,122 @@ def vault_text(filename):
     return F.concat(F.lit("[Vault file] "), filename, F.lit(" (extension: "), ext, F.lit(")\nkeywords: "), F.array_join(text.filename_tokens(filename), " "))
 
 
+#: Typed result of a file.
+RECORD = (
+    "text string, markdown string, processor_used string, fallback_used string, processing_time_seconds double, cost_cents_estimate int, "
+    "status string, error_message string, warnings array<string>, metadata map<string,string>"
+)
+
+
+def record(name: str, ext: str, data: bytes | None, route: tuple[str, str | None, int], model: Callable[[str, bytes], str] | None = None) -> dict:
+    """The typed result of one file. What goes wrong is told by status, message and warnings, never raised."""
+    began, size = time.monotonic(), len(data or b"") / (1 << 20)
+    processor, fallback, cost = route
+    warnings = [f"large-file:{size:.1f}MB"] if size > LARGE_MB else []
+    used, markdown, body, metadata = None, None, "", {"bytes": str(len(data or b""))}
+    if processor == "vault":
+        body = None
+    elif ext in SECTIONS and data:
+        read, empty, warning = SECTIONS[ext]
+        try:
+            found = list(read(data))
+            warnings += [w for _, _, ws in found for w in ws]
+            markdown = "\n\n".join(m for _, m, _ in found)
+            metadata |= {"sections": str(len(found)), "titles": json.dumps([t for t, _, _ in found], ensure_ascii=False)}
+            if not found:
+                markdown, warnings = empty, [*warnings, warning]
+        except Exception as e:  # noqa: BLE001  a file's failure is its status, not the job's
+            markdown, warnings = f"[Extraction error: {type(e).__name__}: {str(e)[:200]}]", [*warnings, "local-failed"]
+        body = markdown
+    else:
+        body = extracted(ext, data, model)
+    failed = body is not None and body.startswith("[Extraction error")
+    if failed and model and fallback:
+        again = extracted("", data, lambda _, raw: model(ext, raw))
+        if not again.startswith("["):
+            body, markdown, used, failed = again, None, fallback, False
+            warnings.append(f"fallback:{fallback}")
+    empty = body is not None and (not body.strip() or body.startswith("[Empty"))
+    status = "error" if failed or (body or "").startswith("[AI ingest not configured") else "empty" if empty else "ok"
+    return {
+        "text": body, "markdown": markdown or body, "processor_used": processor, "fallback_used": used, "processing_time_seconds": round(time.monotonic() - began, 3), "cost_cents_estimate": cost,
+        "status": status, "error_message": body[1:-1] if status == "error" else None, "warnings": warnings, "metadata": metadata,
+    }
+
+
+def _named_files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content").withColumn("ext", text.extension(F.col("filename")))
+    return named.withColumn("route", scoring.route(F.col("ext")))
+
+
+def records(spark: SparkSession, path: str, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """path, filename, ext, length and RECORD's columns of every file below ``path``; vault files are found by their names."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    named = _named_files(spark, path)
+    schema = StructType.fromDDL(f"path string, filename string, ext string, length long, {RECORD}")
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time
+                row = {n: batch.column(n)[i].as_py() for n in ("path", "filename", "ext", "length", "content")}
+                route = batch.column("route")[i].as_py()
+                made = record(row["filename"], row["ext"], row.pop("content"), (route["processor"], route["fallback"], route["cost"]), model)
+                yield pa.RecordBatch.from_pylist([row | made], schema=target)
+
+    found = named.mapInArrow(run, schema)
+    vault = vault_text(F.col("filename"))
+    return found.withColumns({c: F.when(F.col("processor_used") == "vault", vault).otherwise(F.col(c)) for c in ("text", "markdown")})
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """path, section (from 1), title, markdown, warnings: a row for each sheet and slide of the workbooks and presentations below ``path``; a file that
+    can't be read is one row, whose warning says so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "section", "title", "markdown", "warnings"]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+        for batch in batches:
+            for path_, ext, content in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                n = 0
+                try:
+                    for n, (title, markdown, warnings) in enumerate(SECTIONS[ext.as_py()][0](content.as_py()), 1):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path_.as_py(), n, title, markdown, warnings), kinds, strict=True)], names=names)
+                except Exception as e:  # noqa: BLE001  as above
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path_.as_py(), n + 1, None, None, [f"local-failed:{type(e).__name__}"]), kinds, strict=True)], names=names)
+
+    named = _named_files(spark, path).where(F.col("ext").isin(*SECTIONS)).select("path", "ext", "content")
+    return named.mapInArrow(run, "path string, section int, title string, markdown string, warnings array<string>")
+
+
+def processed(spark: SparkSession, jobs: DataFrame, path: str, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """``jobs`` (file_id, raw_name, processing_status) after their run: queued ones with what was read of the file of their name below ``path``.
+
+    extracted_text, content_hash, extraction_status, extraction_warnings (JSON, null without any), seconds, and the status that follows: uploaded, or
+    error with extract_error, as where the file is gone. Other jobs pass as they are, with nulls.
+    """
+    made = records(spark, path, model).select(F.col("filename").alias("raw_name"), *(f for f in (x.split()[0] for x in RECORD.split(", "))))
+    queued = F.col("processing_status") == "queued"
+    found = jobs.join(made, "raw_name", "left")
+    gone = queued & F.col("status").isNull()
+    extraction = F.when(queued & ~gone, text.extraction_status(F.col("text")))
+    failed = gone | (queued & (F.col("status") == "error"))
+    return found.select(
+        "file_id",
+        "raw_name",
+        F.when(queued & ~failed, F.col("text")).alias("extracted_text"),
+        F.when(queued & ~failed, text.content_hash(F.col("text"))).alias("content_hash"),
+        extraction.alias("extraction_status"),
+        F.when(queued & (F.size("warnings") > 0), F.to_json("warnings")).alias("extraction_warnings"),
+        F.when(queued, F.col("processing_time_seconds")).alias("seconds"),
+        F.when(failed, "error").when(queued, "uploaded").otherwise(F.col("processing_status")).alias("processing_status"),
+        F.when(gone, F.concat(F.lit("raw file gone: "), "raw_name")).when(failed, F.col("error_message")).alias("extract_error"),
+    )
+
+
 def ingest(spark: SparkSession, path: str, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
     """Every file below ``path``: name, route, text, status, hash. Contents are read by the binary source, one task a group of files.
 
