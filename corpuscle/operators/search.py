@@ -2,7 +2,7 @@
 
 An index is five tables: chunks (tenant, file, chunk, tokens), postings (a row a term and chunk, with its frequency and weight), IDF (a row a
 tenant and term), norms (a row a chunk) and blocks (the weights of some chunks of a tenant together, which searches for many queries read). It is built once for an unchanged input and stored in the shared folder; a search reads the few
-postings of its terms. Files are replaced and removed by taking their rows out and putting new ones in; then weights are made anew.
+postings of its terms. ``segments`` has the form that changes by deltas.
 """
 
 from __future__ import annotations
@@ -73,20 +73,6 @@ def stored(index: Index) -> Index:
     return Index(chunks, postings, idf, norms, store.write_table(chunk_blocks(postings, norms), f"{path}/blocks"))
 
 
-def replaced(index: Index, docs: DataFrame) -> Index:
-    """``index`` with the files of ``docs`` as they are now, in place of what it held of them."""
-    return weighed(without_files(index, docs).unionByName(chunks_of(docs)))
-
-
-def removed(index: Index, gone: DataFrame) -> Index:
-    """``index`` without the files in ``gone`` (file_id)."""
-    return weighed(without_files(index, gone))
-
-
-def without_files(index: Index, gone: DataFrame) -> DataFrame:
-    return index.chunks.join(gone.select("file_id").distinct(), "file_id", "left_anti")
-
-
 #: Stored indexes by application, folder and what its files are like.
 _STORED: dict[tuple, Index] = {}
 
@@ -382,22 +368,6 @@ def sch_knowledge(spark, sf_dir):
     return found.where("kind <> 'file'")
 
 
-_CHANGED = "case when doc_id % 10 = 3 then left(text, 300) || ' renewed' else text end"
-
-
-@query(f"with d2 as materialized (select doc_id, lang, source, {_CHANGED} as text from documents), {CHUNKS_SQL.replace('from documents d ', 'from d2 d ')} select user_id, term, df, round(idf, 6) as idf from idf")
-def idx_replace(spark, sf_dir):
-    """The weights after every tenth file was replaced."""
-    f = files(spark, sf_dir).where("file_id % 10 = 3").withColumn("extracted_text", F.concat(F.left("extracted_text", F.lit(300)), F.lit(" renewed")))
-    return replaced(index_of(spark, sf_dir), f).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
-
-
-@query(f"with {CHUNKS_SQL.replace('left join labels l using (doc_id))', 'left join labels l using (doc_id) where d.doc_id % 7 <> 0)')} select user_id, term, df, round(idf, 6) as idf from idf")
-def idx_remove(spark, sf_dir):
-    """The weights after every seventh file was removed."""
-    return removed(index_of(spark, sf_dir), table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("file_id"))).idf.select("user_id", "term", "df", F.round("idf", 6).alias("idf"))
-
-
 @query(f"""with {FILES_SQL}, s as (select file_id, case when contains(lower(filename), 'en') then 0.5 else 0 end + case when summarised and contains(lower(left(extracted_text, 200)), 'en') then 0.4 else 0 end
  + case when not (summarised and contains(lower(left(extracted_text, 200)), 'en')) and contains(lower(extracted_text), 'en') then 0.3 else 0 end + case when contains(user_id, 'en') then 0.2 else 0 end as score from files)
 select file_id, round(least(score, 1.0), 3)::double as relevance from s where score > 0 order by relevance desc, file_id limit 200""")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.operators import admin, enrich, graph, library, mutations, records, relational, search, service, values, vectors
+from corpuscle.operators import admin, embedding, enrich, graph, library, mutations, organise, records, relational, search, segments, service, values, vectors
 from corpuscle.streaming import streams
 
 FLAGSHIP = "sch_hybrid"
-MODULES = (relational, search, graph, vectors, service, records, enrich, values, mutations, admin, library, streams)
+MODULES = (relational, search, segments, graph, vectors, embedding, service, records, enrich, values, mutations, admin, library, organise, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

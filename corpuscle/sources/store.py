@@ -18,9 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_name(label: str) -> str:
+    return f"{label}-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below ``shared_dir`` that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{new_name(label)}"
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:

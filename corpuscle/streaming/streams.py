@@ -1,16 +1,24 @@
 """Structured Streaming forms: windows, sessions, deduplication, running state and timers over the event log.
 
-A file source reads the event table as a stream; its NTZ times become timestamps, as watermarks need. Late rows count up to ``LATE``.
+A file source reads the event table, one file or a folder of part files, as a stream; its NTZ times become timestamps, as watermarks need. Late
+rows count up to ``LATE``. Windows are appended once the watermark has passed them, and their state goes then. Over a log that has ended, a row of
+a far time is put behind it when all files are read: it moves the watermark past what is open and is in no result itself.
+
 Every batch's result becomes a Parquet table of its number in the shared folder, so a repeated batch replaces itself and nothing passes the
-driver; queries here run with trigger(availableNow) and return what batch would. Keyed state is kept by ``transformWithState`` in RocksDB.
+driver; queries here run with trigger(availableNow), or in a processing-time trigger until all is read, and return what batch would. Keyed state is
+kept by ``transformWithState`` in RocksDB. Where order matters, rows wait in state until the watermark passes them and are let go by timers in order
+of event time, so that results depend neither on files nor on batches nor on how rows are cut into Arrow parts.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpuscle.sources import store
@@ -18,30 +26,78 @@ from corpuscle.sources import store
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 LATE = "1 hour"
+#: The time of the row that ends a log.
+END = "2262-01-01"  # pandas has no later year
+LOG = "event_id long, created_at timestamp, user_id long, action string, value double"
+
+
+class Log:
+    """The event table as a stream of LOG's columns, and the place where the row that ends it is put."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, watermark: str | None = LATE, files_at_once: int | None = None):
+        path, self.spark = f"{sf_dir}/events.parquet", spark
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+        reader = spark.readStream.schema(spark.read.parquet(path).schema)
+        if files_at_once:
+            reader = reader.option("maxFilesPerTrigger", files_at_once)
+        if not folder:  # a file source reads folders: this one's, of which one file is wanted
+            path, name = path.rsplit("/", 1)
+            reader = reader.option("pathGlobFilter", name)
+        events = reader.parquet(path)
+        self.rows = events.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), "user_id", F.col("event_type").alias("action"), "value")
+        self.end = store.new_path(spark, "end")
+        spark.createDataFrame([], LOG).write.parquet(self.end)
+        if watermark:
+            self.rows = self.rows.unionByName(spark.readStream.schema(LOG).parquet(self.end)).withWatermark("created_at", watermark)
 
-
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream of event_id, created_at, user_id, action, value; its schema is read from the files."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(folder)
-    return stream.select("event_id", F.col("ts").cast("timestamp").alias("created_at"), "user_id", F.col("event_type").alias("action"), "value")
+    def close(self) -> None:
+        """Put the last row behind what has been read."""
+        self.spark.sql(f"select null::bigint as event_id, timestamp'{END}' as created_at, null::bigint as user_id, null::string as action, null::double as value").write.mode("append").parquet(self.end)
 
 
-def collected(stream: DataFrame, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Run ``stream`` over what is there and return its result table: the last batch's where each holds all, else all batches'; of an updated
-    key the last one."""
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream, without a watermark."""
+    return Log(spark, sf_dir, None).rows
+
+
+def _until_read(job: StreamingQuery, every: int) -> None:
+    """Stop ``job`` after a trigger that found nothing new, or when three triggers' time has brought none."""
+    last, since = None, time.monotonic()
+    while job.isActive:
+        seen = job.lastProgress
+        if seen and seen["batchId"] != last:
+            last, since = seen["batchId"], time.monotonic()
+        idle = last is not None and time.monotonic() - since > 3 * every and not job.status["isDataAvailable"]
+        if (seen and not seen["numInputRows"]) or idle:
+            break
+        time.sleep(0.1)
+    if job.exception():
+        raise job.exception()
+    job.stop()
+
+
+def collected(stream: DataFrame, mode: str = "append", log: Log | None = None, every: int | None = None) -> DataFrame:
+    """Run ``stream`` over what is there and return its result table: the last batch's where each holds all, else all batches'; of ``log``, where it
+    is given, the end is added when all is read. ``every``: the seconds of a processing-time trigger in place of one run over what is there."""
     spark, path = stream.sparkSession, store.new_path(stream.sparkSession, "stream")
-    job = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/results/batch={n}"))
-    job = job.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/results/batch=-1")  # what a run without a batch gives
+
+    def run() -> None:
+        job = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/results/batch={n}"))
+        job = job.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+        if every:
+            _until_read(job.trigger(processingTime=f"{every} seconds").start(), every)
+        else:
+            job.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if log:
+        log.close()
+        run()
     found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{path}/results").parquet(f"{path}/results")
     if mode == "complete":
         found = found.where(F.col("batch") == found.agg(F.max("batch")).scalar())
-    if keys:
-        last = found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in keys]), "batch").alias("last"))
-        found = last.select(*keys, *[F.col(f"last.{c}") for c in stream.columns if c not in keys])
     return found.select(stream.columns)
 
 
@@ -58,24 +114,27 @@ def query(sql: str | None = None):
 @query("select epoch(date_trunc('day', ts))::bigint as day, event_type as action, count(*) as n, round(sum(value), 2) as value from events group by all")
 def str_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by action: tumbling windows with a watermark."""
-    w = event_stream(spark, sf_dir).withWatermark("created_at", LATE).groupBy(F.window("created_at", "1 day"), "action").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
-    return collected(w.select(F.unix_timestamp("window.start").alias("day"), "action", "n", "value"))
+    log = Log(spark, sf_dir)
+    w = log.rows.groupBy(F.window("created_at", "1 day"), "action").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return collected(w.select(F.unix_timestamp("window.start").alias("day"), "action", "n", "value"), log=log)
 
 
 @query("""with s as (select epoch(date_trunc('hour', ts))::bigint - h * 3600 * 6 + 0 as x, * from events, range(0, 4) t(h)), w as (select (floor(epoch(ts) / 21600)::bigint - h) * 21600 as start, event_type from events, range(0, 4) t(h))
 select start, count(*) as n, count(*) filter (where event_type = 'error') as errors from w group by 1""")
 def str_sliding(spark, sf_dir):
     """Counts of the last 24 hours, every 6 hours: sliding windows."""
-    w = event_stream(spark, sf_dir).withWatermark("created_at", LATE).groupBy(F.window("created_at", "24 hours", "6 hours")).agg(F.count("*").alias("n"), F.count_if(F.col("action") == "error").alias("errors"))
-    return collected(w.select(F.unix_timestamp("window.start").alias("start"), "n", "errors"))
+    log = Log(spark, sf_dir)
+    w = log.rows.groupBy(F.window("created_at", "24 hours", "6 hours")).agg(F.count("*").alias("n"), F.count_if(F.col("action") == "error").alias("errors"))
+    return collected(w.select(F.unix_timestamp("window.start").alias("start"), "n", "errors"), log=log)
 
 
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 2 hours then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as part from g)
 select user_id, floor(epoch(min(ts)))::bigint as start, count(*) as n from s group by user_id, part""")
 def str_sessions(spark, sf_dir):
     """Sessions of a user: events within two hours of one another."""
-    w = event_stream(spark, sf_dir).withWatermark("created_at", LATE).groupBy("user_id", F.session_window("created_at", "2 hours")).agg(F.count("*").alias("n"))
-    return collected(w.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n"))
+    log = Log(spark, sf_dir)
+    w = log.rows.groupBy("user_id", F.session_window("created_at", "2 hours")).agg(F.count("*").alias("n"))
+    return collected(w.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n"), log=log)
 
 
 @query("select event_type as action, count(distinct event_id) as n from events group by 1")
@@ -83,15 +142,16 @@ def str_distinct_ids(spark, sf_dir):
     """Events counted once though each is delivered twice: duplicates within the watermark are dropped."""
     e = event_stream(spark, sf_dir).withWatermark("created_at", "60 days")
     twice = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    kept = collected(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "action"), "append")
+    kept = collected(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "action"))
     return kept.groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query("""select year(ts)::int as year, month(ts)::int as month, event_type as action, count(*) as n from events group by all""")
 def str_monthly(spark, sf_dir):
-    """Counts of calendar months, which windows of a fixed length can't be."""
-    e = event_stream(spark, sf_dir).groupBy(F.year("created_at").alias("year"), F.month("created_at").alias("month"), "action").agg(F.count("*").alias("n"))
-    return collected(e)
+    """Counts of calendar months, which windows of a fixed length can't be: counts of days, appended and put together."""
+    log = Log(spark, sf_dir)
+    days = collected(log.rows.groupBy(F.window("created_at", "1 day"), "action").agg(F.count("*").alias("n")).select("window.start", "action", "n"), log=log)
+    return days.groupBy(F.year("start").alias("year"), F.month("start").alias("month"), "action").agg(F.sum("n").alias("n"))
 
 
 def keyed_state(spark: SparkSession) -> None:
@@ -99,122 +159,243 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class Averages(StatefulProcessor):
-    """Capped running average of a key's durations, in the order in which they come: 4/5 old and 1/5 new, rounded at each step."""
+#: What a processor of rows in order is given of each: milliseconds, id, value.
+WAITING = "ms array<long>, id array<long>, value array<double>"
+
 
-    def __init__(self, cap: float = 60.0, start: float = 30.0):
-        self.cap, self.first = cap, start
+class InOrder(StatefulProcessor):
+    """Rows of a key (ms, event_id, value) in order of event time.
+
+    Rows wait in state, by spans of ``span`` milliseconds, until the watermark has passed their span; a timer for the earliest one lets them go,
+    ordered by time and id. A span's rows of a key are in memory together; the rest of a key's rows are not. Rows without an id, such as the one
+    that ends a log, are left out. Subclasses keep their own state and say what a span's rows, and a timer of their own, give.
+    """
+
+    def __init__(self, span: int = 86_400_000):
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("average", "ewma double, n long")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span long", WAITING)
+        self.next = handle.getValueState("next", "ms long")
+        self.start()
+
+    def start(self) -> None:
+        """Open the subclass's own state."""
+
+    def released(self, key, ms: list[int], ids: list[int], values: list[float]) -> Iterator[pd.DataFrame]:
+        """What rows in order give."""
+        raise NotImplementedError
+
+    def expired(self, key, ms: int) -> Iterator[pd.DataFrame]:
+        """What a timer of the subclass's own at ``ms`` gives; spans that end by then have been let go."""
+        yield from ()
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        average, n = self.state.get() if self.state.exists() else (self.first, 0)
-        for part in rows:  # a part of the rows at a time
-            for value in part["value"]:
-                if value >= 0:
-                    average = round(0.8 * average + 0.2 * min(value, self.cap), 2)
-                    n += 1
-        self.state.update((average, n))
-        yield pd.DataFrame({"action": [key[0]], "ewma": [average], "n": [n]})
+        least = None
+        for part in rows:
+            part = part[part["event_id"].notna()]
+            for span, some in part.groupby(part["ms"] // self.span):
+                new = [some["ms"].tolist(), some["event_id"].astype("int64").tolist(), some["value"].astype(float).tolist()]
+                if self.waiting.containsKey((int(span),)):
+                    new = [list(old) + more for old, more in zip(self.waiting.getValue((int(span),)), new, strict=True)]
+                self.waiting.updateValue((int(span),), tuple(new))
+                least = int(span) if least is None else min(least, int(span))
+        if least is not None:
+            self._wake(least)
+        yield from ()
+
+    def _wake(self, span: int) -> None:
+        """A timer for the end of ``span``, unless one is set that comes no later."""
+        at = (span + 1) * self.span
+        old = self.next.get()[0] if self.next.exists() else None
+        if old is None or at < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.next.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(timerValues.getCurrentWatermarkInMs(), at)
+        if self.next.exists() and self.next.get()[0] == at:
+            self.next.clear()
+        spans = sorted(s[0] for s in self.waiting.keys())
+        for span in [s for s in spans if (s + 1) * self.span <= passed]:
+            ms, ids, values = self.waiting.getValue((span,))
+            self.waiting.removeKey((span,))
+            order = sorted(range(len(ms)), key=lambda i: (ms[i], ids[i]))
+            yield from self.released(key, *([x[i] for i in order] for x in (ms, ids, values)))
+        left = [s for s in spans if (s + 1) * self.span > passed]
+        if left:
+            self._wake(left[0])
+        yield from self.expired(key, passed)
 
     def close(self) -> None:
         pass
 
 
-class Throttle(StatefulProcessor):
-    """Rows of a key that come at least ``gap`` seconds after the last one let through."""
+class Averages(InOrder):
+    """Capped running average of a key's durations in hundredths: 4/5 old and 1/5 new, rounded at each step; negative ones don't count."""
+
+    def __init__(self, cap: float = 60.0, start: float = 30.0, **more):
+        super().__init__(**more)
+        self.cap, self.first = round(100 * cap), round(100 * start)
+
+    def start(self) -> None:
+        self.state = self.handle.getValueState("average", "hundredths long, n long")
+
+    def released(self, key, ms, ids, values):
+        average, n = self.state.get() if self.state.exists() else (self.first, 0)
+        for value in values:
+            if value >= 0:  # null is not
+                average = (2 * (4 * average + min(round(100 * value), self.cap)) + 5) // 10  # fifths are never halves
+                n += 1
+        self.state.update((average, n))
+        yield pd.DataFrame({"action": [key[0]], "ewma": [average / 100], "n": [n]})
+
 
-    def __init__(self, gap: float):
+class Throttle(InOrder):
+    """Rows of a key that come at least ``gap`` milliseconds after the last one let through."""
+
+    def __init__(self, gap: int, **more):
+        super().__init__(**more)
         self.gap = gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "at double")
+    def start(self) -> None:
+        self.state = self.handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        last = self.state.get()[0] if self.state.exists() else None
-        for part in rows:
-            part = part.sort_values(["at", "event_id"])
-            passed = []
-            for at in part["at"]:
-                passed.append(last is None or at - last >= self.gap)
-                last = at if passed[-1] else last
-            part = part[passed]
-            if len(part):
-                yield pd.DataFrame({"user_id": part["user_id"], "event_id": part["event_id"], "at": part["at"]})
-        if last is not None:
-            self.state.update((last,))
+    def released(self, key, ms, ids, values):
+        last, passed = self.state.get()[0] if self.state.exists() else None, []
+        for at, id_ in zip(ms, ids, strict=True):
+            if last is None or at - last >= self.gap:
+                passed.append((key[0], id_, at))
+                last = at
+        self.state.update((last,))
+        if passed:
+            yield pd.DataFrame(passed, columns=["user_id", "event_id", "ms"])
 
-    def close(self) -> None:
-        pass
+
+class Claims(InOrder):
+    """The first ``each`` rows of a key; the state is their number."""
+
+    def __init__(self, each: int, **more):
+        super().__init__(**more)
+        self.each = each
+
+    def start(self) -> None:
+        self.state = self.handle.getValueState("taken", "n long")
+
+    def released(self, key, ms, ids, values):
+        taken = self.state.get()[0] if self.state.exists() else 0
+        new = ids[: max(self.each - taken, 0)]
+        if new:
+            self.state.update((taken + len(new),))
+            yield pd.DataFrame({"event_id": new, "user_id": [key[0]] * len(new)})
 
 
-class Liveness(StatefulProcessor):
-    """A worker that is silent for ``silence`` seconds of event time is reported once, by a timer, and its state goes."""
+class Liveness(InOrder):
+    """A worker that is silent for over ``silence`` milliseconds of event time is reported once for each silence, by the row that ends it or by a timer."""
 
-    def __init__(self, silence: int):
+    def __init__(self, silence: int, **more):
+        super().__init__(**more)
         self.silence = silence
 
+    def start(self) -> None:
+        self.state = self.handle.getValueState("beat", "ms long")
+
+    def _due(self, last: int) -> int:
+        """The end of the span in which the silence after ``last`` is complete: rows before it have been let go by then."""
+        return ((last + self.silence) // self.span + 1) * self.span
+
+    def released(self, key, ms, ids, values):
+        last = self.state.get()[0] if self.state.exists() else None
+        if last is not None and self._due(last) != self._due(ms[-1]):
+            self.handle.deleteTimer(self._due(last))
+        beats = ([] if last is None else [last]) + ms
+        silent = [a for a, b in zip(beats, beats[1:], strict=False) if b - a > self.silence]
+        self.state.update((ms[-1],))
+        self.handle.registerTimer(self._due(ms[-1]))
+        if silent:
+            yield pd.DataFrame({"user_id": [key[0]] * len(silent), "last_ms": silent})
+
+    def expired(self, key, ms):
+        if self.state.exists() and ms >= self._due(self.state.get()[0]):
+            last = self.state.get()[0]
+            self.handle.deleteTimer(self._due(last))
+            self.state.clear()
+            yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last]})
+
+
+class Progress(StatefulProcessor):
+    """The last report of a key, kept for ``keep`` milliseconds of the clock after it came: what is done is forgotten then."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("beat", "ms long")
+        self.state = handle.getValueState("progress", "ms long, id long, n long", ttlDurationMs=self.keep)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        old = self.state.get()[0] if self.state.exists() else 0
-        last = max([old, *(int(part["ms"].max()) for part in rows)])
-        if old:
-            self.handle.deleteTimer(old + self.silence * 1000)
-        self.state.update((last,))
-        self.handle.registerTimer(last + self.silence * 1000)
-        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "last_ms": pd.Series([], dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
-        last = self.state.get()[0]
-        self.state.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last]})
+        ms, id_, n = self.state.get() if self.state.exists() else (-1, -1, 0)
+        for part in rows:
+            n += len(part)
+            ms, id_ = max((ms, id_), max(zip(part["ms"].tolist(), part["event_id"].tolist(), strict=True)))
+        self.state.update((ms, id_, n))
+        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [ms], "event_id": [id_], "reports": [n]})
 
     def close(self) -> None:
         pass
 
 
-@query()
+def _timed(log: Log, *key: str) -> DataFrame:
+    return log.rows.select(*key, "event_id", F.unix_millis("created_at").alias("ms"), "value", "created_at")
+
+
+def in_order(rows: DataFrame, key: str, processor: InOrder, schema: str) -> DataFrame:
+    """What ``processor`` gives for the rows (key, event_id, ms, value, created_at) of each key."""
+    keyed_state(rows.sparkSession)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+@query("""with o as (select event_type, list(value order by ts, event_id) as d from events where value >= 0 group by 1)
+select event_type as action, list_reduce(list_prepend(30.0::double, list_transform(d, lambda x: x::double)), lambda cur, x: round(0.8 * cur + 0.2 * least(x, 60.0), 2)) as ewma, len(d)::bigint as n from o""")
 def str_running_average(spark, sf_dir):
-    """The capped running average of each action, kept as state across batches; the state is two numbers a key."""
-    keyed_state(spark)
-    s = event_stream(spark, sf_dir).groupBy("action").transformWithStateInPandas(Averages(), "action string, ewma double, n long", "Update", "None")
-    return collected(s, "update", ("action",))
+    """The capped running average of each action in order of time, kept as state across batches; beside the rows that wait, the state is two numbers a key."""
+    log = Log(spark, sf_dir)
+    steps = collected(in_order(_timed(log, "action"), "action", Averages(), "action string, ewma double, n long"), log=log)
+    return steps.groupBy("action").agg(F.max_by("ewma", "n").alias("ewma"), F.max("n").alias("n"))
 
 
-@query()
-def str_throttle(spark, sf_dir, gap: float = 7200):
+@query("""with recursive e as (select user_id, (epoch_us(ts) // 1000) as ms, event_id from events), passed as (select user_id, min(struct_pack(ms := ms, id := event_id)) as x from e group by 1
+union all select p.user_id, min(struct_pack(ms := e.ms, id := e.event_id)) from passed p join e on e.user_id = p.user_id and e.ms >= p.x.ms + 7200000 group by p.user_id)
+select user_id, x.id as event_id, x.ms as ms from passed""")
+def str_throttle(spark, sf_dir, gap: int = 7_200_000):
     """Progress reports let through: of each user one in two hours of the log's time, where a live system would take seconds."""
-    keyed_state(spark)
-    e = event_stream(spark, sf_dir).select("user_id", "event_id", F.unix_timestamp("created_at").cast("double").alias("at"))
-    return collected(e.groupBy("user_id").transformWithStateInPandas(Throttle(gap), "user_id long, event_id long, at double", "Append", "None"), "append")
+    log = Log(spark, sf_dir)
+    return collected(in_order(_timed(log, "user_id"), "user_id", Throttle(gap), "user_id long, event_id long, ms long"), log=log)
+
+
+@query("""with e as (select user_id, (epoch_us(ts) // 1000) as ms, lead((epoch_us(ts) // 1000)) over (partition by user_id order by ts, event_id) as next from events) select user_id, ms as last_ms from e where next is null or next - ms > 21600000""")
+def str_liveness(spark, sf_dir, silence: int = 21_600_000):
+    """The last sign of each user before the log hears nothing of them for six hours by its own time: timers, whose state goes with the report."""
+    log = Log(spark, sf_dir)
+    return collected(in_order(_timed(log, "user_id"), "user_id", Liveness(silence), "user_id long, last_ms long"), log=log)
 
 
-@query()
-def str_liveness(spark, sf_dir, silence: int = 21600):
-    """Users of whom the log has heard nothing for six hours by its own time: timers, whose state goes with the report."""
+@query("""select user_id, epoch_us(max(ts)) // 1000 as last_ms, arg_max(event_id, struct_pack(ms := (epoch_us(ts) // 1000), id := event_id)) as event_id, count(*) as reports from events group by 1""")
+def str_progress(spark, sf_dir, keep: int = 300_000, every: int = 2):
+    """The state of each user's work, read every two seconds by the clock and forgotten five minutes after its last report."""
     keyed_state(spark)
-    e = event_stream(spark, sf_dir).withWatermark("created_at", LATE).select("user_id", "created_at", F.unix_millis("created_at").alias("ms"))
-    return collected(e.groupBy("user_id").transformWithStateInPandas(Liveness(silence), "user_id long, last_ms long", "Append", "EventTime"), "append")
+    rows = event_stream(spark, sf_dir).select("user_id", "event_id", F.unix_millis("created_at").alias("ms"))
+    steps = collected(rows.groupBy("user_id").transformWithStateInPandas(Progress(keep), "user_id long, last_ms long, event_id long, reports long", "Append", "ProcessingTime"), every=every)
+    last = steps.groupBy("user_id").agg(F.max(F.struct("reports", "last_ms", "event_id")).alias("x"))
+    return last.select("user_id", "x.last_ms", "x.event_id", "x.reports")
 
 
 @query("""with j as (select *, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type = 'view') select event_id, user_id from j where k <= 2""")
 def str_claims(spark, sf_dir, each: int = 2):
-    """Jobs claimed once: each batch claims the first of each user that no batch before has claimed; the claims are a table, and a repeated
-    batch finds its own. Two jobs a user are taken here."""
-    path = store.new_path(spark, "claims")
-
-    def claim(rows: DataFrame, n: int) -> None:
-        from pyspark.sql.window import Window
-
-        k = F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "event_id"))
-        held = rows.sparkSession.read.schema("event_id long, user_id long, batch long").option("basePath", path).parquet(path).where(F.col("batch") < n) if n else None
-        open_ = rows if held is None else rows.join(held.groupBy("user_id").agg(F.count("*").alias("taken")), "user_id", "left")
-        room = F.lit(each) if held is None else each - F.coalesce("taken", F.lit(0))
-        open_.withColumn("k", k).where(F.col("k") <= room).select("event_id", "user_id").write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    jobs = event_stream(spark, sf_dir).where("action = 'view'").select("event_id", "user_id", "created_at")
-    jobs.writeStream.foreachBatch(claim).option("checkpointLocation", store.new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id long, user_id long").parquet(f"{path}/batch=*")
+    """Jobs claimed once: of each user the first two in order of time; the state is a number a user, and a repeated batch replaces its claims."""
+    log = Log(spark, sf_dir)
+    jobs = _timed(log, "user_id", "action").where("action = 'view' or event_id is null").drop("action")
+    return collected(in_order(jobs, "user_id", Claims(each), "event_id long, user_id long"), log=log)
