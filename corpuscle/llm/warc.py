@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -57,6 +58,8 @@ HEADERS = {"record_id": "warc-record-id", "warc_type": "warc-type", "target_uri"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
 MANIFEST = "_committed"
+#: Names of the writer's own files.
+OWN = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 LEVEL = 1
 AHEAD = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -155,21 +158,24 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = pafs.FileSystem.from_uri(self.path)
+        own: list[tuple[str, int]] = []
         if fs.get_file_info(root).type == pafs.FileType.File:
             found = [(root, fs.get_file_info(root).size)]
         else:
             inside = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File]
             manifests = [i.path for i in inside if i.base_name.startswith(MANIFEST)]
             found = [(i.path, i.size) for i in inside if i.base_name.lower().endswith((".warc.gz", ".warc"))]
-            if manifests:
-                found = []
+            if manifests:  # of the writer's own files those that were committed; beside them other archives
+                found = [(path, size) for path, size in found if not OWN.fullmatch(path.rpartition("/")[2])]
                 for path in manifests:
                     with fs.open_input_stream(path) as file:
-                        found += [(f"{root}/{f['name']}", f["size"]) for f in json.loads(file.read())]
-        ranges = []
+                        own += [(f"{root}/{f['name']}", f["size"]) for f in json.loads(file.read())]
+        ranges = [WarcRange(path, a, min(a + self.split, size)) for path, size in sorted(own) for a in range(0, size, self.split)]
         for path, size in sorted(found):
-            with fs.open_input_file(path) as file:
-                known = file.read(len(MEMBER)) == MEMBER
+            known = False
+            if size > self.split:  # smaller ones are a partition each, of whatever kind
+                with fs.open_input_file(path) as file:
+                    known = file.read(len(MEMBER)) == MEMBER
             ranges += [WarcRange(path, a, min(a + self.split, size)) for a in range(0, size, self.split)] if known else [WarcRange(path, 0, -1)]
         return ranges or [WarcRange("", 0, 0)]
 
@@ -259,14 +265,56 @@ class WarcReader(DataSourceReader):
         if block is not None:
             http, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
             told = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), b"")
-            n = int(told) if told.isdigit() else len(payload)
+            n, sent = int(told) if told.isdigit() else len(payload), payload
             if kind == "revisit":
                 payload = None
-            elif kind in ("response", "resource") and b"\r\ntransfer-encoding:" not in http.lower() and not matches(fields.get("warc-payload-digest"), payload):
-                raise BadWarc("a payload differs from its digest")
+            else:
+                payload = decoded(http, payload)
+                n = n if payload == sent else len(payload)
+                bare = unchunked(sent) if coded(http, b"transfer-encoding") else sent
+                if kind in ("response", "resource") and not any(matches(fields.get("warc-payload-digest"), x) for x in (bare, sent)):
+                    raise BadWarc("a payload differs from its digest")
         return (*(fields.get(h) for h in HEADERS.values()), length, n, payload if self.payload else None)
 
 
+def coded(http: bytes, name: bytes) -> list[bytes]:
+    """The codings that a header of an HTTP head names, in the order they were applied."""
+    found = [x.partition(b":")[2] for x in http.lower().split(b"\r\n")[1:] if x.startswith(name + b":")]
+    return [c for f in found for c in f.replace(b" ", b"").split(b",") if c not in (b"", b"identity")]
+
+
+def unchunked(body: bytes) -> bytes:
+    """A chunked body's bytes; one that isn't in chunks stays as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return body
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def decoded(http: bytes, body: bytes) -> bytes:
+    """A body without the codings that its head names; from one that isn't known here, or fails, on it stays as it is."""
+    if coded(http, b"transfer-encoding")[-1:] == [b"chunked"]:
+        body = unchunked(body)
+    for coding in reversed(coded(http, b"content-encoding")):
+        try:
+            if coding in (b"gzip", b"x-gzip"):
+                body = zlib.decompress(body, 31)
+            elif coding == b"deflate":
+                body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+            else:
+                return body
+        except zlib.error:
+            return body
+    return body
+
+
 def matches(digest: str | None, payload: bytes) -> bool:
     """Whether a payload has this digest; one of an algorithm that isn't known here says nothing."""
     algorithm, _, value = (digest or "").rpartition(":")

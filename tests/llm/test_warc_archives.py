@@ -70,3 +70,32 @@ def test_broken_archives_are_errors(spark, tmp_path):
         (tmp_path / f"{name}.warc").write_bytes(data)
         with pytest.raises(Exception, match="BadWarc"):
             spark.read.format("warc").load(f"file://{tmp_path}/{name}.warc").collect()
+
+
+def test_other_archives_beside_manifests(spark, tmp_path):
+    """Read as well; a file of the writer's own that was not committed is not."""
+    warc.register(spark)
+    path = f"file://{tmp_path}/w"
+    write(spark, [1, 2], path, "append")
+    (tmp_path / "w/other.warc.gz").write_bytes(gzip.compress(standard(b"<p>one</p>", "response", 9)))
+    (tmp_path / f"w/part-{'0' * 32}.warc.gz").write_bytes(b"half of a file that no manifest names")
+    found = spark.read.format("warc").load(path).where(F.col("warc_type") == "response").collect()
+    assert sorted(r["record_id"] for r in found) == sorted([*(f"urn:page:{i}" for i in (1, 2)), "urn:uuid:9"])
+
+
+def test_coded_bodies(spark, tmp_path):
+    """Chunks and content codings go; digests are those of the body as it was sent, or without its chunks."""
+    warc.register(spark)
+    page = b"<p>some page</p>" * 20
+    chunks = lambda b: b"".join(f"{len(b[i : i + 50]):x};x=y\r\n".encode() + b[i : i + 50] + b"\r\n" for i in range(0, len(b), 50)) + b"0\r\n\r\n"
+    cases = [("Transfer-Encoding: chunked", chunks(page), page), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunks(gzip.compress(page)), gzip.compress(page)), ("Content-Encoding: gzip", gzip.compress(page), gzip.compress(page))]
+    cases += [("Content-Encoding: odd", b"as it is", b"as it is"), ("Content-Encoding: gzip", b"no gzip", b"no gzip"), ("Transfer-Encoding: chunked", b"no chunks", b"no chunks")]
+    raw = b""
+    for n, (head, sent, told) in enumerate(cases):
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + sent
+        digest = base64.b32encode(hashlib.sha1(told).digest()).decode()
+        raw += f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(raw)
+    got = spark.read.format("warc").load(f"file://{tmp_path}/a.warc").orderBy("record_id").collect()
+    assert [bytes(r["payload"]) for r in got] == [page, page, page, b"as it is", b"no gzip", b"no chunks"]
+    assert [r["payload_bytes"] for r in got][:3] == [len(page)] * 3
