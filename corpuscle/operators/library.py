@@ -205,11 +205,11 @@ def grf_topic_edges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select(F.col("l_orderkey").alias("file_id"), topics.alias("topic"), F.lit(0.6).alias("weight"), F.lit(0.9).alias("confidence"), F.col("l_linenumber").alias("nth"))
 
 
-@query("""with w as (select doc_id, unnest(list_distinct(list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Z][a-z]{3,}')))) as name from documents where length(text) < 4000), r as (select *, row_number() over (partition by doc_id order by name) as k from w)
+@query("""with w as (select doc_id, unnest(list_distinct(list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Z][a-z]{3,}')))) as name from documents), r as (select *, row_number() over (partition by doc_id order by name) as k from w)
 select doc_id as file_id, name, 'mentions' as edge_type, 0.8::double as weight, 0.7::double as confidence from r where k <= 20""")
 def grf_mentions(spark, sf_dir, most: int = 20):
     """Edges to the entities a text names, twenty at most, each of two letters or more. Capitalised words stand for a model's entities."""
-    d = table(spark, sf_dir, "documents").where("length(text) < 4000")
+    d = table(spark, sf_dir, "documents")
     names = F.slice(F.array_sort(F.array_distinct(F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Z][a-z]{3,}$")))), 1, most)
     found = d.select(F.col("doc_id").alias("file_id"), F.explode(names).alias("name")).where("length(name) >= 2")
     return found.select("file_id", "name", F.lit("mentions").alias("edge_type"), F.lit(0.8).alias("weight"), F.lit(0.7).alias("confidence"))

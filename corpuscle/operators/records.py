@@ -135,7 +135,7 @@ def jn_audit_actor(spark, sf_dir):
 def jn_suggestion_labels(spark, sf_dir):
     """Suggestions with both ends' labels; without either they go."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    joined = s.where("s_acctbal > 0").join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    joined = s.where("s_acctbal > 0").join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
     return joined.select(F.col("s_suppkey").alias("suggestion"), F.col("n_name").alias("source_label"), F.col("r_name").alias("target_label"))
 
 
