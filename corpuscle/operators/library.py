@@ -10,6 +10,7 @@ from corpuscle.functions import scoring, text
 from corpuscle.operators.mutations import json_ids, touching
 from corpuscle.operators.relational import EDGES_SQL, EVENTS_SQL, FILES_SQL
 from corpuscle.plans.views import NODES_SQL, PACKS_SQL
+from corpuscle.sources.documents import outcomes, records_of
 from corpuscle.sources.tables import as_of, cluster_map, edges, events, files, nodes, packs, table
 
 QUERIES: dict = {}
@@ -66,6 +67,19 @@ def que_process(spark, sf_dir):
     return f.select("file_id", status.alias("status"), route["processor"].alias("processor"), route["cost"].alias("cost"), following.alias("next_status"), F.when(F.length("extracted_text") > 20000, "large").alias("warning"))
 
 
+@query(r"""with {FILES_SQL}, j as (select file_id, processing_status as s, processing_status = 'uploaded' as queued, file_id % 17 = 0 as gone, case when trim(extracted_text, e' \n\t\r') = '' then '[Empty file]' else trim(extracted_text, e' \n\t\r') end as t from files)
+select file_id, case when queued and not gone then length(t) else 0 end as chars, case when queued and not gone and length(t) >= 50 and not starts_with(t, '[') then sha256(trim(regexp_replace(lower(t), '\s+', ' ', 'g'))) end as content_hash,
+case when queued and not gone then case when t = '[Empty file]' then 'empty' else 'ok' end end as extraction_status, case when queued and gone then 'error' else s end as processing_status, case when queued and gone then 'raw file gone: ' || file_id || '.txt' end as extract_error from j""".replace("{FILES_SQL}", FILES_SQL))
+def que_run(spark, sf_dir):
+    """Queued jobs run over their raw files, here the documents' texts as text files, of which some are gone: typed records, hashes, statuses and errors."""
+    f = files(spark, sf_dir)
+    name = F.concat(F.col("file_id").cast("string"), F.lit(".txt"))
+    raw = f.where("file_id % 17 <> 0").select(name.alias("path"), name.alias("filename"), F.length("extracted_text").cast("long").alias("length"), F.encode("extracted_text", "utf-8").alias("content"), F.lit("txt").alias("ext"), scoring.route(F.lit("txt")).alias("route"))
+    status = F.when(F.col("processing_status") == "uploaded", "queued").otherwise(F.col("processing_status"))
+    done = outcomes(f.select("file_id", name.alias("raw_name"), status.alias("processing_status")), records_of(raw))
+    return done.select("file_id", F.coalesce(F.length("extracted_text"), F.lit(0)).cast("long").alias("chars"), "content_hash", "extraction_status", "processing_status", "extract_error")
+
+
 #: Average seconds of the three classes of jobs to begin with.
 CLASS_SECONDS = (5, 60, 300)
 

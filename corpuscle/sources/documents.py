@@ -257,11 +257,15 @@ def _named_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
-    """path, filename, ext, length and RECORD's columns of every file below ``path``; vault files are found by their names."""
+    """path, filename, ext, length and RECORD's columns of every file below ``path``."""
+    return records_of(_named_files(spark, path), model)
+
+
+def records_of(named: DataFrame, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """path, filename, ext, length and RECORD's columns of ``named`` (path, filename, length, content, ext, route); vault files are found by their names."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    named = _named_files(spark, path)
     schema = StructType.fromDDL(f"path string, filename string, ext string, length long, {RECORD}")
     target = to_arrow_schema(schema)
 
@@ -299,12 +303,17 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def processed(spark: SparkSession, jobs: DataFrame, path: str, model: Callable[[str, bytes], str] | None = None) -> DataFrame:
-    """``jobs`` (file_id, raw_name, processing_status) after their run: queued ones with what was read of the file of their name below ``path``.
+    """``jobs`` (file_id, raw_name, processing_status) after their run over the files below ``path``; see ``outcomes``."""
+    return outcomes(jobs, records(spark, path, model))
+
+
+def outcomes(jobs: DataFrame, made: DataFrame) -> DataFrame:
+    """``jobs`` (file_id, raw_name, processing_status) after their run: queued ones with what ``made`` (see ``records``) has of the file of their name.
 
     extracted_text, content_hash, extraction_status, extraction_warnings (JSON, null without any), seconds, and the status that follows: uploaded, or
     error with extract_error, as where the file is gone. Other jobs pass as they are, with nulls.
     """
-    made = records(spark, path, model).select(F.col("filename").alias("raw_name"), *(f for f in (x.split()[0] for x in RECORD.split(", "))))
+    made = made.select(F.col("filename").alias("raw_name"), *(f for f in (x.split()[0] for x in RECORD.split(", "))))
     queued = F.col("processing_status") == "queued"
     found = jobs.join(made, "raw_name", "left")
     gone = queued & F.col("status").isNull()

@@ -20,7 +20,7 @@ def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.HAS_LLM == (importlib.util.find_spec("corpuscle.llm") is not None and (ROOT / "corpus_pipeline.py").exists())
     if entry.HAS_LLM:
-        assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11))
+        assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 14))
         assert "pipeline" in entry.queries()
 
 
