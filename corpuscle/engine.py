@@ -152,10 +152,10 @@ class Engine:
         return found.join(self._nodes().select("node", "label").distinct(), "node").select("node", "hop", "label")
 
     def build_graph(self) -> DataFrame:
-        """Nodes of the tenant's files and clusters, with their importance."""
+        """Nodes of the tenant's files, clusters, packs, tags and entities, with their importance."""
         f, clusters = self._files(), self._members().select("cluster_id").distinct()
         own = f.select("file_id").join(tables.tags(self.spark, self.sf_dir), "file_id")
-        return graph.build_nodes(f, clusters, own, own.agg(F.countDistinct("file_id").alias("total")))
+        return graph.build_nodes(f, clusters, own, own.agg(F.countDistinct("file_id").alias("total")), self._packs(), graph.named_entities(f), graph.file_insights(f, tables.as_of()))
 
     def run_organize(self) -> DataFrame:
         """Summaries of the files that have none, with the deterministic summary for a model."""

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.operators.relational import EDGES_SQL, TAG_PAIRS_SQL, TAGS_SQL, tag_pair_classes
-from corpuscle.sources.tables import cluster_map, edges, files, table, tags
+from corpuscle.functions import scoring
+from corpuscle.operators.relational import EDGES_SQL, FILES_SQL, TAG_PAIRS_SQL, TAGS_SQL, tag_pair_classes
+from corpuscle.sources.tables import as_of, cluster_map, edges, files, packs, table, tags
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,26 +26,48 @@ def query(sql: str | None = None):
     return add
 
 
-def build_nodes(files_: DataFrame, clusters: DataFrame, tags_: DataFrame, total: DataFrame) -> DataFrame:
-    """object_type, object_id, label, importance: files, clusters and tags of two files or more."""
+def build_nodes(files_: DataFrame, clusters: DataFrame, tags_: DataFrame, total: DataFrame, packs_: DataFrame, entities: DataFrame, insights: DataFrame) -> DataFrame:
+    """object_type, object_id, label, importance: files (by their insight, 0.5 without one), clusters, packs, tags of two files or more, entities.
+
+    ``packs_``: pack_id, title; ``entities``: name; ``insights``: file_id, importance (0 to 100)."""
     node = lambda df, kind, key, label, weight: df.select(F.lit(kind).alias("object_type"), F.col(key).cast("string").alias("object_id"), label.alias("label"), weight.alias("importance"))
     used = tags_.groupBy("tag").agg(F.countDistinct("file_id").alias("n")).where("n >= 2").withColumn("total", total.scalar())
+    known = files_.join(insights.select("file_id", "importance"), "file_id", "left")
     return (
-        node(files_, "source_file", "file_id", F.col("filename"), F.lit(0.5))
+        node(known, "source_file", "file_id", F.col("filename"), F.coalesce(F.col("importance") / 100, F.lit(0.5)))
         .unionByName(node(clusters, "cluster", "cluster_id", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")), F.lit(0.7)))
+        .unionByName(node(packs_, "context_pack", "pack_id", F.col("title"), F.lit(0.8)))
         .unionByName(node(used, "tag", "tag", F.col("tag"), F.round(F.least(F.lit(0.9), 0.3 + 0.6 * F.col("n") / F.greatest("total", F.lit(1))), 6)))
+        .unionByName(node(entities.select("name").distinct(), "entity", "name", F.col("name"), F.lit(0.6)))
     )
 
 
-@query(f"""with {TAGS_SQL}, n as (select count(distinct file_id) as total from tags)
-select 'source_file' as object_type, doc_id::varchar as object_id, source || '/' || doc_id || '.' || lang as label, 0.5::double as importance from documents
+def named_entities(files_: DataFrame) -> DataFrame:
+    """name: capitalised words of the texts, which stand for a model's entities."""
+    names = F.filter(F.split("extracted_text", " "), lambda x: x.rlike("^[A-Z][a-z]{3,}$"))
+    return files_.select(F.explode(F.array_distinct(names)).alias("name")).distinct()
+
+
+def file_insights(files_: DataFrame, now) -> DataFrame:
+    """file_id, importance of the files that have a summary, at a middling centrality."""
+    score = scoring.importance(F.length("extracted_text"), F.lit(0.5), F.col("uploaded_at"), now, F.col("source_of_truth"), F.lit(0))
+    return files_.where("summarised").select("file_id", score.alias("importance"))
+
+
+@query(f"""with {TAGS_SQL}, n as (select count(distinct file_id) as total from tags), {FILES_SQL},
+ins as (select file_id, greatest(0, least(100, round_even(case when length(extracted_text) = 0 then 0 else least(40.0, 10 * log10(length(extracted_text))) end + 15 + case when d <= 7 then 15.0 when d >= 365 then 0.0 else 15.0 * (1 - (d - 7) / 358.0) end + case when sot then 10 else 0 end, 0)))::int as importance
+ from (select *, floor((epoch(timestamp '2024-02-01') - epoch(uploaded_at)) / 86400) as d from files) where summarised),
+mn as (select distinct unnest(list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Z][a-z]{{3,}}'))) as name from documents)
+select 'source_file' as object_type, f.file_id::varchar as object_id, filename as label, coalesce(importance / 100.0, 0.5)::double as importance from files f left join ins using (file_id)
 union all select 'cluster', label::varchar, 'cluster ' || label, 0.7 from (select distinct label from embeddings)
+union all select 'context_pack', o_orderkey::varchar, 'pack ' || o_orderkey, 0.8 from orders where o_orderkey in (select l_orderkey from lineitem)
+union all select 'entity', name, name, 0.6 from mn
 union all select 'tag', tag, tag, round(least(0.9, 0.3 + 0.6 * count(distinct file_id) / (select total from n)), 6) from tags group by tag having count(distinct file_id) >= 2""")
 def grf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nodes of a graph."""
-    t = tags(spark, sf_dir)
+    """All nodes of a graph, of five kinds; entities are the names that texts hold, and files with a summary have an insight."""
+    t, f = tags(spark, sf_dir), files(spark, sf_dir)
     clusters = cluster_map(spark, sf_dir).select("cluster_id").distinct()
-    return build_nodes(files(spark, sf_dir), clusters, t, t.agg(F.countDistinct("file_id").alias("total")))
+    return build_nodes(f, clusters, t, t.agg(F.countDistinct("file_id").alias("total")), packs(spark, sf_dir), named_entities(f), file_insights(f, as_of()))
 
 
 @query("""select vec_id::varchar as source, label::varchar as target, 'contains' as edge_type, round(abs(embedding[1]), 6) as weight, 1.0::double as confidence from embeddings

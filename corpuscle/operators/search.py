@@ -315,6 +315,38 @@ def sch_batch(spark, sf_dir):
     return found.withColumns({c: F.col(c).cast("long") for c in ("rank", "chunk_index")})
 
 
+def select_sources(index: Index, asked: DataFrame, choose=None, most: int = 4, hits: int = 16) -> DataFrame:
+    """query_id, file_id, mode, place: the sources that an answer to each question of ``asked`` (query_id, user_id, text) is given.
+
+    ``choose`` is a model's choice: a function of the questions and the best chunks of each (see ``batch_search``) that gives such rows, modes being
+    summary, excerpt or raw. Without it, and for questions that it gives nothing for, the files of the best chunks are taken, ``most`` of them, as summaries.
+    """
+    found = batch_search(index, asked, hits)
+    nth = F.row_number().over(Window.partitionBy("query_id", "file_id").orderBy("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    best = found.withColumn("nth", nth).where("nth = 1").withColumn("place", place).where(F.col("place") <= most)
+    fallback = best.select("query_id", "file_id", F.lit("summary").alias("mode"), F.col("place").cast("long").alias("place"))
+    if not choose:
+        return fallback
+    chosen = choose(asked, found).select("query_id", "file_id", "mode", F.col("place").cast("long").alias("place"))
+    return chosen.unionByName(fallback.join(chosen.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+@query(f"""with {CHUNKS_SQL}, aq as materialized (select conv_id as query_id, 'src' || conv_id % 20 as user_id, regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{{0E00}}-\\x{{0E7F}}]+') as t from conversations where turn = 0),
+ut as (select query_id, user_id, unnest(t) as term, len(t) as n from aq), tq as (select query_id, user_id, term, count(*) / any_value(n) as tf from ut group by all), wq as materialized (select query_id, user_id, term, tf * idf as q from tq join idf using (user_id, term)),
+nq as (select query_id, sqrt(sum(q * q)) as qn from wq group by 1), pd as materialized (select p.user_id, p.file_id, p.chunk_index, p.term, p.tf * i.idf as d from postings p join idf i using (user_id, term)),
+nd as (select user_id, file_id, chunk_index, sqrt(sum(d * d)) as dn from pd group by all), dq as (select query_id, user_id, file_id, chunk_index, sum(d * q) as dot from pd join wq using (user_id, term) group by all),
+rq as (select query_id, file_id, chunk_index, row_number() over (partition by query_id order by round(dot / (dn * qn), 6) desc, file_id, chunk_index) as rank from dq join nq using (query_id) join nd using (user_id, file_id, chunk_index) where dot > 0 and qn > 0 and dn > 0),
+bf as (select query_id, file_id, min(rank) as rank from rq where rank <= 16 group by all), pf as (select *, row_number() over (partition by query_id order by rank) as place from bf)
+select query_id, file_id, 'summary' as mode, place from pf where place <= 4""")
+def ret_selection(spark, sf_dir):
+    """Sources of every chat's first question, without a model: the files of the best chunks, as summaries."""
+    from corpuscle.sources.tables import chats
+
+    asked = chats(spark, sf_dir).select(F.col("chat_id").alias("query_id"), "user_id", F.col("question").alias("text"))
+    return select_sources(index_of(spark, sf_dir), asked)
+
+
 _HYBRID_SQL = """s as (select * from st where rank <= {0}), k as (select * from kt where rank <= {0}),
 m as (select coalesce(s.user_id, k.user_id) as user_id, coalesce(s.file_id, k.file_id) as file_id, coalesce(s.chunk_index, k.chunk_index) as chunk_index, round(0.6 * coalesce(s.relevance, 0) + 0.4 * coalesce(k.relevance, 0), 6) as relevance
  from s full join k on s.user_id = k.user_id and s.file_id = k.file_id and s.chunk_index = k.chunk_index),

@@ -86,6 +86,16 @@ def mem_counts(spark, sf_dir):
     return m.withColumn("pins_full", F.col("pinned") >= 3)
 
 
+@query(f"""with {MEMORIES_SQL}, r as (select *, row_number() over (partition by user_id order by updated_at desc, memory_id) as n from memories)
+select user_id, memory_id, title, is_pinned, row_number() over (partition by user_id order by is_pinned desc, n) as place from r where is_pinned or n = 1""")
+def mem_profile_bundle(spark, sf_dir):
+    """What a profile carries of its memories: the pinned ones, newest first, and the latest one if it is not pinned; titles, no contents."""
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "memory_id"))
+    m = memories(spark, sf_dir).withColumn("n", newest).where("is_pinned or n = 1")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("is_pinned"), "n"))
+    return m.select("user_id", "memory_id", "title", "is_pinned", place.cast("long").alias("place"))
+
+
 @query(f"""with {FILES_SQL}, r as (select *, strlen(extracted_text) / 1024.0 as kb, row_number() over (partition by user_id order by file_id) as k, sum(strlen(extracted_text)) over (partition by user_id order by file_id rows unbounded preceding) as total from files)
 select file_id, case when extracted_text = '' then 'empty' when kb > 20 then 'too_large' when k > 50 then 'too_many' when total > 100000 then 'storage_full' else 'ok' end as verdict from r""")
 def ten_upload_allowed(spark, sf_dir):
