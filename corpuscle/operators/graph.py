@@ -26,6 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
+#: Importance of the files that have a summary, at a middling centrality.
+INSIGHTS_SQL = """ins as (select file_id, greatest(0, least(100, round_even(case when length(extracted_text) = 0 then 0 else least(40.0, 10 * log10(length(extracted_text))) end + 15 + case when d <= 7 then 15.0 when d >= 365 then 0.0 else 15.0 * (1 - (d - 7) / 358.0) end + case when sot then 10 else 0 end, 0)))::int as importance
+ from (select *, floor((epoch(timestamp '2024-02-01') - epoch(uploaded_at)) / 86400) as d from files) where summarised)"""
+
+
 def build_nodes(files_: DataFrame, clusters: DataFrame, tags_: DataFrame, total: DataFrame, packs_: DataFrame, entities: DataFrame, insights: DataFrame) -> DataFrame:
     """object_type, object_id, label, importance: files (by their insight, 0.5 without one), clusters, packs, tags of two files or more, entities.
 
@@ -55,8 +60,7 @@ def file_insights(files_: DataFrame, now) -> DataFrame:
 
 
 @query(f"""with {TAGS_SQL}, n as (select count(distinct file_id) as total from tags), {FILES_SQL},
-ins as (select file_id, greatest(0, least(100, round_even(case when length(extracted_text) = 0 then 0 else least(40.0, 10 * log10(length(extracted_text))) end + 15 + case when d <= 7 then 15.0 when d >= 365 then 0.0 else 15.0 * (1 - (d - 7) / 358.0) end + case when sot then 10 else 0 end, 0)))::int as importance
- from (select *, floor((epoch(timestamp '2024-02-01') - epoch(uploaded_at)) / 86400) as d from files) where summarised),
+{INSIGHTS_SQL},
 mn as (select distinct unnest(list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Z][a-z]{{3,}}'))) as name from documents)
 select 'source_file' as object_type, f.file_id::varchar as object_id, filename as label, coalesce(importance / 100.0, 0.5)::double as importance from files f left join ins using (file_id)
 union all select 'cluster', label::varchar, 'cluster ' || label, 0.7 from (select distinct label from embeddings)

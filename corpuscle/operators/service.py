@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscle.functions import scoring, text
+from corpuscle.operators.graph import INSIGHTS_SQL, file_insights
 from corpuscle.operators.ordered import folded
 from corpuscle.operators.relational import EVENTS_SQL, FILES_SQL, MEMORIES_SQL, USERS_SQL
-from corpuscle.sources.tables import as_of, events, files, memories, table, users
+from corpuscle.sources.tables import as_of, cluster_map, events, files, memories, packs, table, users
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,6 +87,31 @@ def mem_counts(spark, sf_dir):
     return m.withColumn("pins_full", F.col("pinned") >= 3)
 
 
+@query(f"""with {FILES_SQL}, {INSIGHTS_SQL}, c as (select vec_id as file_id, label from embeddings)
+select f.user_id, 'file' as kind, f.file_id::varchar as id, '- ' || filename || ' (cluster: ' || coalesce('cluster ' || label, '-') || ', importance: ' || case when importance >= 70 then 'high' when importance >= 40 or importance is null then 'medium' else 'low' end || case when sot then ', trusted' else '' end || ')' as line
+ from files f left join c using (file_id) left join ins using (file_id)
+union all select f.user_id, 'cluster', label::varchar, '- cluster ' || label || ' (' || count(*) || ' files)' from files f join c using (file_id) group by f.user_id, label
+union all select 'src' || o_orderkey % 20, 'pack', o_orderkey::varchar, '- pack ' || o_orderkey || ' (' || count(distinct l_partkey) || ' sources' || case when o_orderkey % 9 = 0 then ', locked' else '' end || ')' from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
+def ret_inventory_lines(spark, sf_dir):
+    """All that a tenant has, as lines for a model that chooses sources: files with cluster, importance and trust, clusters with their size, packs with
+    theirs. A row a line, so that no tenant's inventory is one value."""
+    f = files(spark, sf_dir)
+    members = cluster_map(spark, sf_dir).select("file_id", "cluster_id")
+    text_ = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    label = F.when(F.col("importance").isNull(), "medium").otherwise(scoring.importance_label(F.col("importance")))
+    cluster = F.coalesce(text_("cluster ", F.col("cluster_id").cast("string")), F.lit("-"))
+    known = f.join(members, "file_id", "left").join(file_insights(f, as_of()), "file_id", "left")
+    trust = F.when(F.col("source_of_truth"), ", trusted").otherwise("")
+    file_lines = known.select("user_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("id"), text_("- ", F.col("filename"), " (cluster: ", cluster, ", importance: ", label, trust, ")").alias("line"))
+    sizes = f.join(members, "file_id").groupBy("user_id", "cluster_id").agg(F.count("*").alias("n"))
+    name = F.col("cluster_id").cast("string")
+    cluster_lines = sizes.select("user_id", F.lit("cluster").alias("kind"), name.alias("id"), text_("- cluster ", name, " (", F.col("n").cast("string"), " files)").alias("line"))
+    p = packs(spark, sf_dir).withColumn("n", F.size(F.from_json("source_file_ids", "array<long>")))
+    locked = F.when(F.col("is_locked"), ", locked").otherwise("")
+    pack_lines = p.select("user_id", F.lit("pack").alias("kind"), F.col("pack_id").cast("string").alias("id"), text_("- ", F.col("title"), " (", F.col("n").cast("string"), " sources", locked, ")").alias("line"))
+    return file_lines.unionByName(cluster_lines).unionByName(pack_lines)
+
+
 @query(f"""with {MEMORIES_SQL}, r as (select *, row_number() over (partition by user_id order by updated_at desc, memory_id) as n from memories)
 select user_id, memory_id, title, is_pinned, row_number() over (partition by user_id order by is_pinned desc, n) as place from r where is_pinned or n = 1""")
 def mem_profile_bundle(spark, sf_dir):
