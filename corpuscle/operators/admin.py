@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from corpuscle.functions import scoring, text
 from corpuscle.operators.mutations import json_ids
 from corpuscle.operators.relational import EDGES_SQL, EVENTS_SQL, FILES_SQL, MEMORIES_SQL, USERS_SQL
 from corpuscle.plans.views import CHATS_SQL, NODES_SQL, PACKS_SQL, SUGGESTIONS_SQL, TOKENS_SQL
-from corpuscle.sources.tables import as_of, chats, edges, events, files, memories, nodes, packs, profiles, suggestions, table, tokens, users
+from corpuscle.sources.tables import as_of, chats, cluster_map, edges, events, files, memories, nodes, packs, profiles, suggestions, table, tenant_edges, tokens, users
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -147,7 +149,8 @@ def jn_link_labels(spark, sf_dir):
 linked as (select distinct l_orderkey % 2000 as a, l_partkey as b from lineitem)
 select p.label, p.id, c.first_id, c.members, exists (select 1 from linked l where (l.a = p.id and l.b = c.first_id) or (l.a = c.first_id and l.b = p.id)) as linked from p join c using (label)""")
 def jn_same_label_classes(spark, sf_dir):
-    """Entities of one label as classes with their first member, and which are linked to it already; all other pairs follow from the class."""
+    """Entities of one label as classes with their first member, and which are linked to it already; all other pairs follow
+    from the class, but for those that jn_same_label_known has."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label"))
     c = p.groupBy("label").agg(F.min("id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
     links = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2000).alias("a"), F.col("l_partkey").alias("b")).distinct()
@@ -155,6 +158,18 @@ def jn_same_label_classes(spark, sf_dir):
     return p.join(c, "label").join(both, ["id", "first_id"], "left").select("label", "id", "first_id", "members", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
+@query("""with p as (select p_partkey as id, lower(p_name) as label from part), linked as (select distinct l_orderkey % 2000 as a, l_partkey as b from lineitem)
+select distinct x.label, least(a, b) as a_id, greatest(a, b) as b_id from linked join p x on x.id = a join p y on y.id = b and y.label = x.label where a <> b""")
+def jn_same_label_known(spark, sf_dir):
+    """The exceptions to jn_same_label_classes: any two members of a class that are linked already, either way, the smaller id first."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label"))
+    links = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2000).alias("a"), F.col("l_partkey").alias("b")).where("a <> b")
+    pairs = links.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id")).distinct()
+    ends = lambda name: p.select(F.col("id").alias(name), F.col("label").alias(f"label_{name}"))
+    found = pairs.join(ends("a_id"), "a_id").join(ends("b_id"), "b_id").where("label_a_id = label_b_id")
+    return found.select(F.col("label_a_id").alias("label"), "a_id", "b_id")
+
+
 @query(f"""with {FILES_SQL}, local as (select file_id, file_id || '_' || filename as name, extracted_text from files where file_id % 3 <> 0), listed as (select 'x' || file_id as drive_id, file_id || '_' || filename as name from files where file_id % 4 = 1)
 select file_id, drive_id, case when drive_id is not null then 'relinked' when extracted_text = '' then 'error' else 'pushed' end as fate from local left join listed using (name)""")
 def jn_push_set(spark, sf_dir):
@@ -211,15 +226,23 @@ def agg_subscriptions(spark, sf_dir):
     return users(spark, sf_dir).agg(F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("inactive"), status("starter_active").alias("paying"), status("starter_past_due").alias("past_due"), status("starter_canceled").alias("canceled"))
 
 
-@query(f"""with {FILES_SQL}, {PACKS_SQL}, {SUGGESTIONS_SQL}, {TOKENS_SQL}, u as (select distinct user_id from files)
+@query(f"""with {FILES_SQL}, {PACKS_SQL}, {SUGGESTIONS_SQL}, {TOKENS_SQL}, u as (select distinct user_id from files),
+te as (select distinct 'src' || l_orderkey % 20 as user_id, 'o' || l_orderkey as source, 'p' || l_partkey as target from lineitem union select distinct 'src' || l_orderkey % 20, 'p' || l_partkey, 's' || l_suppkey from lineitem),
+ne as (select user_id, count(*) as n from te group by 1), nn as (select user_id, count(*) as n from (select user_id, source as node from te union select user_id, target from te) group by 1),
+nc as (select user_id, count(distinct label) as n from files join embeddings on vec_id = file_id group by 1)
 select user_id, (select count(*) from files f where f.user_id = u.user_id) as files, (select count(*) from packs p where p.user_id = u.user_id) as packs,
-(select count(*) from suggestions s where s.user_id = u.user_id and status = 'pending') as pending, (select count(*) from tokens t where t.user_id = u.user_id and revoked_at is null) as tokens from u""")
+(select count(*) from suggestions s where s.user_id = u.user_id and status = 'pending') as pending, (select count(*) from tokens t where t.user_id = u.user_id and revoked_at is null) as tokens,
+coalesce(nc.n, 0) as clusters, coalesce(nn.n, 0) as nodes, coalesce(ne.n, 0) as edges from u left join nc using (user_id) left join nn using (user_id) left join ne using (user_id)""")
 def agg_tenant_overview(spark, sf_dir):
-    """A row of counts for each tenant, of one aggregate over all entities."""
+    """A row of seven counts for each tenant, of one aggregate over all entities."""
     one = lambda df, what: df.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", F.lit(what).alias("what"), "n")
-    f = one(files(spark, sf_dir), "files")
-    rows = f.unionByName(one(packs(spark, sf_dir), "packs")).unionByName(one(suggestions(spark, sf_dir).where("status = 'pending'"), "pending")).unionByName(one(tokens(spark, sf_dir).where("revoked_at is null"), "tokens"))
-    totals = [F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in ("files", "packs", "pending", "tokens")]
+    own, e = files(spark, sf_dir), tenant_edges(spark, sf_dir)
+    f = one(own, "files")
+    clusters = own.select("user_id", "file_id").join(cluster_map(spark, sf_dir), "file_id").select("user_id", "cluster_id").distinct()
+    nodes = e.select("user_id", F.explode(F.array("source", "target")).alias("node")).distinct()
+    counted = {"packs": packs(spark, sf_dir), "pending": suggestions(spark, sf_dir).where("status = 'pending'"), "tokens": tokens(spark, sf_dir).where("revoked_at is null"), "clusters": clusters, "nodes": nodes, "edges": e}
+    rows = reduce(DataFrame.unionByName, [f, *(one(df, what) for what, df in counted.items())])
+    totals = [F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in ("files", *counted)]
     return rows.groupBy("user_id").agg(*totals).join(f.select("user_id"), "user_id", "left_semi")
 
 
