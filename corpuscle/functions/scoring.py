@@ -12,19 +12,21 @@ PLAN_LIMITS = {
     "admin": {"files": 999999, "packs": 999999, "storage_mb": 999999, "file_mb": 999999, "summaries": 999999, "exports": 999999, "refreshes": 999999, "shares": 999999, "queue": 200},
 }
 #: File types by the class of their extraction.
-FAST_TYPES = (
-    "txt md csv png jpg jpeg webp heic heif gif bmp tiff tif py js ts jsx tsx css scss less sass xml yaml yml toml ini env conf cfg sh bash zsh bat ps1 sql java kt swift c cpp h hpp cs go rs rb php log tsv vue svelte json html rtf"
-).split()
-DOC_TYPES = "pdf docx xlsx pptx".split()
+FAST_TYPES = [
+    "txt", "md", "csv", "png", "jpg", "jpeg", "webp", "heic", "heif", "gif", "bmp", "tiff", "tif", "py", "js", "ts", "jsx", "tsx", "css", "scss",
+    "less", "sass", "xml", "yaml", "yml", "toml", "ini", "env", "conf", "cfg", "sh", "bash", "zsh", "bat", "ps1", "sql", "java", "kt", "swift", "c",
+    "cpp", "h", "hpp", "cs", "go", "rs", "rb", "php", "log", "tsv", "vue", "svelte", "json", "html", "rtf",
+]
+DOC_TYPES = ["pdf", "docx", "xlsx", "pptx"]
 #: Processors by file type: processor, fallback, cost in hundredths, types.
 ROUTES = (
-    ("local", None, 0, "txt md csv log rst".split()),
-    ("local", None, 6, "docx pptx xlsx".split()),
-    ("local", None, 0, "html htm json rtf xml".split()),
+    ("local", None, 0, ["txt", "md", "csv", "log", "rst"]),
+    ("local", None, 6, ["docx", "pptx", "xlsx"]),
+    ("local", None, 0, ["html", "htm", "json", "rtf", "xml"]),
     ("local", None, 0, ["pdf"]),
-    ("ai_ingest", "vault", 20, "mp3 wav m4a ogg flac aac wma".split()),
-    ("ai_ingest", "vault", 100, "mp4 mov webm mkv avi wmv flv".split()),
-    ("ai_ingest", "ocr", 2, "jpg jpeg png webp gif bmp tiff heic heif".split()),
+    ("ai_ingest", "vault", 20, ["mp3", "wav", "m4a", "ogg", "flac", "aac", "wma"]),
+    ("ai_ingest", "vault", 100, ["mp4", "mov", "webm", "mkv", "avi", "wmv", "flv"]),
+    ("ai_ingest", "ocr", 2, ["jpg", "jpeg", "png", "webp", "gif", "bmp", "tiff", "heic", "heif"]),
 )
 
 
