@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.operators.relational import FILES_SQL
@@ -80,6 +80,15 @@ def embedded(docs: DataFrame, cache: Versions, model: str = "token-shares", embe
     return found.select("file_id", "vector", fate.alias("fate"))
 
 
+def shares_text(vector) -> Column:
+    """The positive components of a vector by their digits, to five places, as SQL writes doubles: exponents below 1e-4 alone, and of two digits."""
+    digit = lambda i: F.substring(F.lit("0123456789abcdef"), i + 1, 1)
+    plain = lambda v: F.regexp_replace(v.cast("decimal(20,5)").cast("string"), r"(\.\d+?)0+$", "$1")
+    small = lambda v: F.concat(F.round(v * 100000).cast("long").cast("string"), F.lit("e-05"))
+    number = lambda v: F.when((v > 0) & (v < 0.0001), small(v)).otherwise(plain(v))
+    return F.array_join(F.filter(F.transform(vector, lambda v, i: F.when(v > 0, F.concat(digit(i), F.lit(":"), number(F.round(v, 5))))), lambda s: s.isNotNull()), " ")
+
+
 _SHARES_SQL = """tk as (select file_id, unnest(regexp_extract_all(lower(extracted_text), '[a-z0-9]+')) as token from files),
 ct as (select file_id, md5(token)[1] as digit, count(*) as n from tk group by all), nm as (select file_id, sqrt(sum(n * n)) as size from ct group by 1),
 vc as (select file_id, string_agg(digit || ':' || round(n / size, 5), ' ' order by digit) as vector from ct join nm using (file_id) group by 1)"""
@@ -93,6 +102,4 @@ def emb_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).where("file_kind = 'processed'")
     embedded(f.where("file_id % 2 = 1"), cache)
     found = embedded(f, cache)
-    digit = lambda i: F.substring(F.lit("0123456789abcdef"), i + 1, 1)
-    shares = F.filter(F.transform("vector", lambda v, i: F.when(v > 0, F.concat(digit(i), F.lit(":"), F.round(v, 5).cast("string")))), lambda s: s.isNotNull())
-    return found.select("file_id", F.array_join(shares, " ").alias("vector"), "fate")
+    return found.select("file_id", shares_text("vector").alias("vector"), "fate")

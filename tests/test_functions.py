@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions import scoring, text
+from corpuscle.operators.embedding import shares_text
 from corpuscle.operators.graph import neighbourhood, sweep
 from corpuscle.operators.service import budget_fold
 from corpuscle.operators.vectors import dimensions
@@ -65,6 +67,19 @@ def test_chunks():
     assert text.search_chunks("a" * 600 + "\n\n" + "b" * 20) == ["a" * 600, "b" * 20]
 
 
+def test_a_text_of_exactly_a_chunk_goes_by_sentences():
+    """As in SQL, line ends between sentences become blanks from a chunk's length on."""
+    for whole in ("a" * 300 + ".\n" + "b" * 198, "a" * 300 + ".\n" + "b" * 197 + " "):
+        assert len(whole) == 500 and text.search_chunks(whole) == [whole.replace("\n", " ").strip()]
+
+
+def test_shares_are_written_as_in_sql(spark):
+    vector = [0.00089, 0.00004999, 1.0, 0.235, 0.0, 0.0001, 0.000001]
+    row = spark.createDataFrame([(vector,)], "v array<double>").select(shares_text("v").alias("t")).first()
+    said = [f"{i:x}:{duckdb.sql(f'select round({v}::double, 5)::varchar').fetchall()[0][0]}" for i, v in enumerate(vector) if v > 0]
+    assert row["t"] == " ".join(said)
+
+
 def test_long_chunks(spark):
     n = lambda k: [len(c) for c in value(spark, text.long_chunks(F.lit("x" * k)))]
     assert n(0) == [0]
