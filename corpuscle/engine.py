@@ -57,7 +57,7 @@ class Engine:
 
     def _index(self) -> search.Index:
         """The tenant's part of the stored index."""
-        return search.Index(*map(self._own, search.index_of(self.spark, self.sf_dir)))
+        return search.index_of(self.spark, self.sf_dir).of(self._own)
 
     # Files
 
