@@ -131,3 +131,9 @@ def test_age_is_floored(spark):
     assert value(spark, scoring.age_days(at, now)) == 1
 
 
+
+
+def test_long_chunks_cut_a_text_once(spark):
+    """Functions over arrays have no common subexpressions: a chunk's overlap must not cut the whole text again."""
+    plan = spark.createDataFrame([("a",)], "t string").select(text.long_chunks(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
