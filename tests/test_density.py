@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpuscle.operators import density, neighbours, ordered
+from corpuscle.functions import scoring
+from corpuscle.operators import density, neighbours, ordered, vectors
 
 
 def plain_lists(rows, k):
@@ -161,6 +163,29 @@ def test_exact_lists_equal_all_pairs(spark, monkeypatch):
     assert sorted((r["tenant"], r["a"], r["b"], r["rank"]) for r in got) == sorted((t, a, b, n) for t, a, b, _, n in want)
 
 
+def test_exact_blocks_are_few(spark):
+    """A row moves once for each block of its tenant: their number must not follow the rows where a task can hold more."""
+    got = spark.createDataFrame([(n,) for n in (1, 1024, 5000, 65536, 150000)], "n long").select(neighbours.exact_blocks(F.col("n")).alias("b")).collect()
+    assert [r["b"] for r in got] == [1, 1, 4, 4, 10]
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """Blocks of queries are groups of one join, not branches of the plan; null, zero, odd and unlike vectors rank as with ``scoring.cosine``."""
+    for name, size in (("QUERY_BLOCK", 4), ("VECTOR_BLOCK", 7), ("AT_ONCE", 40)):
+        monkeypatch.setattr(vectors, name, size)
+    r = random.Random(5)
+    rows = [(i, [float(r.randint(-4, 4)) for _ in range(3)]) for i in range(30)] + [(30, None), (31, [0.0, 0.0, 0.0]), (32, [1.0, None, 2.0]), (33, [1.0, 2.0]), (34, [math.nan, 1.0, 1.0]), (35, [1.0, 2.0, 3.0]), (36, [2.0, 4.0, 6.0]), (37, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id % 3 = 0 or vec_id > 29")
+    found = vectors.nearest(v, asked, 5)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    near = F.round(scoring.cosine(F.col("embedding"), F.col("q")), 5)
+    pairs = v.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", near.alias("similarity"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where("rank <= 5")
+    plain = lambda df: sorted((x["query_id"], x["rank"], x["vec_id"], str(x["similarity"])) for x in df.collect())
+    assert plain(found) == plain(want)
+
+
 def test_approximate_lists_find_nine_in_ten(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.lit("all").alias("tenant"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     best = lambda g: {(r["a"], r["b"]) for r in g.where("rank <= 10").collect()}
