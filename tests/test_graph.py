@@ -24,3 +24,11 @@ def test_every_new_link_follows_from_classes_and_known_relations(spark):
     assert got == want
     assert (101, 102) in got
     assert (100, 101) not in got
+
+
+def test_neighbourhoods_take_the_frontier_to_the_edges(spark):
+    """Edges are not dealt out for a frontier of a few nodes: joins with it broadcast it, below what makes the edges."""
+    from corpuscle.operators.graph import QUERIES
+
+    plan = QUERIES["grf_neighbourhood_edges"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
