@@ -1,8 +1,8 @@
 """The training-data pipeline: stages that each read what the one before wrote.
 
 1. language_id: documents without a letter, or without a language that is likelier than all others together, go.
-2. near_dedup: of each component of near copies (a Jaccard similarity of five-word shingles of 0.8 or more), one document stays: of those with the
-   component's smallest doc_id, nulls last, the first by text hash.
+2. near_dedup: of each component of near copies, one document stays: of those with the component's smallest doc_id, nulls last, the first by text hash.
+   Components are those of op10's SimHash fingerprints; among what these leave, those of a Jaccard similarity of five-word shingles of 0.8 or more.
 3. suffix_dedup: passages of over 50 words that occur elsewhere too are cut, wherever they stand; documents stay.
 4. mixing: documents are repeated, cut or left out until sources have their target weights.
 5. bpe: the texts as token ids.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpuscle.llm import bpe, language_id, mixing, near_copies, suffix_dedup
+from corpuscle.llm import bpe, language_id, mixing, near_copies, simhash, suffix_dedup
 from corpuscle.llm.tables import keep, map_slices, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,11 +52,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = ["_unnamed", "_id", "_hash"]  # of the join and of the window, so that texts move once
     docs = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("_unnamed"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    with scratch(spark):
-        names = near_copies.near_copies(docs).groupBy("root").agg(F.min(rank).alias("least"))
-        names = names.select(F.col("least.unnamed").alias("_unnamed"), F.coalesce("least.doc_id", F.lit(0)).alias("_id"), F.col("least.text_hash").alias("_hash"))
-        names = keep(names, "names", outer=True)
-    kept = docs.join(names, key, "left_semi")
+    kept = docs
+    for near in (simhash.near_copies, near_copies.near_copies):
+        with scratch(spark):
+            names = near(kept).groupBy("root").agg(F.min(rank).alias("least"))
+            names = names.select(F.col("least.unnamed").alias("_unnamed"), F.coalesce("least.doc_id", F.lit(0)).alias("_id"), F.col("least.text_hash").alias("_hash"))
+            names = keep(names, "names", outer=True)
+        kept = docs.join(names, key, "left_semi")
     # Rows of one id and text: the first stays. Elsewhere windows hold one row.
     order = Window.partitionBy(*key).orderBy("text", "source", "lang", "n_chars")
     return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*COLUMNS)

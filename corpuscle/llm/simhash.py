@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuscle.llm.tables import keep, load, map_texts
+from corpuscle.llm.tables import keep, load, map_slices, map_texts
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -190,6 +191,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (Spark's), root: the component of every row of ``docs``, by fingerprints as in ``near_duplicates``."""
+    schema = T.StructType.fromDDL("doc_id long, text_hash long, fp long")
+
+    def rows(part: pa.RecordBatch) -> dict:
+        return {"doc_id": part.column(0), "text_hash": part.column(1), "fp": np.array([fingerprint(t) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)}
+
+    fps = keep(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), schema, rows), "fingerprints")
+    roots = components(links(fps)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -53,3 +53,13 @@ def test_warc_equals_sql(spark, sf):
     key = lambda r: [x or "" for x in r]
     got, want = registry.queries()["op6_warc"](spark, sf).toPandas(), con.sql(registry.oracle_sql()["op6_warc"]).df()
     assert sorted(map(key, rows(got))) == sorted(map(key, rows(want)))
+
+
+def test_near_dedup_goes_by_fingerprints_and_by_sets(spark):
+    """Texts 1 and 2 have one SimHash and unlike sets of shingles; 3 and 4 have like sets; 5 is alone."""
+    tail = lambda name: " ".join(f"{name}{i}" for i in range(20))
+    long = [f"word{i}" for i in range(300)]
+    texts = [f"{'w ' * 100}{tail('x')}", f"{'w ' * 100}{tail('y')}", " ".join(long), " ".join([*long[:150], "other", *long[151:]]), tail("z")]
+    assert simhash.fingerprint(texts[0]) == simhash.fingerprint(texts[1])
+    docs = spark.createDataFrame([(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 3, 5]
