@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import pytest
+
+from corpuscle.operators import graph
 from corpuscle.operators.graph import known_suggestions
 from corpuscle.operators.relational import tag_pair_classes
 
@@ -32,3 +35,23 @@ def test_neighbourhoods_take_the_frontier_to_the_edges(spark):
 
     plan = QUERIES["grf_neighbourhood_edges"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_suggestions_move_links_once(spark, broadcast):
+    """Sets of tags were made three times and moved with each link."""
+    rng = random.Random(4)
+    tags = {i: sorted(rng.sample(range(9), rng.randrange(0, 6))) for i in range(150)}
+    known = [(rng.randrange(150), rng.randrange(150)) for _ in range(3000)] + [(None, 3)]
+    first = {}
+    for i, ts in tags.items():
+        for pair in combinations(ts, 2):
+            first.setdefault(pair, i)
+    links = {(first[p], i) for i, ts in tags.items() for p in combinations(ts, 2) if first[p] != i} - set(known)
+    want = {(s, t, len(set(tags[s]) & set(tags[t]))) for s, t in links}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = graph.suggested(spark.createDataFrame(list(tags.items()), "file_id long, ts array<long>"), spark.createDataFrame(known, "source long, target long"))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want) and max(w[2] for w in want) > 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
