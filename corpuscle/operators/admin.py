@@ -12,6 +12,7 @@ from corpuscle.functions import scoring, text
 from corpuscle.operators.mutations import json_ids
 from corpuscle.operators.relational import EDGES_SQL, EVENTS_SQL, FILES_SQL, MEMORIES_SQL, USERS_SQL
 from corpuscle.plans.views import CHATS_SQL, NODES_SQL, PACKS_SQL, SUGGESTIONS_SQL, TOKENS_SQL
+from corpuscle.sources import store
 from corpuscle.sources.tables import as_of, chats, cluster_map, edges, events, files, memories, nodes, packs, profiles, suggestions, table, tenant_edges, tokens, users
 
 QUERIES: dict = {}
@@ -152,10 +153,19 @@ def jn_same_label_classes(spark, sf_dir):
     """Entities of one label as classes with their first member, and which are linked to it already; all other pairs follow
     from the class, but for those that jn_same_label_known has."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label"))
-    c = p.groupBy("label").agg(F.min("id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
-    links = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2000).alias("a"), F.col("l_partkey").alias("b")).distinct()
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().select(F.col("a").alias("id"), F.col("b").alias("first_id"), F.lit(True).alias("linked"))
-    return p.join(c, "label").join(both, ["id", "first_id"], "left").select("label", "id", "first_id", "members", F.coalesce("linked", F.lit(False)).alias("linked"))
+    return with_links(p, table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2000).alias("a"), F.col("l_partkey").alias("b")))
+
+
+def with_links(entities: DataFrame, links: DataFrame) -> DataFrame:
+    """label, id, first_id, members, linked: ``entities`` (id, label) of labels that several have; whether ``links`` (a, b) has one, either way, between
+    it and the first. Links are looked at where they lie: those that don't end at a first member go before anything is counted or moved, as classes are a
+    table of known size."""
+    counted = entities.groupBy("label").agg(F.min("id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
+    classes = store.write_table(counted, store.new_path(entities.sparkSession, "classes"))
+    way = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("first_id"))
+    both = links.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("x")).select("x.*")
+    found = both.join(classes.select("first_id"), "first_id", "left_semi").distinct().select("id", "first_id", F.lit(True).alias("linked"))
+    return entities.join(classes, "label").join(found, ["id", "first_id"], "left").select("label", "id", "first_id", "members", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 @query("""with p as (select p_partkey as id, lower(p_name) as label from part), linked as (select distinct l_orderkey % 2000 as a, l_partkey as b from lineitem)

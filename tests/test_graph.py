@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from corpuscle.operators import graph
+from corpuscle.operators import admin, graph
 from corpuscle.operators.graph import known_suggestions
 from corpuscle.operators.relational import tag_pair_classes
 
@@ -37,6 +37,45 @@ def test_neighbourhoods_take_the_frontier_to_the_edges(spark):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of ``df`` write, once it has run."""
+    df.collect()
+    found, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            open_.append(node.plan())
+        else:
+            if name == "Exchange":
+                found += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            open_ += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_links_to_first_members_of_label_classes(spark, broadcast):
+    """All links were turned both ways and dealt out; those that end at no first member needn't move."""
+    rng = random.Random(3)
+    entities = [(i, f"name {i % 7}" if i < 60 else f"own {i}") for i in range(200)] + [(300, None), (301, None)]
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(6000)] + [(0, 0), (None, 1), (300, 301)]
+    pairs, first = set(links), {}
+    for i, label in entities:
+        first.setdefault(label, []).append(i)
+    want = {(label, i, ids[0], len(ids), (i, ids[0]) in pairs or (ids[0], i) in pairs) for label, ids in first.items() if label and len(ids) > 1 for i in ids}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = admin.with_links(spark.createDataFrame(entities, "id long, label string"), spark.createDataFrame(links, "a long, b long"))
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) and {w[4] for w in want} == {True, False}
+        if broadcast != "-1":
+            assert shuffled_rows(found) < len(links) / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("broadcast", ["10m", "-1"])
 def test_suggestions_move_links_once(spark, broadcast):
     """Sets of tags were made three times and moved with each link."""
