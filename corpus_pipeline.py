@@ -80,7 +80,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = bpe.vocabulary_path()
 
     def encoded(rows: pa.RecordBatch) -> dict:
-        ids = [bpe.encoder(path).encode(t) for t in rows.column(3).to_pylist()]
+        ids = [bpe.encoder(path).ids(t) for t in rows.column(3).to_pylist()]
         return {"doc_id": rows.column(0), "source": rows.column(1), "lang": rows.column(2), "ids": ids, "n_tokens": [len(x) for x in ids]}
 
     kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "source", "lang", "text")

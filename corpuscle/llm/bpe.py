@@ -24,6 +24,7 @@ import json
 import operator
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, models
 
@@ -83,6 +84,7 @@ class ForcedBoundaryBpe:
         self.pairs = {a + b for t in vocab for w in [t.removesuffix(self.end)] for a, b in zip(w, w[1:], strict=False)}
         self.tokens = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         self.known = _Words(self.word_strings, cache)
+        self.packed = _Words(self.word_bytes, cache)
 
     def words(self, text: str) -> list[str]:
         """Normalised words of ``text``, as the file's splitter forms them; special tokens as they stand."""
@@ -118,9 +120,16 @@ class ForcedBoundaryBpe:
         ids = self.encode_word(word)
         return " ".join(map(str, ids)), self.decode(ids)
 
+    def word_bytes(self, word: str) -> bytes:
+        """The ids of a word, four bytes each; the strings of a word, which digests need, take more."""
+        return np.array(self.encode_word(word), np.int32).tobytes()
+
+    def ids(self, text: str | None) -> np.ndarray:
+        packed = self.packed
+        return np.frombuffer(b"".join([packed[w] for w in self.words(text or "")]), np.int32)
+
     def encode(self, text: str | None) -> list[int]:
-        known = self.known
-        return [int(i) for w in self.words(text or "") for i in known[w][0].split()]
+        return self.ids(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens joined by a space; ids without a token are passed over."""

@@ -2,9 +2,11 @@
 
 import duckdb
 import pandas as pd
+from pyspark.sql import types as T
 
 import corpus_pipeline as pipeline
 from corpuscle.llm import bpe, registry, simhash
+from corpuscle.llm.tables import BATCH_BYTES, map_slices
 from tests.llm.test_operators import linked
 
 
@@ -63,3 +65,18 @@ def test_near_dedup_goes_by_fingerprints_and_by_sets(spark):
     assert simhash.fingerprint(texts[0]) == simhash.fingerprint(texts[1])
     docs = spark.createDataFrame([(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 3, 5]
+
+
+def test_texts_reach_python_in_batches_bounded_by_bytes(spark):
+    """16 MB of texts were one Arrow batch, of which executor and worker each held copies."""
+    docs = spark.createDataFrame([(i, "x" * (1 << 18)) for i in range(64)], "doc_id long, text string").coalesce(1)
+    made = map_slices(docs, T.StructType.fromDDL("n_bytes long"), lambda part: {"n_bytes": [part.nbytes] * part.num_rows})
+    sizes = [r.n_bytes for r in made.collect()]
+    assert len(sizes) == 64 and max(sizes) <= BATCH_BYTES + (1 << 19)
+
+
+def test_ids_keep_no_strings_of_words():
+    e = bpe.ForcedBoundaryBpe(bpe.vocabulary_path())
+    text = "Naïve words, words <|endoftext|> and 12 more: Ωmega　ﬁ"
+    assert e.ids(text).tolist() == e.encode(text) == e.whole.encode(text, add_special_tokens=False).ids
+    assert e.ids(None).tolist() == [] and not e.known and len(e.packed) > 5
