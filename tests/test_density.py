@@ -266,3 +266,13 @@ def test_neighbours_are_exact_up_to_a_tenant_size(spark, monkeypatch):
     assert {r for r in got if r[0] == "1"} == {r for r in want if r[0] == "1"}
     large = lambda rows_: {r[:3] for r in rows_ if r[0] == "0"}
     assert len(large(got) & large(want)) >= 0.9 * len(large(want)) and {r[1] for r in got} == set(range(900))
+
+
+def test_lists_of_a_large_tenant_are_exact(spark, monkeypatch):
+    """Beyond EXACT_ROWS lists came from descent; now such a tenant's rows are met in several passes."""
+    rng = np.random.default_rng(6)
+    rows = [("large" if i < 300 else "small", i, x) for i, x in enumerate(rng.standard_normal((340, 12)).tolist())]
+    for name, n in (("EXACT_BLOCK", 40), ("EXACT_ROWS", 80), ("BLOCK", 16)):
+        monkeypatch.setattr(neighbours, name, n)
+    got = neighbours.neighbours(spark.createDataFrame(rows, "tenant string, id long, vector array<double>"), 6, 0, 6).collect()
+    assert sorted((r["tenant"], r["a"], r["b"], r["rank"]) for r in got) == sorted((t, a, b, n) for t, a, b, _, n in plain_lists(rows, 6))
